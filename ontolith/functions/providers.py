@@ -11,6 +11,7 @@ from typing import Protocol, runtime_checkable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from . import vectors
 
@@ -47,7 +48,7 @@ def hashing_embedder(text):
 
 def embedded(df: DataFrame, text: str, embedder: Embedder, out: str = "vec") -> DataFrame:
     """df with the embeddings of a text column; a provider that returns another count of vectors is an error."""
-    schema = df.schema.add(out, "array<double>")
+    schema = StructType([*df.schema, StructField(out, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,7 +62,7 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, out: str = "vec") ->
 
 def completed(df: DataFrame, prompt: str, completer: Completer, attempts: int = 2, valid: Callable[[str], bool] = bool) -> DataFrame:
     """df with reply (null if no attempt gave a valid one) and warnings (the failed attempts)."""
-    schema = df.schema.add("reply", "string").add("warnings", "int")
+    schema = StructType([*df.schema, StructField("reply", StringType()), StructField("warnings", IntegerType())])
 
     def ask(text: str) -> tuple[str | None, int]:
         for k in range(attempts):
