@@ -1,15 +1,17 @@
-"""Shared plumbing: scratch tables in the shared checkpoint folder, and safe column access."""
+"""Shared plumbing: scratch tables in the shared folder, workers that can import this package, and safe column access."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ontolith.plans.scratch import Scratch, shared_folder
+
+__all__ = ["SPACES", "Scratch", "col", "importable", "partitions", "shared_folder", "without_spaces"]
+
 #: The six characters that count as white space in every text contract here.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,42 +33,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. On a cluster it is the one in spark.checkpoint.dir; only where that is unset, as in
-    local tests, a temporary folder is made and set for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ontolith-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-class Scratch:
-    """Tables written under one fresh folder of the shared one. A written table cuts lineage: what is lost with an
-    executor is read again, not recomputed."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def write(self, df: DataFrame, table: str, **options: str) -> DataFrame:
-        df.write.options(**options).parquet(self.path(table))
-        return self.read(table, df)
-
-    def read(self, table: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(table))
-
-    def drop(self, *tables: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(conf).delete(path, True)
-
-
 def without_spaces(text: Column) -> Column:
     """The text without the characters of SPACES; null counts as empty. Six byte searches beat one regular expression."""
     out = F.coalesce(text, F.lit(""))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import col, importable
 
@@ -153,5 +154,5 @@ def html_extract(df: DataFrame, *, html_col: str = "html") -> DataFrame:
             text = [main_text(p) for p in batch[html_col]]
             yield batch[keep].assign(text=text)
 
-    schema = df.select(*[col(c) for c in keep]).schema.add("text", "string")
+    schema = StructType([*df.select(*[col(c) for c in keep]).schema, StructField("text", StringType())])
     return df.select(*[col(c) for c in keep], col(html_col)).mapInPandas(extract, schema)

@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontolith.operators.components import components
+
 from .common import Scratch, col, importable
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -119,25 +121,6 @@ def _alike(family: Family, percent: int) -> Column:
     return sizes & (differ <= int(k - least))
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(id, component) of every id in links (a, b): the smallest id that can be reached. Alternates large-star and
-    small-star until nothing changes; each round is written, and only counts and checksums come to the driver."""
-    edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
-    before, k = None, 0
-    check = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")))
-    while (now := tuple(edges.agg(*check).first())) != before and now[0]:
-        before, k = now, k + 1
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{k}-large")
-        large = scratch.write(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), f"{name}-{k}-edges")
-        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}-small")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        new = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{k}")
-        scratch.drop(f"{name}-{k}-large", f"{name}-{k}-edges", f"{name}-{k}-small", f"{name}-{k - 1}")
-        edges = new
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-
-
 def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets are similar."""
     pairs = scratch.write(pairs, f"{name}-pairs")

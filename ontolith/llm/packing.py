@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import Scratch, col, importable, partitions
 
@@ -104,7 +105,7 @@ def tokenise(df: DataFrame, path: str, carried: list[str]) -> DataFrame:
             ids = [encode(t or "") + end for t in batch["text"]]
             yield batch[carried].assign(ids=ids, n=[len(x) // 2 for x in ids])
 
-    schema = df.select(*carried).schema.add("ids", "binary").add("n", "long")
+    schema = StructType([*df.select(*carried).schema, StructField("ids", BinaryType()), StructField("n", LongType())])
     return df.select(*carried, "text").mapInPandas(run, schema)
 
 
