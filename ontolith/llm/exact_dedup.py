@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, col, without_spaces
 
 
+SALTS = 16
+
+
 def _best() -> Column:
     """The preferred row of a group: most code points, then the smallest id, null ids last."""
     return F.min("best")
@@ -91,15 +94,21 @@ def exact_dedup(
     index.flush(seen.select("digest", best, F.lit(1).cast("long").alias("n")), memtables)
     index.compact()
 
-    hits = index.entries().where("n > 1").select("digest", "best", "n")
-    verified = scratch.write(
-        base.join(hits.select("digest"), "digest", "left_semi")
-        .groupBy("digest")
+    hits = scratch.write(index.entries().where("n > 1").select("digest", "best", "n"), "hits")
+    # The texts of hits meet their digests in SALTS places each, so that a group of copies, however large, is spread out;
+    # where Spark finds the hits small enough to broadcast, texts are not exchanged at all.
+    asked = hits.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SALTS)).cast("int"))
+    verified = (
+        salted.join(asked, ["digest", "salt"], "left_semi")
+        .groupBy("digest", "salt")
         .agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-        .select("digest", (F.col("low") == F.col("high")).alias("same")),
-        "verified",
+        .groupBy("digest")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .select("digest", (F.col("low") == F.col("high")).alias("same"))
     )
-    hits = hits.join(verified.where("same").select("digest"), "digest")
+    verified = scratch.write(verified, "verified")
+    hits = scratch.write(hits.join(verified.where("same").select("digest"), "digest"), "sure")
     out = _resolved(seen.join(hits, "digest", "left"))
     shared = verified.where("not same").select("digest")
     if shared.isEmpty():
