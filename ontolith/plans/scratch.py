@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: So many rows, at least, are worth a task of their own.
+ROWS_PER_FILE = 25_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share. On a cluster it is the one in spark.checkpoint.dir; only where that is unset, as in
     local tests, a temporary folder is made and set for the session."""
@@ -31,7 +35,11 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str, **options: str) -> DataFrame:
+    def write(self, df: DataFrame, table: str, rows: int | None = None, **options: str) -> DataFrame:
+        """Writes and reads again. rows: an upper bound, if known; a small table then is few files."""
+        few = None if rows is None else -(-rows // ROWS_PER_FILE)
+        if few is not None and few < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(max(1, few))
         df.write.options(**options).parquet(self.path(table))
         return self.read(table, df)
 
