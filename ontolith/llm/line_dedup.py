@@ -54,8 +54,8 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash by hash and displace: about three keys a bucket, and for each bucket the first displacement
-    that puts its keys on free places. Level by level: buckets that find none in `tries` go to a smaller hash of their own."""
+    """Minimal perfect hash by hash and displace: about three keys a bucket, large buckets first, and for each bucket the
+    first displacement that puts its keys on free places, looked for in rounds of up to `tries`."""
 
     def __init__(self, keys: np.ndarray, tries: int = 4096):
         keys = np.asarray(keys, dtype=np.uint64)
@@ -72,8 +72,9 @@ class PerfectHash:
             own = keys[order[bounds[b] : bounds[b + 1]]]
             if not len(own):
                 break
-            for low in range(0, 1 << 32, tries):
-                moves = np.arange(low, low + tries, dtype=np.uint64)
+            low, step = 0, 8
+            while True:
+                moves = np.arange(low, low + step, dtype=np.uint64)
                 at = self._place(own[None, :], moves[:, None])
                 good = ~taken[at].any(axis=1)
                 if len(own) > 1:
@@ -84,6 +85,7 @@ class PerfectHash:
                     self.moves[b] = low + k
                     taken[at[k]] = True
                     break
+                low, step = low + step, min(tries, 4 * step)
 
     def _place(self, keys: np.ndarray, moves: np.ndarray) -> np.ndarray:
         return (_mix(keys + moves * np.uint64(0xD6E8FEB86659FD93), 2) % np.uint64(self.n)).astype(np.int64)
