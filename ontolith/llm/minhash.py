@@ -7,21 +7,21 @@ confirmed on the full sets; confirmed links are joined into components by altern
 With 4 rows and 32 bands, two sets of similarity 0.8 meet in no band with probability 5e-8, and the signature check, at more
 than seven standard deviations, adds nothing to that.
 
-No bucket is expanded into all its pairs. Documents with equal sets are one class with one representative. In a bucket each
-member is compared with the bucket's smallest member, the links found are joined into components, and only members outside
-the bucket's largest component are then compared with members of other components. Pairs inside one component need no
-comparing, so no link that would change a component is lost.
+No bucket is expanded into pairs of rows. Documents with equal sets are one class with one representative. The members of a
+bucket go with its smallest member, the center; all members of a center's buckets are a group. The center is compared with
+its group, the links found are joined into components, and then only members outside the group's largest component are
+compared with the rest of the group. Pairs inside one component need no comparing, so no link that would change a component
+is lost. Comparing is done in blocks of bounded size, and only links leave a block.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontolith.operators.components import components
@@ -85,11 +85,6 @@ class Family:
         return (one * self.places).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def signatures(df: DataFrame, size: int, family: Family) -> DataFrame:
     """id, n int, high long, low long (a 128-bit hash of the set), keys array<long>, bits array<long>."""
 
@@ -109,41 +104,71 @@ def signatures(df: DataFrame, size: int, family: Family) -> DataFrame:
     return df.mapInPandas(sign, "id long, n int, high long, low long, keys array<long>, bits array<long>")
 
 
-def _alike(family: Family, percent: int) -> Column:
-    """The signature check of sides a and b: sizes that allow the similarity, and bits that agree as often as it makes
-    likely. Bits of sets of similarity s agree with probability (1 + s) / 2; eight standard deviations are allowed for."""
-    k, p = family.bands * family.rows, (1 + percent / 100) / 2
-    least = k * p - 8 * (k * p * (1 - p)) ** 0.5
-    differ = F.lit(0)
-    for j in range(-(-k // 64)):
-        differ = differ + F.bit_count(F.col("a.bits")[j].bitwiseXOR(F.col("b.bits")[j]))
-    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    return sizes & (differ <= int(k - least))
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets are similar."""
-    pairs = scratch.write(pairs, f"{name}-pairs")
-    needed = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-needed")
-    own = scratch.write(texts.join(needed, "id", "left_semi"), f"{name}-texts")
-    wide = pairs.join(own.toDF("a", "text_a"), "a").join(own.toDF("b", "text_b"), "b")
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def shingled(i: int, text: str) -> np.ndarray:
-            if (x := known.get((i, len(text)))) is None:
-                x = known[i, len(text)] = shingles(text, size)
-                if len(known) > 64:
-                    known.popitem(last=False)
-            return x
+#: Documents of one side in a block.
+BLOCK = 512
+
+
+class Compared:
+    """Compares the documents asked for with the members of a block: signatures first, then the full sets."""
+
+    def __init__(self, family: Family, size: int, percent: int):
+        self.size, self.percent = size, percent
+        # Bits of sets of similarity s agree with probability (1 + s) / 2; eight standard deviations are allowed for.
+        k, p = family.bands * family.rows, (1 + percent / 100) / 2
+        self.most_differ = k - int(k * p - 8 * (k * p * (1 - p)) ** 0.5)
+
+    def links(self, asked: pd.DataFrame, members: pd.DataFrame) -> list[tuple[int, int]]:
+        ids, component, n = (members[c].to_numpy(np.int64) for c in ("id", "component", "n"))
+        bits = np.array(members["bits"].tolist(), dtype=np.int64).reshape(len(members), -1).view(np.uint64)
+        chances = []
+        for i, c, m, own in zip(asked["id"], asked["component"], asked["n"], asked["bits"], strict=True):
+            sizes = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+            differ = np.bitwise_count(bits ^ np.array(own, dtype=np.int64).view(np.uint64)).sum(axis=1)
+            chances.append(np.flatnonzero(sizes & (component != c) & (ids != i) & (differ <= self.most_differ)))
+        needed = np.unique(np.concatenate(chances)) if chances else np.empty(0, dtype=np.int64)
+        if not len(needed):
+            return []
+        sets = [shingles(members["text"].iloc[j], self.size) for j in needed]
+        sizes = np.array([len(x) for x in sets])
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        out = []
+        for (i, text), chance in zip(zip(asked["id"], asked["text"], strict=True), chances, strict=True):
+            if not len(chance):
+                continue
+            own = shingles(text, self.size)
+            has = np.zeros(len(words) + 1, dtype=np.int64)
+            place = np.searchsorted(words, own)
+            has[place[(place < len(words)) & (words[np.minimum(place, len(words) - 1)] == own)]] = 1
+            for j in np.searchsorted(needed, chance):
+                both = int(has[at[starts[j] : starts[j + 1]]].sum())
+                if both and 100 * both >= self.percent * (len(own) + int(sizes[j]) - both):
+                    out.append((int(i), int(ids[needed[j]])))
+        return out
 
-        for batch in batches:
-            good = [similar(shingled(a, s), shingles(t, size), percent) for a, s, t in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True)]
-            yield batch.loc[good, ["a", "b"]]
 
-    links = scratch.write(wide.mapInPandas(confirm, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-texts", f"{name}-needed")
+def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: DataFrame, compared: Compared, scratch: Scratch, name: str) -> DataFrame:
+    """The links (a, b) between documents asked for and members of their group; both are (g, id, component). Those asked for
+    and the members of a group are dealt to blocks by a hash; each pair of blocks is compared in a task."""
+    count = lambda df, c: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(c))
+    blocks = scratch.write(count(asked, "x").join(count(members, "y"), "g"), f"{name}-blocks")
+    needed = asked.select("id").union(members.select("id")).distinct()
+    own = scratch.write(texts.join(marks.join(needed, "id"), "id").select("id", "n", "bits", "text"), f"{name}-texts")
+
+    def dealt(df: DataFrame, own_blocks: str, other: str) -> DataFrame:
+        hashed = F.pmod(F.xxhash64(F.lit(13), "id"), F.col(own_blocks)).cast("int").alias(own_blocks)
+        all_of = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        sent = df.join(blocks, "g").select("g", "id", "component", hashed, all_of).join(own, "id")
+        return sent.toDF(*sent.columns)  # columns of its own: both sides come from the same tables
+
+    def compare(a: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        found = compared.links(a, m) if len(a) and len(m) else []
+        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
+
+    keys = ("g", "x", "y")
+    both = dealt(asked, "x", "y").groupBy(*keys).cogroup(dealt(members, "y", "x").groupBy(*keys))
+    links = scratch.write(both.applyInPandas(compare, "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-texts")
     return links
 
 
@@ -169,41 +194,28 @@ def near_dedup(
     classes = scratch.write(classes, "classes")
 
     in_bands = classes.select("id", F.explode("keys").alias("key"))
-    buckets = in_bands.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m")).where("center < last")
-    members = scratch.write(in_bands.join(scratch.write(buckets.drop("last"), "buckets"), "key"), "members")
-    marks = classes.select("id", "n", "bits")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        a, b = marks.alias("a"), marks.alias("b")
-        pairs = pairs.alias("p").join(a, F.col("p.a") == F.col("a.id")).join(b, F.col("p.b") == F.col("b.id"))
-        return pairs.where(_alike(family, percent)).select("p.a", "p.b").distinct()
-
-    stars = members.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirm(checked(stars), texts, scratch, "stars", size, percent)
+    buckets = in_bands.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
+    grouped = in_bands.join(scratch.write(buckets, "buckets"), "key").select(F.col("center").alias("g"), "id").distinct()
+    groups = scratch.write(grouped, "groups")
+    rows = groups.count()
+    marks, compared = classes.select("id", "n", "bits"), Compared(family, size, percent)
+
+    centers = groups.where("g = id").select("g", "id", F.col("id").alias("component"))
+    others = groups.where("g != id").select("g", "id", F.col("id").alias("component"))
+    links = _confirm(centers, others, marks, texts, compared, scratch, "stars")
     again = signed.where("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
     if not again.isEmpty():  # rows that share an id are one document: their classes are linked through it
         shared = signed.where("n > 0").join(again, "id").select("id", "high", "low")
         links = links.unionByName(shared.join(classes.select("high", "low", F.col("id").alias("b")), ["high", "low"]).select(F.col("id").alias("a"), "b"))
     found = components(links, scratch, "first")
 
-    placed = members.where("m > 2").join(found, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("component"))
-    placed = scratch.write(placed, "placed")
-    per = scratch.write(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")), "per")
-    top = per.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    top = scratch.write(top.select("key", F.col("top.component").alias("top")), "top")
-    open_rows = scratch.write(placed.join(top, "key").join(marks, "id").select("key", "id", "center", "component", "top", "n", "bits"), "open")
-    a, b = open_rows.where("component != top").alias("a"), open_rows.alias("b")
-    rest = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.component") != F.col("b.component"))
-        & ((F.col("b.component") == F.col("b.top")) | (F.col("a.id") < F.col("b.id")))
-        & (F.col("a.id") != F.col("a.center"))
-        & (F.col("b.id") != F.col("b.center"))
-        & _alike(family, percent),
-    )
-    rest = rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-    more = _confirm(rest, texts, scratch, "rest", size, percent)
+    placed = groups.where("g != id").join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
+    placed = scratch.write(placed, "placed", rows)
+    per = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c"))
+    top = per.groupBy("g").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    top = scratch.write(top.select("g", F.col("top.component").alias("top")), "top", rows)
+    members = scratch.write(placed.join(top, "g"), "members", rows)
+    more = _confirm(members.where("component != top").drop("top"), members.drop("top"), marks, texts, compared, scratch, "rest")
     if not more.isEmpty():
         # the components found so far are stars themselves
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "second")
