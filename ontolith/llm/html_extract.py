@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import functions as F
 
 from .common import col, importable
 
@@ -142,17 +142,14 @@ def main_text(page: str | None) -> str:
 
 
 def html_extract(df: DataFrame, *, html_col: str = "html") -> DataFrame:
-    """The columns of df but for the html, and a column `text`: the main text, empty if there is none (null html: empty).
-
-    df may not have other columns named text. Equal rows give equal results.
-    """
+    """record (a struct of all columns of df but the html, so that no name can clash) and text: the main text, empty if there
+    is none. A null html counts as empty; equal pages give equal texts; an empty table gives an empty one."""
     importable(df.sparkSession)
-    keep = [c for c in df.columns if c != html_col]
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = [main_text(p) for p in batch[html_col]]
-            yield batch[keep].assign(text=text)
+    @F.pandas_udf("string")
+    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            yield pages.map(main_text)
 
-    schema = StructType([*df.select(*[col(c) for c in keep]).schema, StructField("text", StringType())])
-    return df.select(*[col(c) for c in keep], col(html_col)).mapInPandas(extract, schema)
+    others = [col(c) for c in df.columns if c != html_col]
+    return df.select(F.struct(*others).alias("record"), extract(F.coalesce(col(html_col), F.lit(""))).alias("text"))

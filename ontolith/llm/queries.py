@@ -60,8 +60,8 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return html_extract.html_extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+    found = html_extract.html_extract(table(spark, sf_dir, "pages"))
+    return found.select("record.page_id", "record.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,7 +307,7 @@ def test_html(spark):
     assert html_extract.main_text(plain).startswith("Long text") and html_extract.main_text(plain).endswith("here.") and "Short." in html_extract.main_text(plain)
     assert [html_extract.main_text(p) for p in (None, "", "<p>", "no markup", "<script>x", "<nav>a</nav>")] == ["", "", "", "no markup", "", ""]
     df = spark.createDataFrame([(1, "u", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")
-    got = html_extract.html_extract(df.withColumn("n", F.lit(1))).collect()
+    got = html_extract.html_extract(df.withColumn("text", F.lit(1)).withColumn("record", F.lit(2))).collect()
     assert Counter(r["text"][:5] for r in got) == Counter(["Title", "", ""])
     assert html_extract.html_extract(df.limit(0)).count() == 0
 
