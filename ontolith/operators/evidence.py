@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ontolith.functions import text as T
 from ontolith.functions.scoring import claim_status, confidence, evidence_url, strength
 
+#: The wording of rule-based statements and template answers.
+UNCERTAINTY = "共 %d 条主张，其中 %d 条置信度低于 0.5；证据覆盖 %d 条，可能未覆盖问题的全部方面。"
+ANSWER_OPENS, ANSWER_CLAIM, ANSWER_CLOSES = "针对该问题，根据 Context Pack 中的证据作答：", "主张", "综上，共引用 %d 条证据支撑上述结论。"
+
 
 def claims(replies: DataFrame, evidence: DataFrame) -> DataFrame:
     """Claims (question_id, claim_id, text, confidence, status, evidence_ids, entities) from a provider's claims.
@@ -64,7 +68,7 @@ def uncertainty(claims_: DataFrame, evidence: DataFrame) -> DataFrame:
     c = claims_.groupBy("question_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("status") == "unverified").alias("unverified"))
     e = evidence.groupBy("question_id").agg(F.count(F.lit(1)).alias("evidence"))
     both = e.join(c, "question_id", "left").fillna(0, ["claims", "unverified"])
-    said = F.format_string("共 %d 条主张，其中 %d 条置信度低于 0.5；证据覆盖 %d 条，可能未覆盖问题的全部方面。", "claims", "unverified", "evidence")
+    said = F.format_string(UNCERTAINTY, "claims", "unverified", "evidence")
     return both.select("question_id", said.alias("uncertainty"))
 
 
@@ -86,11 +90,11 @@ def template_answer(evidence: DataFrame, claims_: DataFrame) -> DataFrame:
     number = F.regexp_extract("evidence_id", r"(\d+)", 1).cast("int")
     e = evidence.withColumn("n", number).groupBy("question_id").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", F.concat("text", F.lit("["), "evidence_id", F.lit("]。")).alias("s"))))).alias("e"), F.count(F.lit(1)).alias("all"))
     place = F.regexp_extract("claim_id", r"(\d+)", 1).cast("int")
-    c = claims_.withColumn("n", place).where("n <= 2").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("主张"), "n", F.lit("："), "text", F.lit("[C"), "n", F.lit("]。")).alias("s")))).alias("c"))
+    c = claims_.withColumn("n", place).where("n <= 2").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit(ANSWER_CLAIM), "n", F.lit("："), "text", F.lit("[C"), "n", F.lit("]。")).alias("s")))).alias("c"))
     lines = F.concat(
-        F.array(F.lit("针对该问题，根据 Context Pack 中的证据作答：")),
+        F.array(F.lit(ANSWER_OPENS)),
         F.transform("e", lambda x: x["s"]),
         F.coalesce(F.transform("c", lambda x: x["s"]), F.array().cast("array<string>")),
-        F.array(F.format_string("综上，共引用 %d 条证据支撑上述结论。", "all")),
+        F.array(F.format_string(ANSWER_CLOSES, "all")),
     )
     return e.join(c, "question_id", "left").select("question_id", F.array_join(lines, "\n").alias("text"))

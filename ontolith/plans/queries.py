@@ -831,7 +831,7 @@ def event_windows_stream(spark, d):
     name = f"event_windows_{abs(hash(d)) % 10**8}"
     run = streams.event_windows(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).withColumn("total", F.round("total", 4))
+    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
 
 
 @query("""
