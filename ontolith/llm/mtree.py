@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, importable, partitions
+from .common import Scratch, col, importable
 
 #: Slack for rounding in bounds; integer scores decide what is returned.
 SLACK = 1e-6
@@ -115,7 +115,7 @@ class Tree:
 
 def top_k(
     df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, pivots: int = 256,
-    page_rows: int = 256, tree_rows: int = 1 << 16, block_rows: int = 1 << 12,
+    page_rows: int = 256, tree_rows: int = 1 << 16, least_trees: int = 12, block_rows: int = 1 << 12,
 ) -> DataFrame:
     """query_id long, rank int, vec_id long, score long: for each query (a row whose id is divisible by `every`) the k rows
     with the highest integer inner product, its own excepted; ties to the smaller id; fewer if there are no more.
@@ -149,7 +149,7 @@ def top_k(
         sample = [np.frombuffer(r[0], dtype=np.float64) for r in own.orderBy(F.xxhash64("id"), "id", "v").limit(min(pivots, max(1, n // page_rows))).select("v").collect()]
         heads = np.array(sample)
         heads = np.column_stack([heads, np.sqrt(np.maximum(0.0, most - (heads * heads).sum(axis=1)))])
-        trees = max(2 * partitions(spark) // 3, -(-n // tree_rows))
+        trees = max(least_trees, -(-n // tree_rows))
         blocks = max(1, -(-n_queries // block_rows))
         part = _trees(own, heads, most, trees, blocks, every, k, page_rows, out)
         found = part if found is None else found.unionByName(part)
