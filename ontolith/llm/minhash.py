@@ -17,6 +17,7 @@ is lost. Comparing is done in blocks of bounded size, and only links leave a blo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ontolith.operators.components import components
 
-from .common import Scratch, col, importable
+from .common import Scratch, col, importable, partitions
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -46,66 +47,72 @@ def shingles(text: str | None, size: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(tokens) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens), seed=len(tokens))], dtype=np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    w = np.fromiter(map(digest, tokens), dtype=np.uint64, count=len(tokens))
+    w = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, tokens)), dtype=np.uint64)
     n = len(w) - size + 1
     h = w[:n].copy()
     for k in range(1, size):
         h = h * _P + w[k : k + n]
-    return np.unique(_mix(h))
+    h = np.sort(_mix(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 class Family:
-    """Universal hash functions x -> (a x + b) mod 2^64, a odd; the high bits decide the minima."""
+    """Universal hash functions x -> (a x + b) mod 2^32, a odd, over 32 bits of the shingles' hashes; the high bits decide the
+    minima. 32-bit products are what processors multiply many of at a time."""
 
     def __init__(self, bands: int, rows: int, seed: int):
-        draw = np.random.default_rng(seed).integers(0, 1 << 63, size=(2, bands * rows), dtype=np.uint64)
+        draw = np.random.default_rng(seed).integers(0, 1 << 32, size=(2, bands * rows), dtype=np.uint64).astype(np.uint32)
         self.bands, self.rows = bands, rows
-        self.a, self.b = (draw[0] << np.uint64(1) | np.uint64(1))[:, None], draw[1][:, None]
+        self.a, self.b = (draw[0] | np.uint32(1))[:, None], draw[1][:, None]
+        self.salts = np.arange(1, bands * rows + 1, dtype=np.uint64) * _P
         self.places = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def minima(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(self.bands * self.rows, (1 << 64) - 1, dtype=np.uint64)
-        for k in range(0, len(x), 2048):
-            np.minimum(out, (self.a * x[None, k : k + 2048] + self.b).min(axis=1), out=out)
-        return out
+        x = (x >> np.uint64(32)).astype(np.uint32)
+        out = np.full(self.bands * self.rows, (1 << 32) - 1, dtype=np.uint32)
+        for k in range(0, len(x), 512):
+            h = self.a * x[None, k : k + 512]
+            h += self.b
+            np.minimum(out, h.min(axis=1), out=out)
+        return _mix(out.astype(np.uint64) + self.salts)
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
-        """One long for each band."""
-        m = _mix(minima).reshape(self.bands, self.rows)
-        h = np.arange(self.bands, dtype=np.uint64)
+        """One long for each row of minima and band."""
+        m = minima.reshape(len(minima), self.bands, self.rows)
+        h = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), m.shape[:2])
         for r in range(self.rows):
-            h = _mix(h * _P + m[:, r])
+            h = _mix(h * _P + m[:, :, r])
         return h.view(np.int64)
 
     def bits(self, minima: np.ndarray) -> np.ndarray:
-        """One bit of each minimum, 64 to a long."""
-        one = _mix(minima) >> np.uint64(63)
-        one = np.pad(one, (0, -len(one) % 64)).reshape(-1, 64)
-        return (one * self.places).sum(axis=1, dtype=np.uint64).view(np.int64)
+        """One bit of each minimum, in whole 64-bit words for each row."""
+        one = np.pad(minima >> np.uint64(63), ((0, 0), (0, -minima.shape[1] % 64)))
+        return (one.reshape(len(one), -1, 64) * self.places).sum(axis=2, dtype=np.uint64)
 
 
 def signatures(df: DataFrame, size: int, family: Family) -> DataFrame:
-    """id, n int, high long, low long (a 128-bit hash of the set), keys array<long>, bits array<long>."""
+    """id, n int, high long, low long (a 128-bit hash of the set), keys array<long>, bits binary."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i, t in zip(batch["id"], batch["text"], strict=True):
-                x = shingles(t, size)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), dtype=np.int64)
-                if len(x):
-                    m = family.minima(x)
-                    out.append((i, len(x), *digest, family.keys(m), family.bits(m)))
-                else:
-                    out.append((i, 0, *digest, [], []))
-            yield pd.DataFrame(out, columns=["id", "n", "high", "low", "keys", "bits"])
+            minima = np.empty((len(batch), family.bands * family.rows), dtype=np.uint64)
+            sizes, digests = [], []
+            for k, text in enumerate(batch["text"]):
+                x = shingles(text, size)
+                minima[k] = family.minima(x)
+                sizes.append(len(x))
+                digests.append(xxhash.xxh3_128_digest(x.tobytes()))
+            halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            bits = [x.tobytes() for x in family.bits(minima)]
+            yield pd.DataFrame({"id": batch["id"], "n": np.array(sizes, np.int32), "high": halves[:, 0], "low": halves[:, 1], "keys": list(family.keys(minima)), "bits": bits})
 
-    return df.mapInPandas(sign, "id long, n int, high long, low long, keys array<long>, bits array<long>")
+    return df.mapInPandas(sign, "id long, n int, high long, low long, keys array<long>, bits binary")
 
 
 #: Documents of one side in a block.
 BLOCK = 512
+#: About so many rows of small blocks go to one call.
+BIN = 2000
 
 
 class Compared:
@@ -117,23 +124,21 @@ class Compared:
         k, p = family.bands * family.rows, (1 + percent / 100) / 2
         self.most_differ = k - int(k * p - 8 * (k * p * (1 - p)) ** 0.5)
 
-    def links(self, asked: pd.DataFrame, members: pd.DataFrame) -> list[tuple[int, int]]:
-        ids, component, n = (members[c].to_numpy(np.int64) for c in ("id", "component", "n"))
-        bits = np.array(members["bits"].tolist(), dtype=np.int64).reshape(len(members), -1).view(np.uint64)
+    def links(self, asked: Side, members: Side) -> list[tuple[int, int]]:
         chances = []
-        for i, c, m, own in zip(asked["id"], asked["component"], asked["n"], asked["bits"], strict=True):
-            sizes = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
-            differ = np.bitwise_count(bits ^ np.array(own, dtype=np.int64).view(np.uint64)).sum(axis=1)
-            chances.append(np.flatnonzero(sizes & (component != c) & (ids != i) & (differ <= self.most_differ)))
-        needed = np.unique(np.concatenate(chances)) if chances else np.empty(0, dtype=np.int64)
+        for i, c, m, own in zip(asked.id, asked.component, asked.n, asked.bits, strict=True):
+            sizes = 100 * np.minimum(members.n, m) >= self.percent * np.maximum(members.n, m)
+            differ = np.bitwise_count(members.bits ^ own).sum(axis=1)
+            chances.append(np.flatnonzero(sizes & (members.component != c) & (members.id != i) & (differ <= self.most_differ)))
+        needed = np.unique(np.concatenate(chances))
         if not len(needed):
             return []
-        sets = [shingles(members["text"].iloc[j], self.size) for j in needed]
+        sets = [shingles(members.text[j], self.size) for j in needed]
         sizes = np.array([len(x) for x in sets])
         words, at = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         out = []
-        for (i, text), chance in zip(zip(asked["id"], asked["text"], strict=True), chances, strict=True):
+        for i, text, chance in zip(asked.id, asked.text, chances, strict=True):
             if not len(chance):
                 continue
             own = shingles(text, self.size)
@@ -143,30 +148,55 @@ class Compared:
             for j in np.searchsorted(needed, chance):
                 both = int(has[at[starts[j] : starts[j + 1]]].sum())
                 if both and 100 * both >= self.percent * (len(own) + int(sizes[j]) - both):
-                    out.append((int(i), int(ids[needed[j]])))
+                    out.append((int(i), int(members.id[needed[j]])))
         return out
 
 
+class Side(NamedTuple):
+    """Documents of one side of a block, column by column."""
+
+    id: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    bits: np.ndarray
+    text: np.ndarray
+
+    @staticmethod
+    def blocks(pdf: pd.DataFrame) -> dict[tuple, Side]:
+        """The sides of each block (g, x, y) in a bin."""
+        if not len(pdf):
+            return {}
+        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
+        columns = (*(pdf[c].to_numpy(np.int64) for c in ("id", "component", "n")), bits, pdf["text"].to_numpy(object))
+        return {key: Side(*(c[at] for c in columns)) for key, at in pdf.groupby(["g", "x", "y"]).indices.items()}
+
+
 def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: DataFrame, compared: Compared, scratch: Scratch, name: str) -> DataFrame:
     """The links (a, b) between documents asked for and members of their group; both are (g, id, component). Those asked for
-    and the members of a group are dealt to blocks by a hash; each pair of blocks is compared in a task."""
+    and the members of a group are dealt to blocks by a hash; each pair of blocks is compared by itself, several small ones in a call."""
     count = lambda df, c: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(c))
     blocks = scratch.write(count(asked, "x").join(count(members, "y"), "g"), f"{name}-blocks")
     needed = asked.select("id").union(members.select("id")).distinct()
     own = scratch.write(texts.join(marks.join(needed, "id"), "id").select("id", "n", "bits", "text"), f"{name}-texts")
 
+    total = blocks.join(asked.unionByName(members).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g").agg(F.sum(F.col("c") * F.greatest("x", "y"))).first()[0]
+    bins = max(partitions(marks.sparkSession), -(-(total or 0) // BIN))
+
     def dealt(df: DataFrame, own_blocks: str, other: str) -> DataFrame:
         hashed = F.pmod(F.xxhash64(F.lit(13), "id"), F.col(own_blocks)).cast("int").alias(own_blocks)
         all_of = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
         sent = df.join(blocks, "g").select("g", "id", "component", hashed, all_of).join(own, "id")
+        sent = sent.withColumn("bin", F.pmod(F.xxhash64("g", "x", "y"), F.lit(bins)))
         return sent.toDF(*sent.columns)  # columns of its own: both sides come from the same tables
 
     def compare(a: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        found = compared.links(a, m) if len(a) and len(m) else []
+        others, found = Side.blocks(m), []
+        for key, side in Side.blocks(a).items():
+            if key in others:
+                found += compared.links(side, others[key])
         return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
 
-    keys = ("g", "x", "y")
-    both = dealt(asked, "x", "y").groupBy(*keys).cogroup(dealt(members, "y", "x").groupBy(*keys))
+    both = dealt(asked, "x", "y").groupBy("bin").cogroup(dealt(members, "y", "x").groupBy("bin"))
     links = scratch.write(both.applyInPandas(compare, "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-texts")
     return links
