@@ -1,5 +1,7 @@
 """The registered queries: with SQL against DuckDB, the others against brute force over whole small tables; the pipeline."""
 
+import html
+import re
 import zlib
 
 import numpy as np
@@ -74,3 +76,41 @@ def test_pipeline_against_brute_force(spark):
 def test_run(spark):
     got = queries.pipeline(spark, SF)
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def test_op3(spark):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    phrases = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
+    got = {r["doc_id"]: r for r in queries.op3_license_scan(spark, SF).collect()}
+    for doc_id, text in queries.table(spark, SF, "documents").select("doc_id", "text").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(low))
+        places = [(k, label) for p, label in phrases.items() for k in range(len(w) - len(p) + 1) if tuple(w[k : k + len(p)]) == p]
+        r, starts = got.pop(doc_id), [k for k, _ in places]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
+        assert (r["first_word"], r["last_word"]) == ((min(starts), max(starts)) if starts else (None, None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in places}))
+        labels = r["labels"].split(",") if r["labels"] else []
+        assert labels == sorted(set(labels)) and set(filter(None, r["base_labels"].split(","))) <= set(labels) and 0 <= r["score"] <= 1
+    assert not got
+
+
+def test_op7(spark):
+    """The pages mark their articles; what a plain reading of the marked part gives is what the operator finds."""
+    got = {r["page_id"]: r for r in queries.op7_html_extraction(spark, SF).collect()}
+    for page_id, page in queries.table(spark, SF, "pages").select("page_id", "html").collect():
+        article = re.search(r"<article>(.*?)</article>", page or "", re.S)
+        blocks = re.sub(r"</?(p|h\d|li|ul|div)\b[^>]*>", "\n", article[1] if article else "").replace("<br>", " ")
+        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", b))).strip() for b in blocks.split("\n"))
+        r = got.pop(page_id)
+        assert r["text"] == " ".join(filter(None, parts)) and r["n_chars"] == len(r["text"])
+    assert not got
+
+
+def test_op9(spark):
+    got = queries.op9_mixing(spark, SF).toPandas()
+    docs = queries.table(spark, SF, "documents").toPandas()
+    assert sorted(got["doc_id"]) == sorted(docs["doc_id"])
+    blocks = got.drop_duplicates(["source", "block"]).sort_values("slot")
+    assert blocks["slot"].tolist() == list(range(len(blocks))) and (blocks["release"] < blocks["deadline"]).all()
+    counts = docs.groupby("source")["doc_id"].count()
+    assert all(round(counts[r.source] ** 0.5 * 1000) == r.weight for r in blocks.itertuples())
