@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ontolith.functions import scoring, vectors
 from ontolith.functions import text as T
 from ontolith.operators import evaluate, evidence, govern, graph, infer, resolve, retrieve, scene, store
+from ontolith.plans import evaluation
 from ontolith.plans import ontology as O
 from ontolith.plans.model import ALL_OBJECTS_SQL, HYBRID_SQL, LINK_SQL, centroids, links, links_sql, objects, table, vector_links, vector_objects
 from ontolith.plans.scratch import Scratch
@@ -717,6 +718,27 @@ def object_search(spark, d):
     return upper.unionByName(anyhow).unionByName(first)
 
 
+@query()
+def scene_evaluation(spark, d):
+    """Both targets over the tables as a scene: which nations lie in a region, and which region a nation lies in."""
+    nodes, known = _scene(spark, d)
+    text = F.concat_ws("｜", "object_type", "name")
+    runtime = evaluation.Runtime.of("tables", nodes.withColumn("text", text), known, spark.createDataFrame([("Region", "region", 0), ("Nation", "nation", 1), ("Supplier", "supplier", 2)], "object_type string, label string, ord long"))
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    by_region = n.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.concat(F.lit("N-"), "n_nationkey"))).alias("golden"))
+    items = by_region.select(F.concat(F.lit("R"), "r_regionkey").alias("item_id"), F.concat(F.lit("Which nation lies in "), "r_name").alias("question"), "golden", F.array("r_name").alias("keywords"), F.col("r_regionkey").alias("ord"))
+    one = n.select(F.concat(F.lit("N"), "n_nationkey").alias("item_id"), F.concat(F.lit("Which region has "), "n_name").alias("question"), F.array(F.concat(F.lit("R-"), "r_regionkey")).alias("golden"), F.array("r_name").alias("keywords"), (F.col("n_nationkey") + 100).alias("ord"))
+    _, summaries, _, _ = evaluation.run(items.unionByName(one), {"constrained": evaluation.constrained(runtime), "plain": evaluation.plain(runtime)})
+    return evaluate.matrix(summaries.withColumn("mean", F.round("mean", 6)), ["constrained", "plain"])
+
+
+@query()
+def context_packs(spark, d):
+    found = _written_evidence(spark, d)
+    questions = found.select("question_id").distinct().withColumn("question", F.concat(F.lit("What is near T"), "question_id"))
+    return evaluation.context_pack(questions, found, _claims(spark, d, found), "2024-01-31")
+
+
 # ---- governance
 
 

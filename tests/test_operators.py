@@ -305,3 +305,17 @@ def test_sustained(spark, tmp_path):
     run = streams.sustained_stream(stream, "key", "string", 3).writeStream.outputMode("append").format("memory").queryName("alarms").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("alarms").count() == 2
+
+
+def test_evaluation_and_cli(spark, tmp_path, capsys):
+    from ontolith import cli
+
+    (tmp_path / "s.json").write_text('{"id": "s", "types": {"A": {"label": "账户"}, "B": {"label": "客户"}}, "nodes": [{"id": "n1", "type": "A", "name": "账户甲", "props": {"余额": "9"}}, {"id": "n2", "type": "B", "name": "客户乙", "props": {}}, {"id": "n3", "type": "B", "name": "别人", "props": {}}], "edges": [{"source": "n2", "target": "n1", "rel": "owns", "label": "持有"}]}', encoding="utf-8")
+    (tmp_path / "d.yaml").write_text("scenario: s\nitems:\n  - {id: i, question: 客户乙有什么账户, golden_object_ids: [n1, n2], golden_answer_keywords: [账户甲]}\n  - {id: j, question: 别人, golden_object_ids: [n3]}\n", encoding="utf-8")
+    base = ["eval", "--scene", str(tmp_path / "s.json"), "--dataset", str(tmp_path / "d.yaml"), "--out", str(tmp_path / "out")]
+    assert cli.main([*base, "--scenario", "s"]) == 0
+    report = (tmp_path / "out" / "s.md").read_text(encoding="utf-8")
+    assert "| recall_at_k |" in report and "| keyword_coverage | 1.000" in report and "| citation_correctness | 1.000 | 1.000" in report
+    assert (tmp_path / "out" / "s.html").exists()
+    assert cli.main([*base, "--scenario", "s", "--targets", "none"]) == 2
+    assert cli.main([*base, "--scenario", "other"]) == 2
