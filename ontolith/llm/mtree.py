@@ -39,16 +39,16 @@ class Tree:
         self.most = most
         rest = np.sqrt(np.maximum(0.0, most - (vectors * vectors).sum(axis=1)))
         self.points = np.column_stack([vectors, rest])
-        self.ids, self.vectors = ids, vectors
-        self.pages = []  # (pivot, radius, members, their distances to the pivot)
+        self.pages = []  # (pivot, radius, distances to the pivot in rising order, vectors and ids in that order)
         for page in np.unique(page_of):
             members = np.flatnonzero(page_of == page)
             pivot = pivots[members[0]]
             own = np.sqrt(((self.points[members] - pivot) ** 2).sum(axis=1))
             order = np.argsort(own, kind="stable")
-            self.pages.append((pivot, own.max(), members[order], own[order]))
+            members = members[order]
+            self.pages.append((pivot, own.max(), own[order], vectors[members], ids[members]))
         # Inner nodes: pages around every fan-th page's pivot.
-        centres = np.array([p[0] for p in self.pages])
+        centres = self.centres = np.array([p[0] for p in self.pages])
         heads = list(range(0, len(centres), fan))
         gap = np.sqrt(np.maximum(0.0, ((centres[:, None, :] - centres[None, heads, :]) ** 2).sum(axis=2)))
         nearest = gap.argmin(axis=1)
@@ -89,27 +89,31 @@ class Tree:
                 near = np.abs(gap - to_centre) - radii <= reach()  # the triangle inequality, before any distance
                 pages, radii = pages[near], radii[near]
                 if len(pages):
-                    for p, g, r in zip(pages, distance(np.array([self.pages[p][0] for p in pages])), radii, strict=True):
+                    for p, g, r in zip(pages.tolist(), distance(self.centres[pages]).tolist(), radii.tolist(), strict=True):
                         turn += 1
                         heapq.heappush(queue, (max(0.0, g - r), turn, True, p, g))
                 continue
-            _, _, members, to_pivot = self.pages[n]
+            _, _, to_pivot, vectors, ids = self.pages[n]
             limit = reach()
-            lo, hi = (0, len(members)) if limit == np.inf else (np.searchsorted(to_pivot, gap - limit), np.searchsorted(to_pivot, gap + limit, side="right"))
-            if lo < hi:
-                members = members[lo:hi]
-                self.computed += len(members)
-                scores, ids = self.vectors[members] @ q, self.ids[members]
-                keep = ids != own_id
-                scores, ids = scores[keep], ids[keep]
-                if len(ids) > k:  # only the k best of a page can matter
-                    order = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[order], ids[order]
-                for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+            if limit < np.inf:
+                lo, hi = np.searchsorted(to_pivot, gap - limit), np.searchsorted(to_pivot, gap + limit, side="right")
+                vectors, ids = vectors[lo:hi], ids[lo:hi]
+            if not len(ids):
+                continue
+            self.computed += len(ids)
+            scores = vectors @ q
+            keep = ids != own_id
+            if len(best) == k:
+                keep &= scores >= best[0][0]
+            scores, ids = scores[keep], ids[keep]
+            if len(ids) > k:  # only the k best of a page can matter
+                order = np.lexsort((ids, -scores))[:k]
+                scores, ids = scores[order], ids[order]
+            for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
+                if len(best) < k:
+                    heapq.heappush(best, (s, -i))
+                elif (s, -i) > best[0]:
+                    heapq.heapreplace(best, (s, -i))
         return [(int(s), -i) for s, i in sorted(best, reverse=True)]
 
 
@@ -146,10 +150,11 @@ def top_k(
     found = None
     for dim, n, n_queries, most in [tuple(r) for r in rows.groupBy("dim").agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.max("norm")).collect()]:
         own = rows.where(F.col("dim") == dim)
-        sample = [np.frombuffer(r[0], dtype=np.float64) for r in own.orderBy(F.xxhash64("id"), "id", "v").limit(min(pivots, max(1, n // page_rows))).select("v").collect()]
+        trees = max(least_trees, -(-n // tree_rows))
+        wanted = min(pivots, max(1, n // (trees * page_rows)))  # as many as a tree has pages
+        sample = [np.frombuffer(r[0], dtype=np.float64) for r in own.orderBy(F.xxhash64("id"), "id", "v").limit(wanted).select("v").collect()]
         heads = np.array(sample)
         heads = np.column_stack([heads, np.sqrt(np.maximum(0.0, most - (heads * heads).sum(axis=1)))])
-        trees = max(least_trees, -(-n // tree_rows))
         blocks = max(1, -(-n_queries // block_rows))
         part = _trees(own, heads, most, trees, blocks, every, k, page_rows, out)
         found = part if found is None else found.unionByName(part)
