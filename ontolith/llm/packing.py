@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -67,14 +68,22 @@ class Tokenizer:
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 16-bit integers."""
         if _RUNS.search(text):
-            return np.array(self.whole(text), dtype="<u2").tobytes()
+            return _packed(self.whole(text))
         first, *rest = text.split(" ")
         known = self.words
         if len(known) > self.KEPT:
             known.clear()
-        for word in set(rest).difference(known):
-            known[word] = np.array(self.whole(" " + word), dtype="<u2").tobytes()
-        return np.array(self.whole(first), dtype="<u2").tobytes() + b"".join([known[w] for w in rest])
+        try:
+            parts = [known[w] for w in rest]
+        except KeyError:
+            for word in set(rest).difference(known):
+                known[word] = _packed(self.whole(" " + word))
+            parts = [known[w] for w in rest]
+        return _packed(self.whole(first)) + b"".join(parts)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
 
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
