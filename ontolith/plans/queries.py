@@ -718,7 +718,6 @@ def object_search(spark, d):
     return upper.unionByName(anyhow).unionByName(first)
 
 
-@query()
 def scene_evaluation(spark, d):
     """Both targets over the tables as a scene: which nations lie in a region, and which region a nation lies in."""
     nodes, known = _scene(spark, d)
@@ -732,7 +731,6 @@ def scene_evaluation(spark, d):
     return evaluate.matrix(summaries.withColumn("mean", F.round("mean", 6)), ["constrained", "plain"])
 
 
-@query()
 def context_packs(spark, d):
     found = _written_evidence(spark, d)
     questions = found.select("question_id").distinct().withColumn("question", F.concat(F.lit("What is near T"), "question_id"))
