@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their ids."""
-    return packing.pack(docs, tokenizer_path=tokenizer_path()).withColumnRenamed("id", "doc_id")
+    """The pieces of all documents, with their ids; the order of the mix decides which come together."""
+    return packing.pack(docs, tokenizer_path=tokenizer_path(), keep_order=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -7,6 +7,9 @@ queue with its target share; the queue with the largest deficit is served next,
 takes beyond its credit is carried as a negative deficit into the next windows. The deficits a slice starts with follow
 from the tokens each queue had before it (prefix sums), so they carry across partitions too. Windows are cut from the
 resulting stream without gaps: only the last sequence is padded.
+
+Rows that come in a mixed order can keep it (keep_order): queues then stand in that order, virtual time is the place in it,
+and the target shares of a slice are those of the tokens that the order has there, so that no deficit is left at its end.
 """
 
 from __future__ import annotations
@@ -160,7 +163,7 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 def pack(
     df: DataFrame, *, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None,
-    length: int = 2048, slice_tokens: int = 1 << 22, seed: int = 11,
+    length: int = 2048, slice_tokens: int = 1 << 22, seed: int = 11, keep_order: bool = False,
 ) -> DataFrame:
     """One row for each piece: id, source, start, length, ids_crc32 (of the little-endian unsigned 32-bit ids), doc_tokens
     (with the end id), sequence_id, offset (both gapless from 0), ids (little-endian unsigned 16-bit ids of the piece).
@@ -169,14 +172,24 @@ def pack(
     tokens, so that all queues run out together. A source that runs out earlier leaves its share to the others. A null
     text is empty: one piece with the end id. A null source is a queue of its own. Rows with equal ids are packed each for
     itself. Other columns of df are not looked at.
+
+    keep_order: the order of df's rows (see place()) decides instead of weights and the seeded hash.
     """
+    if keep_order and weights:
+        raise ValueError("the order of the rows decides, or weights do")
     spark = df.sparkSession
     importable(spark)
     scratch = Scratch(spark, "packing")
     narrow = df.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), col(text_col).alias("text"))
     order = F.xxhash64(F.lit(seed), "id", "text")
     narrow = narrow.withColumn("u", (order.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)).withColumn("queue", F.xxhash64(F.lit(3), "source"))
-    tokens = scratch.write(tokenise(narrow, tokenizer_path, ["id", "source", "u", "queue"]), "tokens", compression="zstd")
+    carried = ["id", "source", "u", "queue"]
+    if keep_order:
+        part, row = place(df)
+        queue = F.xxhash64(F.lit(3), "source")
+        narrow = df.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), col(text_col).alias("text"), part.alias("part"), row.alias("row")).withColumn("queue", queue)
+        carried = ["id", "source", "queue", "part", "row"]
+    tokens = scratch.write(tokenise(narrow, tokenizer_path, carried), "tokens", compression="zstd")
 
     queues = tokens.groupBy("queue", "source").agg(F.sum("n").alias("tokens"))
     if weights:
@@ -187,18 +200,29 @@ def pack(
     queues = scratch.write(queues, "queues")
     total, weight, longest = queues.agg(F.sum("tokens"), F.sum("weight"), F.max(F.col("tokens") / F.col("weight"))).first()
     total = total or 0
-    slices = max(1, math.ceil(total / slice_tokens), min(4 * partitions(spark), total // (64 * length)))
-    # Virtual time runs from 0 to 1; a queue whose tokens are few for its weight is through earlier.
-    stretch = queues.select("queue", (F.col("tokens") / F.col("weight") / F.lit(longest or 1.0)).alias("stretch"), (F.col("weight") / F.lit(weight or 1.0)).alias("share"))
-    times = tokens.join(_small(stretch, queues), "queue")
-    cut: Column = F.least(F.floor(F.col("u") * F.col("stretch") * slices), F.lit(slices - 1)).cast("int")
-    sums = scratch.write(times.withColumn("slice", cut).groupBy("slice", "queue").agg(F.sum("n").alias("own"), F.first("share").alias("share")), "sums")
+    slices = max(1, math.ceil(total / slice_tokens), min(4 * partitions(spark), total // ((8 if keep_order else 64) * length)))
+    if keep_order:
+        parts = scratch.write(tokens.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")), "parts")
+        first = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = parts.select("part", F.coalesce(first, F.lit(0)).alias("first"), (F.col("tokens") / F.col("rows")).alias("mean"))
+        # The tokens before a row, as if those of its part were dealt evenly: a document has one at least, so no two rows are equal.
+        times = tokens.join(_small(starts, parts), "part").withColumn("u", F.col("first") + F.col("row") * F.col("mean"))
+        cut: Column = F.least(F.floor(F.col("u") * F.lit(slices / max(1, total))), F.lit(slices - 1)).cast("int")
+        share = F.col("own") / F.sum("own").over(Window.partitionBy("slice"))
+        sums = scratch.write(times.withColumn("slice", cut).groupBy("slice", "queue").agg(F.sum("n").alias("own")).withColumn("share", share), "sums")
+    else:
+        # Virtual time runs from 0 to 1; a queue whose tokens are few for its weight is through earlier.
+        stretch = queues.select("queue", (F.col("tokens") / F.col("weight") / F.lit(longest or 1.0)).alias("stretch"), (F.col("weight") / F.lit(weight or 1.0)).alias("share"))
+        times = tokens.join(_small(stretch, queues), "queue")
+        cut = F.least(F.floor(F.col("u") * F.col("stretch") * slices), F.lit(slices - 1)).cast("int")
+        sums = scratch.write(times.withColumn("slice", cut).groupBy("slice", "queue").agg(F.sum("n").alias("own"), F.first("share").alias("share")), "sums")
 
     before = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.groupBy("slice").agg(F.sum("own").alias("all"))
     base = base.select("slice", F.coalesce(F.sum("all").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     carry = sums.select("slice", "queue", "share", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("had")).join(base, "slice")
-    carry = carry.groupBy("slice").agg(F.first("base").alias("base"), F.collect_list(F.struct("queue", "share", (F.col("share") * F.col("base") - F.col("had")).alias("owed"))).alias("queues"))
+    owed = F.lit(0.0) if keep_order else F.col("share") * F.col("base") - F.col("had")
+    carry = carry.groupBy("slice").agg(F.first("base").alias("base"), F.collect_list(F.struct("queue", "share", owed.alias("owed"))).alias("queues"))
 
     def run(docs: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values(["u", "id"], kind="stable", na_position="last").reset_index(drop=True)
@@ -209,10 +233,21 @@ def pack(
         return _pieces(docs.iloc[turn], base, length)
 
     names = ", ".join(f"{n} {k}" for n, k in narrow.select("id", "source").dtypes)
-    keyed = tokens.join(_small(stretch, queues), "queue").withColumn("slice", cut).select("slice", "id", "source", "u", "queue", "n", "ids")
+    keyed = times.withColumn("slice", cut).select("slice", "id", "source", "u", "queue", "n", "ids")
     return keyed.groupBy("slice").cogroup(carry.groupBy("slice")).applyInPandas(run, f"{names}, {PIECES}")
 
 
+def place(df: DataFrame) -> tuple[Column, Column]:
+    """Where each row stands: its part (a string, in order) and its row in that, from 0. Of a table just read the parts are
+    its files, by the partition that wrote them; tasks read files in any order. Otherwise they are the partitions of df."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        at = df.metadataColumn("_metadata")
+        number = F.regexp_extract(at["file_name"], r"^part-(\d+)", 1)
+        return F.concat(F.lpad(number, 10, "0"), at["file_name"]), at["row_index"]
+    at = F.monotonically_increasing_id()
+    return F.lpad(F.shiftright(at, 33).cast("string"), 10, "0"), at.bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def _small(df: DataFrame, like: DataFrame) -> DataFrame:
     """Broadcast a table of sources only if it is small."""
     return F.broadcast(df) if like.count() <= 100_000 else df

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ontolith.llm import queries
+from ontolith.llm import mixing, queries
 
 from ..compare import SF, assert_same
 from .test_operators import brute_near, whole_ids
@@ -78,6 +78,27 @@ def test_run(spark):
     assert got.count() > 0 and "sequence_id" in got.columns
 
 
+def test_run_follows_the_mix(spark, monkeypatch):
+    """Packing serves each source in the order of the mix, by its weights; another mix, or none, gives other sequences."""
+    docs = queries.table(spark, SF, "documents")
+    rare = min(docs.groupBy("source").count().collect(), key=lambda r: (r["count"], str(r["source"])))["source"]
+    pack = ("packing", corpus_pipeline.pack_sequences)
+    mixes = {"none": None, "mix": mixing.mix(docs), "rare first": mixing.mix(docs, weights={rare: 1000, "": 1}, block_rows=1)}
+    found = {}
+    for name, mixed in mixes.items():
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("mixing", lambda s, d, p, mixed=mixed: mixing.in_order(mixed) if mixed else d), pack])
+        rows = sorted(corpus_pipeline.run(spark, SF).select("sequence_id", "offset", "doc_id", "source", "start", "length").collect())
+        found[name] = [tuple(r) for r in rows]
+        if mixed:
+            order = {r["doc_id"]: (r["slot"], r["place"]) for r in mixed.select("record.doc_id", "slot", "place").collect()}
+            for source in {r["source"] for r in rows}:
+                served = [order[r["doc_id"]] for r in rows if r["source"] == source and r["start"] == 0]
+                assert served == sorted(served)
+    assert len({tuple(rows) for rows in found.values()}) == 3 and len({sum(r[5] for r in rows) for rows in found.values()}) == 1
+    middle = {name: np.mean([r[0] for r in rows if r[3] == rare]) for name, rows in found.items()}
+    assert max(middle["rare first"], middle["mix"]) < middle["none"] / 2, middle
+
+
 def test_op3(spark):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     phrases = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
