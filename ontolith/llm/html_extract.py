@@ -32,30 +32,59 @@ MARKS = re.compile(
     r"notices?|cookies?|consent|comments?|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|"
     r"widget|pagination|pager|copyright|legal|toolbar|login|search)(?:$|[\s_-])"
 )
+#: Parts of a class that say how a page is laid out, not what an element holds (has-sidebar, comments-open).
+STATES = frozenset("has with without no not is hide show open closed enabled disabled on off".split())
+#: With these before it, "header" is that of the article (entry-header).
+OWN = frozenset("entry post article story content".split())
+#: Fixed value: a container of so many lines or more that holds over three quarters of the text is not marked by its class.
+CONTAINER = 3
 WINDOW = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and MARKS.search(value):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
+#: What a start tag ends that stands open without an end tag, and the elements that this does not reach beyond.
+_ENDS = {name: (frozenset([name]), frozenset(["ul", "ol", "menu"])) for name in ("li",)}
+_ENDS |= {name: (frozenset(["dt", "dd"]), frozenset(["dl"])) for name in ("dt", "dd")}
+_ENDS |= {name: (frozenset(["td", "th"]), frozenset(["tr", "table"])) for name in ("td", "th")}
+_ENDS |= {"tr": (frozenset(["tr"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset())}
+_P = frozenset(["p"]), frozenset("table td th caption button html body".split())
+_KEEPS_P = frozenset("body html caption tbody td tfoot th thead tr option legend".split())
+
+
+def _by_class(value: str, in_article: bool) -> bool:
+    for token in value.split():
+        parts = re.split("[_-]+", token)
+        if len(parts) > 1 and STATES & {parts[0], parts[-1]}:
+            continue
+        if parts[-1] == "header" and (in_article or OWN & set(parts)):
+            continue
+        if MARKS.search(token):
             return True
     return False
 
 
+def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Marked as not the article by what it is to a reader (hidden, a role); by words of its class or id."""
+    sure = words = False
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id"):
+            words = words or name not in ("html", "body", "main", "article") and _by_class(value, in_article)
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            sure = True
+        elif key == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
+            sure = True
+    return sure, words
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, its length outside links or 0 in what is not the article, inside a marked article) of each block."""
-    out: list[tuple[str, int, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, begins an aside, begins an article
-    asides = articles = links = 0
+    found: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
+    open_tags: list[tuple[str, bool, int, bool]] = []  # name, begins an aside, its number if its class marks it or 0, begins an article
+    asides = articles = links = marks = 0
     parts: list[str] = []
     free = 0
 
@@ -63,7 +92,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal parts, free
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            out.append((text, 0 if asides else free, articles > 0))
+            found.append((text, free, asides > 0, tuple(t[2] for t in open_tags if t[2]), articles > 0))
         parts, free = [], 0
 
     def text(raw: str) -> None:
@@ -72,6 +101,24 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not links:
             free += len(raw.strip())
 
+    def pop() -> str:
+        nonlocal asides, articles, links
+        tag, aside, _, article = open_tags.pop()
+        asides -= aside
+        articles -= article
+        links -= tag == "a"
+        return tag
+
+    def close(names: frozenset, until: frozenset) -> None:
+        """Ends the innermost of these, and what stands open inside, unless one of `until` is in between."""
+        for k in range(len(open_tags) - 1, -1, -1):
+            if open_tags[k][0] in names:
+                while len(open_tags) > k:
+                    pop()
+                return
+            if open_tags[k][0] in until:
+                return
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -93,30 +140,36 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 parts.append(" ")
         if m[1]:  # an end tag closes what stands open inside; one without a start tag closes nothing
             if any(t[0] == name for t in open_tags):
-                while open_tags:
-                    tag, aside, article = open_tags.pop()
-                    asides -= aside
-                    articles -= article
-                    links -= tag == "a"
-                    if tag == name:
-                        break
+                while pop() != name:
+                    pass
             continue
         if name in UNSEEN and not m[0].endswith("/>"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else (at if name == "head" else len(page))
             continue
+        if name in BLOCKS and name not in _KEEPS_P:  # a paragraph ends where the next block begins
+            close(*_P)
+        if name in _ENDS:
+            close(*_ENDS[name])
         if name in VOID or m[0].endswith("/>"):
             continue
-        if name == "p":  # a paragraph ends where the next one begins, inline elements left open stay open
-            open_tags[:] = [t for t in open_tags if t[0] != "p"]
         article = name in ("article", "main")
-        aside = (name in ASIDE and not (name == "header" and articles)) or _marked(m[3])
-        open_tags.append((name, aside, article))
+        sure, words = _marked(name, m[3], articles > 0) if m[3] else (False, False)
+        aside = name in ASIDE and not (name == "header" and articles) or sure
+        marks += words
+        open_tags.append((name, aside, marks if words else 0, article))
         asides += aside
         articles += article
         links += name == "a"
     flush()
-    return out
+    held: dict[int, list[int]] = {}
+    for text_, _, aside, marked, _ in found:
+        for mark in marked:
+            if not aside:
+                held.setdefault(mark, []).append(len(text_))
+    all_text = sum(len(f[0]) for f in found if not f[2])
+    whole = {mark for mark, sizes in held.items() if len(sizes) >= CONTAINER and 4 * sum(sizes) > 3 * all_text}
+    return [(t, 0 if aside or set(marked) - whole else n, inside) for t, n, aside, marked, inside in found]
 
 
 def main_text(page: str | None) -> str:

@@ -312,6 +312,22 @@ def test_html(spark):
     assert html_extract.html_extract(df.limit(0)).count() == 0
 
 
+BODY = "<p>" + "</p><p>".join(f"Sentence {k} of the long text, as a paragraph has it." for k in range(6)) + "</p>"
+PLAIN = " ".join(f"Sentence {k} of the long text, as a paragraph has it." for k in range(6))
+
+
+def test_html_asides_end():
+    for page in ("<p class='ad'>x" + BODY, "<p class='ad'>x<div>" + BODY + "</div>", "<ul><li class='share'>x<li>" + BODY + "</ul>"):
+        assert html_extract.main_text(page) == PLAIN, page
+    for page in (
+        "<body class='has-sidebar'>{}</body>", "<div class='content with-sidebar'>{}</div>", "<article class='post comments-open'>{}</article>",
+        "<main class='search'>{}</main>", "<div class='widget'>{}</div>", "<p title='a hidden gem' data-x=\"class='ad'\">" + "{}",
+    ):
+        assert html_extract.main_text(page.format(BODY)) == PLAIN, page
+    assert html_extract.main_text("<div class='entry-header'><p>Title of it</p></div>" + BODY) == "Title of it " + PLAIN
+    assert html_extract.main_text("<div class='sidebar'><p>One, two</p></div>" + BODY + "<p hidden>Not seen</p>") == PLAIN
+
+
 # ---- 8
 
 
