@@ -51,6 +51,9 @@ _ENDS |= {name: (frozenset(["dt", "dd"]), frozenset(["dl"])) for name in ("dt",
 _ENDS |= {name: (frozenset(["td", "th"]), frozenset(["tr", "table"])) for name in ("td", "th")}
 _ENDS |= {"tr": (frozenset(["tr"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset())}
 _P = frozenset(["p"]), frozenset("table td th caption button html body".split())
+LINK = "a href"
+_LINK = frozenset(["a", LINK])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KEEPS_P = frozenset("body html caption tbody td tfoot th thead tr option legend".split())
 
 
@@ -80,11 +83,12 @@ def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return sure, words
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, its length outside links or 0 in what is not the article, inside a marked article) of each block."""
-    found: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
-    open_tags: list[tuple[str, bool, int, bool]] = []  # name, begins an aside, its number if its class marks it or 0, begins an article
-    asides = articles = links = marks = 0
+def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
+    """(text, its length outside links or 0 in what is not the article, not an aside, number of the marked article that it
+    stands in or 0, a heading) of each block."""
+    found: list[tuple[str, int, bool, tuple[int, ...], int, bool]] = []
+    open_tags: list[tuple[str, bool, int, int]] = []  # name, begins an aside, its number if its class marks it or 0, likewise an article
+    asides = articles = links = marks = tops = 0
     parts: list[str] = []
     free = 0
 
@@ -92,7 +96,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal parts, free
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            found.append((text, free, asides > 0, tuple(t[2] for t in open_tags if t[2]), articles > 0))
+            found.append((text, free, asides > 0, tuple(t[2] for t in open_tags if t[2]), next((t[3] for t in reversed(open_tags) if t[3]), 0), any(t[0] in HEADINGS for t in open_tags)))
         parts, free = [], 0
 
     def text(raw: str) -> None:
@@ -105,8 +109,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal asides, articles, links
         tag, aside, _, article = open_tags.pop()
         asides -= aside
-        articles -= article
-        links -= tag == "a"
+        articles -= article > 0
+        links -= tag == LINK
         return tag
 
     def close(names: frozenset, until: frozenset) -> None:
@@ -139,9 +143,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             else:
                 parts.append(" ")
         if m[1]:  # an end tag closes what stands open inside; one without a start tag closes nothing
-            if any(t[0] == name for t in open_tags):
-                while pop() != name:
-                    pass
+            if name == "a":
+                close(_LINK, frozenset())
+            else:
+                close(frozenset([name]), frozenset())
             continue
         if name in UNSEEN and not m[0].endswith("/>"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -153,31 +158,37 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             close(*_ENDS[name])
         if name in VOID or m[0].endswith("/>"):
             continue
+        if name == "a":  # a link ends where the next one begins; without a target it is none
+            close(_LINK, frozenset(BLOCKS))
+            name = LINK if any(k.lower() == "href" for k, _ in _ATTRIBUTE.findall(m[3])) else name
         article = name in ("article", "main")
         sure, words = _marked(name, m[3], articles > 0) if m[3] else (False, False)
         aside = name in ASIDE and not (name == "header" and articles) or sure
         marks += words
-        open_tags.append((name, aside, marks if words else 0, article))
+        tops += article
+        open_tags.append((name, aside, marks if words else 0, tops if article else 0))
         asides += aside
         articles += article
-        links += name == "a"
+        links += name == LINK
     flush()
     held: dict[int, list[int]] = {}
-    for text_, _, aside, marked, _ in found:
+    for text_, _, aside, marked, *_ in found:
         for mark in marked:
             if not aside:
                 held.setdefault(mark, []).append(len(text_))
     all_text = sum(len(f[0]) for f in found if not f[2])
     whole = {mark for mark, sizes in held.items() if len(sizes) >= CONTAINER and 4 * sum(sizes) > 3 * all_text}
-    return [(t, 0 if aside or set(marked) - whole else n, inside) for t, n, aside, marked, inside in found]
+    out = []
+    for t, n, aside, marked, top, heading in found:
+        kept = not aside and not set(marked) - whole
+        out.append((t, n if kept else 0, kept, top, heading))
+    return out
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    if any(inside and n for _, n, inside in found):
-        lengths = [n if inside else 0 for _, n, inside in found]
-    else:
-        lengths = [n for _, n, _ in found]
+    tops = {top for _, n, _, top, _ in found if top and n}
+    lengths = [n if not tops or top else 0 for _, n, _, top, _ in found]
     half = WINDOW // 2
     sums = [sum(lengths[max(0, k - half) : k + half + 1]) for k in range(len(lengths))]
     best, held, start = (0, 0), 0, None
@@ -189,9 +200,21 @@ def main_text(page: str | None) -> str:
             if inside > held:
                 best, held = (start, k), inside
             start = None
-    if any(inside and n for _, n, inside in found):
-        return " ".join(t for (t, _, _), n in zip(found, lengths, strict=True) if n)
-    return " ".join(found[k][0] for k in range(*best) if lengths[k])
+    if tops:
+        return " ".join(t for t, _, kept, top, _ in found if kept and top in tops)
+    first, last = _edges(found, lengths, *best)
+    return " ".join(found[k][0] for k in range(first, last) if found[k][2])
+
+
+def _edges(found: list[tuple[str, int, bool, int, bool]], lengths: list[int], first: int, last: int) -> tuple[int, int]:
+    """A region reaches from its first line with a length to its last, with the headings right before it."""
+    while first < last and not lengths[first]:
+        first += 1
+    while first < last and not lengths[last - 1]:
+        last -= 1
+    while first < last and first and found[first - 1][2] and found[first - 1][4]:
+        first -= 1
+    return first, last
 
 
 def html_extract(df: DataFrame, *, html_col: str = "html") -> DataFrame:

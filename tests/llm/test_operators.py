@@ -328,6 +328,15 @@ def test_html_asides_end():
     assert html_extract.main_text("<div class='sidebar'><p>One, two</p></div>" + BODY + "<p hidden>Not seen</p>") == PLAIN
 
 
+def test_html_keeps_links_of_the_article():
+    inside = "<h2><a href='#t'>Heading</a></h2>" + BODY + "<p><a href='/s'>A sentence.</a></p><ul><li><a href='/r'>Reference</a></li></ul><p>End of it.</p>"
+    assert html_extract.main_text("<article>" + inside + "</article>") == "Heading " + PLAIN + " A sentence. Reference End of it."
+    assert html_extract.main_text("<div>" + inside + "</div>") == "Heading " + PLAIN + " A sentence. Reference End of it."
+    assert html_extract.main_text("<div><a name=x>" + BODY + "</div><p><a href=/y>More</a></p>") == PLAIN
+    tops = "".join(f"<div><a href=/{k}>Link {k}" for k in range(2)) + "</div></div>"
+    assert html_extract.main_text("<article><p>One <a href=/a>two <a href=/b>three</a> four.</p>" + BODY + "</article>" + tops) == "One two three four. " + PLAIN
+
+
 # ---- 8
 
 
