@@ -2,8 +2,8 @@
 
 Markup is stripped to lines, one for each block element. A line's length is that of its text outside links, 0 if it stands
 in a menu, header, footer, sidebar, advert, form or the like. Lengths are summed over sliding windows of lines; where the
-sums rise from nothing is a surge point, where they fall back to nothing a dive point. The text between the surge and dive
-points that enclose the most text is kept. If a page marks its article, lines outside it have length 0.
+sums rise from nothing is a surge point, where they fall back to nothing a dive point. The regions between surge and dive
+points are kept that are dense enough next to the one with the most text, and what is between them if it is less than they are. If a page marks its article, lines outside it have length 0.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ OWN = frozenset("entry post article story content".split())
 #: Fixed value: a container of so many lines or more that holds over three quarters of the text is not marked by its class.
 CONTAINER = 3
 WINDOW = 3
+#: Fixed value: a region is kept whose mean line has this share of that of the region with the most text.
+DENSITY = 1 / 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
@@ -189,21 +191,35 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     tops = {top for _, n, _, top, _ in found if top and n}
     lengths = [n if not tops or top else 0 for _, n, _, top, _ in found]
-    half = WINDOW // 2
+    if tops:
+        return " ".join(t for t, _, kept, top, _ in found if kept and top in tops)
+    regions = _regions(found, lengths)
+    best = max(regions, key=lambda r: r[2], default=(0, 0, 0, 0.0))
+    kept = [r for r in regions if r[3] >= DENSITY * best[3]]
+    chosen = set()
+    for k, (first, last, size, _) in enumerate(kept):
+        chosen.update(range(first, last))
+        if k and _size(found, kept[k - 1][1], first) < kept[k - 1][2] + size:  # a gap inside the body
+            chosen.update(range(kept[k - 1][1], first))
+    return " ".join(found[k][0] for k in sorted(chosen) if found[k][2])
+
+
+def _size(found: list[tuple[str, int, bool, int, bool]], first: int, last: int) -> int:
+    return sum(len(t) for t, _, kept, *_ in found[first:last] if kept)
+
+
+def _regions(found: list[tuple[str, int, bool, int, bool]], lengths: list[int]) -> list[tuple[int, int, int, float]]:
+    """(first line, line after the last, length, mean length of a line) between each surge point and its dive point."""
+    half, start, out = WINDOW // 2, None, []
     sums = [sum(lengths[max(0, k - half) : k + half + 1]) for k in range(len(lengths))]
-    best, held, start = (0, 0), 0, None
     for k, total in enumerate([*sums, 0]):
         if total and start is None:  # surge
             start = k
         elif not total and start is not None:  # dive
-            inside = sum(lengths[start:k])
-            if inside > held:
-                best, held = (start, k), inside
+            size, n = sum(lengths[start:k]), sum(x > 0 for x in lengths[start:k])
+            out.append((*_edges(found, lengths, start, k), size, size / n))
             start = None
-    if tops:
-        return " ".join(t for t, _, kept, top, _ in found if kept and top in tops)
-    first, last = _edges(found, lengths, *best)
-    return " ".join(found[k][0] for k in range(first, last) if found[k][2])
+    return out
 
 
 def _edges(found: list[tuple[str, int, bool, int, bool]], lengths: list[int], first: int, last: int) -> tuple[int, int]:

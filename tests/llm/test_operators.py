@@ -337,6 +337,15 @@ def test_html_keeps_links_of_the_article():
     assert html_extract.main_text("<article><p>One <a href=/a>two <a href=/b>three</a> four.</p>" + BODY + "</article>" + tops) == "One two three four. " + PLAIN
 
 
+def test_html_bridges_what_interrupts_the_article():
+    items, shares = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(4)), "<div class='share'><p>a</p><p>b</p><p>c</p><p>d</p></div>"
+    end = "<p>The smaller part, after it.</p>"
+    menu = "<div>" + "".join(f"<p><a href=/m{k}>Elsewhere {k}</a></p>" for k in range(9)) + "</div>"
+    assert html_extract.main_text(menu + "<div>" + BODY + "<ul>" + items + "</ul>" + end + "</div>" + menu) == PLAIN + " Item 0 Item 1 Item 2 Item 3 The smaller part, after it."
+    assert html_extract.main_text("<div>" + end + shares + BODY + shares + end + "</div>") == "The smaller part, after it. " + PLAIN + " The smaller part, after it."
+    assert html_extract.main_text("<div>" + BODY + "</div>" + menu + "<div><p>(c) x</p></div>") == PLAIN
+
+
 # ---- 8
 
 
