@@ -3,7 +3,9 @@
 Markup is stripped to lines, one for each block element. A line's length is that of its text outside links, 0 if it stands
 in a menu, header, footer, sidebar, advert, form or the like. Lengths are summed over sliding windows of lines; where the
 sums rise from nothing is a surge point, where they fall back to nothing a dive point. The regions between surge and dive
-points are kept that are dense enough next to the one with the most text, and what is between them if it is less than they are. If a page marks its article, lines outside it have length 0.
+points are kept that are dense enough next to the one with the most text, and what is between them if it is less than they
+are. If a page marks its article, the tag is a weight on lines: what is outside must be denser to be kept, unless most of the
+text is there. Of an <article> with a region that is kept, all lines outside asides are.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ CONTAINER = 3
 WINDOW = 3
 #: Fixed value: a region is kept whose mean line has this share of that of the region with the most text.
 DENSITY = 1 / 8
+#: Fixed value: how much more a line counts in a marked article; outside it, a region must be as much denser.
+WEIGHT = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
@@ -86,8 +90,8 @@ def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 
 
 def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
-    """(text, its length outside links or 0 in what is not the article, not an aside, number of the marked article that it
-    stands in or 0, a heading) of each block."""
+    """(text, its length outside links or 0 in what is not the article, not an aside, number of the article that it
+    stands in, negative if that is marked by <main> only, or 0, a heading) of each block."""
     found: list[tuple[str, int, bool, tuple[int, ...], int, bool]] = []
     open_tags: list[tuple[str, bool, int, int]] = []  # name, begins an aside, its number if its class marks it or 0, likewise an article
     asides = articles = links = marks = tops = 0
@@ -111,7 +115,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
         nonlocal asides, articles, links
         tag, aside, _, article = open_tags.pop()
         asides -= aside
-        articles -= article > 0
+        articles -= article != 0
         links -= tag == LINK
         return tag
 
@@ -168,7 +172,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
         aside = name in ASIDE and not (name == "header" and articles) or sure
         marks += words
         tops += article
-        open_tags.append((name, aside, marks if words else 0, tops if article else 0))
+        open_tags.append((name, aside, marks if words else 0, (-tops if name == "main" else tops) if article else 0))
         asides += aside
         articles += article
         links += name == LINK
@@ -189,17 +193,17 @@ def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    tops = {top for _, n, _, top, _ in found if top and n}
-    lengths = [n if not tops or top else 0 for _, n, _, top, _ in found]
-    if tops:
-        return " ".join(t for t, _, kept, top, _ in found if kept and top in tops)
-    regions = _regions(found, lengths)
-    best = max(regions, key=lambda r: r[2], default=(0, 0, 0, 0.0))
-    kept = [r for r in regions if r[3] >= DENSITY * best[3]]
-    chosen = set()
-    for k, (first, last, size, _) in enumerate(kept):
+    regions = _regions(found)
+    most = max(regions, key=lambda r: r[2] * (WEIGHT if r[4] else 1), default=None)
+    if not most:
+        return ""
+    weighed = most[4] != 0  # else the tag stands on something else than the text
+    kept = [r for r in regions if r is most or r[3] >= DENSITY * most[3] * (1 if not weighed else 1 / WEIGHT if r[4] else WEIGHT)]
+    tops = {r[4] for r in kept if r[4] > 0}
+    chosen = {k for k, f in enumerate(found) if f[3] in tops}
+    for k, (first, last, size, _, top) in enumerate(kept):
         chosen.update(range(first, last))
-        if k and _size(found, kept[k - 1][1], first) < kept[k - 1][2] + size:  # a gap inside the body
+        if k and top == kept[k - 1][4] and _size(found, kept[k - 1][1], first) < kept[k - 1][2] + size:  # a gap inside the body
             chosen.update(range(kept[k - 1][1], first))
     return " ".join(found[k][0] for k in sorted(chosen) if found[k][2])
 
@@ -208,27 +212,35 @@ def _size(found: list[tuple[str, int, bool, int, bool]], first: int, last: int)
     return sum(len(t) for t, _, kept, *_ in found[first:last] if kept)
 
 
-def _regions(found: list[tuple[str, int, bool, int, bool]], lengths: list[int]) -> list[tuple[int, int, int, float]]:
-    """(first line, line after the last, length, mean length of a line) between each surge point and its dive point."""
-    half, start, out = WINDOW // 2, None, []
-    sums = [sum(lengths[max(0, k - half) : k + half + 1]) for k in range(len(lengths))]
-    for k, total in enumerate([*sums, 0]):
-        if total and start is None:  # surge
-            start = k
-        elif not total and start is not None:  # dive
-            size, n = sum(lengths[start:k]), sum(x > 0 for x in lengths[start:k])
-            out.append((*_edges(found, lengths, start, k), size, size / n))
-            start = None
+def _regions(found: list[tuple[str, int, bool, int, bool]]) -> list[tuple[int, int, int, float, int]]:
+    """(first line, line after the last, length, mean length of a line, article) between each surge point and its dive point;
+    where an article begins or ends, a region does too."""
+    half, out, begin = WINDOW // 2, [], 0
+    while begin < len(found):
+        top, end = found[begin][3], begin
+        while end < len(found) and found[end][3] == top:
+            end += 1
+        lengths = [f[1] for f in found[begin:end]]
+        sums = [sum(lengths[max(0, k - half) : k + half + 1]) for k in range(len(lengths))]
+        start = None
+        for k, total in enumerate([*sums, 0]):
+            if total and start is None:  # surge
+                start = k
+            elif not total and start is not None:  # dive
+                size, n = sum(lengths[start:k]), sum(x > 0 for x in lengths[start:k])
+                out.append((*_edges(found, begin + start, begin + k), size, size / n, top))
+                start = None
+        begin = end
     return out
 
 
-def _edges(found: list[tuple[str, int, bool, int, bool]], lengths: list[int], first: int, last: int) -> tuple[int, int]:
+def _edges(found: list[tuple[str, int, bool, int, bool]], first: int, last: int) -> tuple[int, int]:
     """A region reaches from its first line with a length to its last, with the headings right before it."""
-    while first < last and not lengths[first]:
+    while first < last and not found[first][1]:
         first += 1
-    while first < last and not lengths[last - 1]:
+    while first < last and not found[last - 1][1]:
         last -= 1
-    while first < last and first and found[first - 1][2] and found[first - 1][4]:
+    while first and found[first - 1][2] and found[first - 1][4] and found[first - 1][3] == found[first][3]:
         first -= 1
     return first, last
 

@@ -346,6 +346,16 @@ def test_html_bridges_what_interrupts_the_article():
     assert html_extract.main_text("<div>" + BODY + "</div>" + menu + "<div><p>(c) x</p></div>") == PLAIN
 
 
+def test_html_weighs_marked_articles():
+    teaser, note = "<article><p>Read this too.</p></article>", "<div><p>A short unmarked note.</p></div>"
+    assert html_extract.main_text(teaser + "<div>" + BODY + BODY + "</div>") == "Read this too. " + PLAIN + " " + PLAIN
+    links = "<div>" + "".join(f"<p><a href=/{k}>Link {k}</a></p>" for k in range(5)) + "</div>"
+    for tag in ("article", "main"):
+        assert html_extract.main_text(note + f"<{tag}>" + BODY + links + "<p>End.</p>" + f"</{tag}>" + note) == PLAIN + " Link 0 Link 1 Link 2 Link 3 Link 4 End."
+    assert html_extract.main_text("<main><div>" + BODY + "</div><article>" + BODY + "</article></main>") == PLAIN + " " + PLAIN
+    assert html_extract.main_text("<article><p><a href=/x>Only a link</a></p></article>" + note) == "A short unmarked note."
+
+
 # ---- 8
 
 
