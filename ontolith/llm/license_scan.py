@@ -23,8 +23,46 @@ from .common import col, importable
 #: Phrases and labels of the base scan.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-#: Notices as their licenses word them; [[optional]], {{replaceable:most words}}.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+    the {{quote:1}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+    distribute sublicense and or sell copies of the software"""
+_NO_WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
+    merchantability fitness for a particular purpose and noninfringement in no event shall the authors [[or copyright holders]] be liable for
+    any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+    software or the use or other dealings in the software"""
+_BSD = """[[copyright {{holder:60}}]] redistribution and use in source and binary forms with or without modification are permitted provided that
+    the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions
+    and the following disclaimer"""
+_BSD_2 = """[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+    in the documentation and or other materials provided with the distribution"""
+_BSD_END = """this software is provided by {{holder:12}} as is and any express or implied warranties including but not limited to the implied
+    warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{holder:12}} be liable for any direct
+    indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+    loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability
+    or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such
+    damage"""
+
+#: Notices as their licenses word them; [[optional]], {{replaceable:most words}}. Labels in -text are the opening
+#: words of a license and say nothing of the rest; those in -license are written out to the end of the mandatory wording.
 TEMPLATES = {
+    "mit-license": f"""[[the mit license]] [[copyright {{{{holder:60}}}}]] {_MIT} and to permit persons to whom the software is furnished to do so
+        subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be
+        included in all copies or substantial portions of the software {_NO_WARRANTY}""",
+    "isc-license": """[[isc license]] [[copyright {{holder:60}}]] permission to use copy modify and [[or]] distribute this software for any purpose
+        with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the
+        software is provided as is and {{holder:6}} disclaims all warranties with regard to this software including all implied warranties of
+        merchantability and fitness in no event shall {{holder:6}} be liable for any special direct indirect or consequential damages or any
+        damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action
+        arising out of or in connection with the use or performance of this software""",
+    "bsd-2-license": f"{_BSD} {_BSD_2} {_BSD_END}",
+    "bsd-3-license": f"""{_BSD} {_BSD_2} [[3]] neither the name of {{{{holder:12}}}} nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission {_BSD_END}""",
+    "unlicense-license": f"""this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile
+        sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and
+        by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright
+        interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of
+        our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future
+        rights to this software under copyright law {_NO_WARRANTY}""",
     "mit-text": """[[the mit license]] [[copyright {{holder:60}}]] permission is hereby granted free of charge to any person obtaining a copy of this
         software and associated documentation files the {{quote:1}} to deal in the software without restriction including without limitation
         the rights to use copy modify merge publish distribute sublicense and or sell copies of the software""",

@@ -135,6 +135,21 @@ def test_license_scan(spark):
     assert license_scan.license_scan(empty(spark)).count() == 0
 
 
+def test_whole_licenses():
+    """A whole text has its -license label; one cut off or altered near its end only that of its opening words."""
+    scanner = license_scan.Scanner({}, license_scan.TEMPLATES)
+
+    def labels(text):
+        found = license_scan.words(text)
+        return {a.label for a in scanner.automata if a.spans(found, b" " + b" ".join(found) + b" ")}
+
+    fill = lambda t: re.sub(r"\{\{\w+:\d+\}\}", "x", re.sub(r"\[\[.*?\]\]", " ", t))
+    for name in ("mit", "isc", "bsd-2", "bsd-3", "unlicense"):
+        text, opening = fill(license_scan.TEMPLATES[f"{name}-license"]), f"{name.split('-')[0]}-text"
+        assert labels(text) == {f"{name}-license", opening}
+        assert labels(" ".join(text.split()[:-5])) == labels(text.replace("warranties of", "promises of")) == {opening}
+
+
 def test_automata_against_patterns():
     rng = np.random.default_rng(0)
     template = "a b [[c [[d]] ]] {{x:2}} e [[f]] g"
