@@ -1,8 +1,8 @@
 """Removal of lines that documents share, by a sharded minimal perfect hash.
 
-The distinct hashes of the lines that stand in two documents or more are dealt to shards. For each shard a minimal perfect
-hash (hash and displace) is built; it maps n hashes to 0..n-1 and indexes three arrays: a fingerprint (the second half of
-the 128-bit line hash), the count of documents, and the smallest document. Documents do not join lines: their line hashes
+An aggregation finds the distinct hashes of the lines that stand in two documents or more, and the smallest document of each.
+They are dealt to shards. For each shard a minimal perfect hash (hash and displace) is built; it maps n hashes to 0..n-1 and
+indexes two arrays: a fingerprint (the second half of the 128-bit line hash) and the smallest document. Documents do not join lines: their line hashes
 go to the shard, probe its arrays, and only those to drop come back. A shard is sent to `copies` places, so that a line
 which stands in a third of all documents is probed in as many tasks.
 """
@@ -99,22 +99,22 @@ class PerfectHash:
         return self._place(keys, self.moves[bucket].astype(np.uint64))
 
 
-SHARD = "shard int, n long, moves binary, fingerprints binary, counts binary, firsts binary"
+SHARD = "shard int, n long, moves binary, fingerprints binary, firsts binary"
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The arrays of one shard, from its rows (shard, high, low, n, first)."""
+    """The arrays of one shard, from its rows (shard, high, low, first)."""
     keys = pdf["high"].to_numpy(np.int64).view(np.uint64)
     # two keys may share the first half of their hashes; the second half is mixed in, so that places stay distinct
     keys = keys ^ _mix(pdf["low"].to_numpy(np.int64).view(np.uint64), 3)
     ph = PerfectHash(keys)
     at = ph(keys)
     arrays = {}
-    for name, kind in (("low", np.int64), ("n", np.int64), ("first", np.int64)):
+    for name, kind in (("low", np.int64), ("first", np.int64)):
         arrays[name] = np.zeros(len(pdf), dtype=kind)
         arrays[name][at] = pdf[name].to_numpy(kind)
     return pd.DataFrame(
-        {"shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "moves": [ph.moves.tobytes()], "fingerprints": [arrays["low"].tobytes()], "counts": [np.minimum(arrays["n"], 2**31 - 1).astype(np.int32).tobytes()], "firsts": [arrays["first"].tobytes()]}
+        {"shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "moves": [ph.moves.tobytes()], "fingerprints": [arrays["low"].tobytes()], "firsts": [arrays["first"].tobytes()]}
     )
 
 
@@ -161,7 +161,7 @@ def line_dedup(
     lines = scratch.write(narrow.mapInPandas(hashes, "id long, high long, low long"), "lines")
     shared = (
         lines.groupBy("high", "low")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where("last > first")
         .drop("last")
     )
@@ -169,7 +169,7 @@ def line_dedup(
     sizes = shared.count(), lines.count()
     shards = max(1, -(-sizes[0] // shard_keys), -(-sizes[1] // (shard_keys * copies)), partitions(spark) // 8)
     shard = F.pmod(F.xxhash64("high", "low"), F.lit(shards)).cast("int").alias("shard")
-    arrays = scratch.write(shared.select(shard, "high", "low", "n", "first").groupBy("shard").applyInPandas(_build, SHARD), "arrays")
+    arrays = scratch.write(shared.select(shard, "high", "low", "first").groupBy("shard").applyInPandas(_build, SHARD), "arrays")
 
     routed = lines.select(shard, F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(copies)).cast("int").alias("copy"), "id", "high", "low")
     placed = arrays.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -501,6 +502,14 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_shard_arrays_are_those_probed():
+    rows = pd.DataFrame({"shard": 0, "high": np.arange(9), "low": np.arange(9) * 7, "first": 5})
+    built = line_dedup._build(rows)
+    assert list(built.columns) == [x.split()[0] for x in line_dedup.SHARD.split(", ")] == ["shard", "n", "moves", "fingerprints", "firsts"]
+    lines = pd.DataFrame({"id": [4, 5, 6, 6], "high": [3, 3, 3, 3], "low": [21, 21, 21, 22]})
+    assert line_dedup._probe(lines, built).values.tolist() == [[6, 3, 21]]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(7)
     for n in (0, 1, 2, 3, 10, 5000):
