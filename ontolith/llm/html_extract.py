@@ -4,8 +4,8 @@ Markup is stripped to lines, one for each block element. A line's length is that
 in a menu, header, footer, sidebar, advert, form or the like. Lengths are summed over sliding windows of lines; where the
 sums rise from nothing is a surge point, where they fall back to nothing a dive point. The regions between surge and dive
 points are kept that are dense enough next to the one with the most text, and what is between them if it is less than they
-are. If a page marks its article, the tag is a weight on lines: what is outside must be denser to be kept, unless most of the
-text is there. Of an <article> with a region that is kept, all lines outside asides are.
+are. If a page marks its article, the tag is a weight on lines: inside, text in links has a length too, and what is outside
+must be denser to be kept, unless most of the text is there.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import col, importable
 
-#: Elements by their meaning in HTML.
-UNSEEN = frozenset("script style noscript template iframe svg math object canvas audio video head title select textarea button datalist".split())
+#: Elements by their meaning in HTML. What RAW ones hold is not markup; of the others nothing is shown as text.
+RAW = frozenset("script style title textarea iframe noscript".split())
+UNSEEN = frozenset("template svg math object canvas audio video head select button datalist".split())
 ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5
@@ -30,10 +32,15 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class and id that mark what is not the article.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed)?|promo|sidebar|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
-    r"notices?|cookies?|consent|comments?|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|"
-    r"widget|pagination|pager|copyright|legal|toolbar|login|search)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed)?|sidebar|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
+    r"cookies?|consent|comments?|disqus|share|sharing|newsletter|subscribe|signup|pagination|pager)(?:$|[\s_-])"
 )
+#: Words that mark containers only; a paragraph or heading may be about them.
+CONTAINER_MARKS = re.compile(
+    r"(?:^|[\s_-])(?:promo|side|notices?|replies|respond|social|related|recommended|popup|modal|widget|copyright|legal|toolbar|login|search)(?:$|[\s_-])"
+)
+#: Elements that hold text, not other blocks.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption pre blockquote legend span a b i em strong small u s q mark code".split())
 #: Parts of a class that say how a page is laid out, not what an element holds (has-sidebar, comments-open).
 STATES = frozenset("has with without no not is hide show open closed enabled disabled on off".split())
 #: With these before it, "header" is that of the article (entry-header).
@@ -46,8 +53,10 @@ DENSITY = 1 / 8
 #: Fixed value: how much more a line counts in a marked article; outside it, a region must be as much denser.
 WEIGHT = 16
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+#: Tags and what is not text; a quotation mark is one only after an equals sign and if another follows.
+_ATTRIBUTES = r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+|[^>=])*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _SPACE = re.compile(r"\s+")
 
 
@@ -63,14 +72,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KEEPS_P = frozenset("body html caption tbody td tfoot th thead tr option legend".split())
 
 
-def _by_class(value: str, in_article: bool) -> bool:
+def _by_class(name: str, value: str, in_article: bool) -> bool:
     for token in value.split():
         parts = re.split("[_-]+", token)
         if len(parts) > 1 and STATES & {parts[0], parts[-1]}:
             continue
         if parts[-1] == "header" and (in_article or OWN & set(parts)):
             continue
-        if MARKS.search(token):
+        if MARKS.search(token) or name not in TEXTS and CONTAINER_MARKS.search(token):
             return True
     return False
 
@@ -81,7 +90,7 @@ def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            words = words or name not in ("html", "body", "main", "article") and _by_class(value, in_article)
+            words = words or name not in ("html", "body", "main", "article") and _by_class(name, value, in_article)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             sure = True
         elif key == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
@@ -89,45 +98,117 @@ def _marked(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return sure, words
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
-    """(text, its length outside links or 0 in what is not the article, not an aside, number of the article that it
-    stands in, negative if that is marked by <main> only, or 0, a heading) of each block."""
-    found: list[tuple[str, int, bool, tuple[int, ...], int, bool]] = []
-    open_tags: list[tuple[str, bool, int, int]] = []  # name, begins an aside, its number if its class marks it or 0, likewise an article
-    asides = articles = links = marks = tops = 0
-    parts: list[str] = []
-    free = 0
+class Line(NamedTuple):
+    text: str
+    free: int  # length outside links, 0 in what is not the article
+    length: int  # in a marked article, links included
+    kept: bool  # does not stand in an aside
+    article: int  # number of the article that it stands in, negative if that is marked by <main> only, or 0
+    heading: bool
+    holder: int  # number of the container that it stands in, or 0
+
+
+class Tag(NamedTuple):
+    """An element that stands open."""
+
+    name: str
+    aside: bool
+    mark: int  # number of its mark if its class marks it, or 0
+    article: int  # its number if it is one, or 0
+    unseen: bool
+    loose: bool  # unseen, without an end tag in the rest of the page
+    holds: bool  # a container: it holds other blocks
+
+
+class _Page:
+    """What stands open while a page is read. For each name the places on the stack are kept, so that a tag costs the same
+    however many elements stand open; every element is pushed and popped once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stack: list[Tag] = []
+        self.places: dict[str, list[int]] = {}
+        self.marks: list[int] = []
+        self.articles: list[int] = []
+        self.hidden: list[int] = []  # places of unseen elements
+        self.holders: list[int] = []
+        self.parents = [0]  # of each mark, the mark that it stands in
+        self.tops = self.asides = self.links = self.headings = self.containers = 0
+        self.ends: dict[str, int] = {}
+
+    def push(self, tag: Tag) -> None:
+        self.places.setdefault(tag.name, []).append(len(self.stack))
+        if tag.unseen:
+            self.hidden.append(len(self.stack))
+        self.stack.append(tag)
+        self._count(tag, 1)
+        if tag.holds:
+            self.containers += 1
+            self.holders.append(self.containers)
+        if tag.mark:
+            self.marks.append(tag.mark)
+        if tag.article:
+            self.articles.append(tag.article)
+
+    def _count(self, tag: Tag, by: int) -> None:
+        self.asides += by * tag.aside
+        self.links += by * (tag.name == LINK)
+        self.headings += by * (tag.name in HEADINGS)
+
+    def cut(self, size: int) -> None:
+        """Ends all elements from that place on."""
+        while len(self.stack) > size:
+            tag = self.stack.pop()
+            self.places[tag.name].pop()
+            self._count(tag, -1)
+            if tag.unseen:
+                self.hidden.pop()
+            if tag.holds:
+                self.holders.pop()
+            if tag.mark:
+                self.marks.pop()
+            if tag.article:
+                self.articles.pop()
+
+    def innermost(self, names: frozenset) -> int:
+        return max((places[-1] for n in names if (places := self.places.get(n))), default=-1)
+
+    def close(self, names: frozenset, until: frozenset = frozenset()) -> None:
+        """Ends the innermost of these, and what stands open inside, unless one of `until` is in between."""
+        at = self.innermost(names)
+        if at >= 0 and self.innermost(until) < at:
+            self.cut(at)
+
+    def end_of(self, name: str, at: int) -> re.Match | None:
+        """The next end tag from `at` on. Places only rise, so what was found once is not looked for again."""
+        known = self.ends.get(name, 0)
+        if known < 0:
+            return None
+        found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.page, max(at, known))
+        self.ends[name] = found.start() if found else -1
+        return found
+
+
+def lines(page: str) -> list[Line]:
+    """The text of each block in page order."""
+    found: list[tuple[Line, int]] = []  # with the mark that it stands in
+    state, parts, free = _Page(page), [], 0
 
     def flush() -> None:
-        nonlocal parts, free
+        nonlocal free
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            found.append((text, free, asides > 0, tuple(t[2] for t in open_tags if t[2]), next((t[3] for t in reversed(open_tags) if t[3]), 0), any(t[0] in HEADINGS for t in open_tags)))
-        parts, free = [], 0
+            mark, article, holder = (x[-1] if x else 0 for x in (state.marks, state.articles, state.holders))
+            found.append((Line(text, free, 0, not state.asides, article, state.headings > 0, holder), mark))
+        parts.clear()
+        free = 0
 
     def text(raw: str) -> None:
         nonlocal free
-        parts.append(raw)
-        if not links:
-            free += len(raw.strip())
-
-    def pop() -> str:
-        nonlocal asides, articles, links
-        tag, aside, _, article = open_tags.pop()
-        asides -= aside
-        articles -= article != 0
-        links -= tag == LINK
-        return tag
-
-    def close(names: frozenset, until: frozenset) -> None:
-        """Ends the innermost of these, and what stands open inside, unless one of `until` is in between."""
-        for k in range(len(open_tags) - 1, -1, -1):
-            if open_tags[k][0] in names:
-                while len(open_tags) > k:
-                    pop()
-                return
-            if open_tags[k][0] in until:
-                return
+        if not state.hidden:
+            parts.append(raw)
+            if not state.links:
+                free += len(raw.strip())
 
     at = 0
     while at < len(page):
@@ -143,111 +224,167 @@ def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
                 text(m[0][9:].removesuffix("]]>"))
             continue
         name = m[2].lower()
-        if name in BLOCKS or name == "br":
-            if name != "br":
-                flush()
-            else:
-                parts.append(" ")
+        block = name in BLOCKS
+        if block:
+            flush()
+            if state.hidden:
+                _show(state, name, bool(m[1]))
+        elif name == "br":
+            text(" ")
         if m[1]:  # an end tag closes what stands open inside; one without a start tag closes nothing
-            if name == "a":
-                close(_LINK, frozenset())
-            else:
-                close(frozenset([name]), frozenset())
+            state.close(_LINK if name == "a" else frozenset([name]))
             continue
-        if name in UNSEEN and not m[0].endswith("/>"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (at if name == "head" else len(page))
+        if name in RAW and not m[0].endswith("/>"):
+            if end := state.end_of(name, at):
+                at = end.end()
+            elif name in ("script", "style"):
+                break
+            else:  # without an end tag: up to the next tag
+                after = page.find("<", at)
+                at = after if after >= 0 else len(page)
             continue
-        if name in BLOCKS and name not in _KEEPS_P:  # a paragraph ends where the next block begins
-            close(*_P)
+        if block and name not in _KEEPS_P:  # a paragraph ends where the next block begins
+            state.close(*_P)
         if name in _ENDS:
-            close(*_ENDS[name])
+            state.close(*_ENDS[name])
         if name in VOID or m[0].endswith("/>"):
             continue
         if name == "a":  # a link ends where the next one begins; without a target it is none
-            close(_LINK, frozenset(BLOCKS))
+            state.close(_LINK, BLOCKS)
             name = LINK if any(k.lower() == "href" for k, _ in _ATTRIBUTE.findall(m[3])) else name
         article = name in ("article", "main")
-        sure, words = _marked(name, m[3], articles > 0) if m[3] else (False, False)
-        aside = name in ASIDE and not (name == "header" and articles) or sure
-        marks += words
-        tops += article
-        open_tags.append((name, aside, marks if words else 0, (-tops if name == "main" else tops) if article else 0))
-        asides += aside
-        articles += article
-        links += name == LINK
+        sure, words = _marked(name, m[3], bool(state.articles)) if m[3] else (False, False)
+        if words:
+            state.parents.append(state.marks[-1] if state.marks else 0)
+        state.tops += article
+        unseen = name in UNSEEN
+        state.push(
+            Tag(
+                name,
+                name in ASIDE and not (name == "header" and state.articles) or sure,
+                len(state.parents) - 1 if words else 0,
+                (-state.tops if name == "main" else state.tops) if article else 0,
+                unseen,
+                unseen and not state.end_of(name, at),
+                block and name not in TEXTS and name not in ("html", "body"),
+            )
+        )
     flush()
-    held: dict[int, list[int]] = {}
-    for text_, _, aside, marked, *_ in found:
-        for mark in marked:
-            if not aside:
-                held.setdefault(mark, []).append(len(text_))
-    all_text = sum(len(f[0]) for f in found if not f[2])
-    whole = {mark for mark, sizes in held.items() if len(sizes) >= CONTAINER and 4 * sum(sizes) > 3 * all_text}
-    out = []
-    for t, n, aside, marked, top, heading in found:
-        kept = not aside and not set(marked) - whole
-        out.append((t, n if kept else 0, kept, top, heading))
-    return out
+    return _judged(found, state.parents)
+
+
+#: What a select may hold, and where in a drawing there is text.
+_OPTIONS = frozenset("option optgroup hr legend".split())
+_IN_DRAWING = frozenset("foreignobject desc title".split())
+
+
+def _show(state: _Page, name: str, end: bool) -> None:
+    """A block's tag ends what cannot hold a block, or was never ended: a head, a select, a drawing, what has no end tag."""
+    while state.hidden:
+        at = state.hidden[-1]
+        tag = state.stack[at]
+        inside = tag.name in ("select", "datalist") and name in _OPTIONS or tag.name in ("svg", "math") and state.innermost(_IN_DRAWING) > at
+        if tag.loose and not (inside and tag.name in ("select", "datalist")) or not end and not inside and tag.name in ("head", "select", "datalist", "svg", "math"):
+            state.cut(at)
+        else:
+            return
+
+
+def _judged(found: list[tuple[Line, int]], parents: list[int]) -> list[Line]:
+    """Lines in asides and in what a class marks have length 0, unless that holds most of the page."""
+    counts, sizes = [0] * len(parents), [0] * len(parents)
+    for line, mark in found:
+        counts[mark] += line.kept
+        sizes[mark] += len(line.text) * line.kept
+    all_text = sum(sizes)
+    for mark in range(len(parents) - 1, 0, -1):  # a mark comes after the one that it stands in
+        counts[parents[mark]] += counts[mark]
+        sizes[parents[mark]] += sizes[mark]
+    out = [False] * len(parents)
+    for mark in range(1, len(parents)):
+        out[mark] = out[parents[mark]] or not (counts[mark] >= CONTAINER and 4 * sizes[mark] > 3 * all_text)
+    judged = []
+    for line, mark in found:
+        kept = line.kept and not out[mark]
+        judged.append(line._replace(free=line.free if kept else 0, length=(len(line.text) if line.article else line.free) if kept else 0, kept=kept))
+    return judged
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
     regions = _regions(found)
-    most = max(regions, key=lambda r: r[2] * (WEIGHT if r[4] else 1), default=None)
+    most = max(regions, key=lambda r: (r.free * (WEIGHT if r.article else 1), r.size), default=None)
     if not most:
         return ""
-    weighed = most[4] != 0  # else the tag stands on something else than the text
-    kept = [r for r in regions if r is most or r[3] >= DENSITY * most[3] * (1 if not weighed else 1 / WEIGHT if r[4] else WEIGHT)]
-    tops = {r[4] for r in kept if r[4] > 0}
-    chosen = {k for k, f in enumerate(found) if f[3] in tops}
-    for k, (first, last, size, _, top) in enumerate(kept):
-        chosen.update(range(first, last))
-        if k and top == kept[k - 1][4] and _size(found, kept[k - 1][1], first) < kept[k - 1][2] + size:  # a gap inside the body
-            chosen.update(range(kept[k - 1][1], first))
-    return " ".join(found[k][0] for k in sorted(chosen) if found[k][2])
 
+    def dense(r: Region) -> bool:
+        if not most.article:  # the tag, if any, stands on something else than the text
+            return r.free / r.lines >= DENSITY * most.free / most.lines
+        return (r.size * WEIGHT if r.article else r.free / WEIGHT) / r.lines >= DENSITY * most.size / most.lines
+
+    kept = [r for r in regions if r is most or dense(r)]
+    chosen: list[str] = []
+    for k, r in enumerate(kept):
+        first = kept[k - 1].last if k and _bridged(found, kept[k - 1], r) else r.first
+        chosen += [x.text for x in found[first : r.last] if x.kept]
+    return " ".join(chosen)
+
+
+def _bridged(found: list[Line], a: Region, b: Region) -> bool:
+    """Whether what is between two regions belongs to the body: it is less than they are, or stands in the same container."""
+    gap = [x for x in found[a.last : b.first] if x.kept]
+    around = {found[a.last - 1].holder, found[b.first].holder} - {0}
+    return a.article == b.article and (sum(len(x.text) for x in gap) < a.size + b.size or all(x.holder in around for x in gap))
+
+
+class Region(NamedTuple):
+    """From a surge point to its dive point."""
 
-def _size(found: list[tuple[str, int, bool, int, bool]], first: int, last: int) -> int:
-    return sum(len(t) for t, _, kept, *_ in found[first:last] if kept)
+    first: int
+    last: int  # the line after
+    size: int
+    free: int  # outside links
+    lines: int  # with a length
+    article: int
 
 
-def _regions(found: list[tuple[str, int, bool, int, bool]]) -> list[tuple[int, int, int, float, int]]:
-    """(first line, line after the last, length, mean length of a line, article) between each surge point and its dive point;
-    where an article begins or ends, a region does too."""
-    half, out, begin = WINDOW // 2, [], 0
+def _regions(found: list[Line]) -> list[Region]:
+    """The regions in page order; where an article begins or ends, a region does too."""
+    half, out, begin, taken = WINDOW // 2, [], 0, 0
     while begin < len(found):
-        top, end = found[begin][3], begin
-        while end < len(found) and found[end][3] == top:
+        top, end = found[begin].article, begin
+        while end < len(found) and found[end].article == top:
             end += 1
-        lengths = [f[1] for f in found[begin:end]]
+        lengths = [x.length for x in found[begin:end]]
         sums = [sum(lengths[max(0, k - half) : k + half + 1]) for k in range(len(lengths))]
         start = None
         for k, total in enumerate([*sums, 0]):
             if total and start is None:  # surge
                 start = k
             elif not total and start is not None:  # dive
-                size, n = sum(lengths[start:k]), sum(x > 0 for x in lengths[start:k])
-                out.append((*_edges(found, begin + start, begin + k), size, size / n, top))
+                own, n = found[begin + start : begin + k], sum(x > 0 for x in lengths[start:k])
+                first, taken = _edges(found, begin + start, begin + k, max(begin, taken))
+                out.append(Region(first, taken, sum(lengths[start:k]), sum(x.free for x in own), n, top))
                 start = None
         begin = end
     return out
 
 
-def _edges(found: list[tuple[str, int, bool, int, bool]], first: int, last: int) -> tuple[int, int]:
+def _edges(found: list[Line], first: int, last: int, floor: int) -> tuple[int, int]:
     """A region reaches from its first line with a length to its last, with the headings right before it."""
-    while first < last and not found[first][1]:
+    while first < last and not found[first].length:
         first += 1
-    while first < last and not found[last - 1][1]:
+    while first < last and not found[last - 1].length:
         last -= 1
-    while first and found[first - 1][2] and found[first - 1][4] and found[first - 1][3] == found[first][3]:
+    while first > floor and found[first - 1].kept and found[first - 1].heading:
         first -= 1
     return first, last
 
 
 def html_extract(df: DataFrame, *, html_col: str = "html") -> DataFrame:
     """record (a struct of all columns of df but the html, so that no name can clash) and text: the main text, empty if there
-    is none. A null html counts as empty; equal pages give equal texts; an empty table gives an empty one."""
+    is none. A null html counts as empty; equal pages give equal texts; an empty table gives an empty one. A page is read
+    once from its start to its end, so that a very long one costs time and memory in proportion to its length."""
     importable(df.sparkSession)
 
     @F.pandas_udf("string")

@@ -3,6 +3,7 @@ texts, ties and repeated rows, empty tables, extra columns with clashing names."
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -370,6 +371,49 @@ def test_html_weighs_marked_articles():
         assert html_extract.main_text(note + f"<{tag}>" + BODY + links + "<p>End.</p>" + f"</{tag}>" + note) == PLAIN + " Link 0 Link 1 Link 2 Link 3 Link 4 End."
     assert html_extract.main_text("<main><div>" + BODY + "</div><article>" + BODY + "</article></main>") == PLAIN + " " + PLAIN
     assert html_extract.main_text("<article><p><a href=/x>Only a link</a></p></article>" + note) == "A short unmarked note."
+    assert html_extract.main_text("<article><p><a href=/x>Only a link</a></p></article>") == "Only a link"
+
+
+def test_html_without_article_marks():
+    """Pages made of known blocks, without any mark of the article: the text between the menus, whatever interrupts it."""
+    rng = np.random.default_rng(8)
+    words = lambda lo, hi: " ".join(rng.choice(["river", "stone", "of", "the", "light", "green", "house"], int(rng.integers(lo, hi))))
+    menu = lambda: "<ul>" + "".join(f"<li><a href='/{k}'>{words(1, 3)}</a></li>" for k in range(rng.integers(4, 9))) + "</ul>"
+    for _ in range(200):
+        want, body = [words(3, 7)], []
+        body.append(f"<h1>{want[0]}</h1>")
+        for k in range(int(rng.integers(3, 12))):
+            kind = rng.choice(["p", "link", "open", "ad", "quote", "list"]) if 0 < k else "p"
+            t = words(8, 40)
+            if kind == "ad":
+                body.append(f"<div class='ad'><p>{t}</p></div>")
+                continue
+            want.append(t)
+            body.append({"p": f"<p>{t}</p>", "link": f"<p><a href='/x'>{t}</a></p>", "open": f"<p title=it's>{t}", "quote": f"<blockquote>{t}</blockquote>", "list": f"<ul><li>{t}</ul>"}[kind])
+        want.append(words(10, 20))
+        body.append(f"<p>{want[-1]}</p>")
+        page = f"<body>{menu()}{menu()}<div>{''.join(body)}</div>{menu()}<div class='sidebar'><p>{words(20, 60)}</p></div><script>x = '<p>'</script></body>"
+        assert html_extract.main_text(page) == " ".join(want), page
+
+
+def test_html_unclosed_elements():
+    for page in (
+        "<article><select><option>a<p>rest of text</p></article>", "<title>T<p>rest of text</p>", "<iframe src=x><p>rest of text</p>", "<svg><path><p>rest of text</p>", "<button>ok<p>rest of text</p>",
+        "<head><p>rest of text</p>", "<svg><foreignObject><div>x</div></foreignObject></svg><p>rest of text</p>", "<p title=it's>rest of text</p>", '<p title="x>rest of text</p>', "<textarea>x<p>rest of text</p>",
+        "<p class='search'>rest of text</p>", "<template><p>x</p></template><p>rest of text</p>", "<p title='a > b'>rest of text</p>",
+    ):
+        assert html_extract.main_text(page) == "rest of text", page
+
+
+def test_html_long_pages():
+    """Time grows with the length of a page, not with its square."""
+    for part in ("<b></i>", "<div>x", "<p><b>", "<div class='ad'>x", "<svg>", "<title>x", "<button>x<p>", "<template><div>", "<a href=x><b><a>"):
+        seconds = []
+        for n in (2_000, 32_000):
+            began = time.process_time()
+            html_extract.main_text("<p>The text.</p>" + part * n)
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 64 * max(seconds[0], 0.01), part
 
 
 # ---- 8
