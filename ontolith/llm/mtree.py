@@ -3,16 +3,19 @@
 Vectors are quantised to integers. The largest inner products are the smallest distances once each vector x gets one more
 coordinate sqrt(M^2 - |x|^2), with M the largest norm, and a query a 0: then d^2 = |q|^2 + M^2 - 2 q.x, a metric.
 
-Vectors are dealt to pages, each with its nearest pivot; a pivot with many vectors has many pages. Pages, with their entries'
-distances to the pivot, form the leaves of M-trees of bounded size; inner nodes hold pages with covering radii and the
-distances to their parent. A query goes through a tree best first: nodes by their lower bound d(q, parent) - radius, entries
-whose stored parent distance already rules them out by the triangle inequality are not computed. Each query block meets
-each tree (a stated query set against all rows, in blocks); a window keeps the best k of all trees.
+Rows are dealt to cells, each around its nearest root object, and a cell to trees of bounded size. Each tree is built once and
+written: pages of `page_rows` entries with their distances to the page's pivot, and above them nodes of up to `fan` children
+with covering radii and distances to the parent's pivot. A query first goes through the tree that it stands in; the k-th score
+found there is carried to all others. Trees whose covering ball is out of its reach are not visited; in the others nodes come
+best first, by their lower bound d(q, pivot) - radius, and children or entries that the stored parent distance rules out by the
+triangle inequality are not computed. Queries meet trees in blocks (a stated query set against all rows).
 """
 
 from __future__ import annotations
 
 import heapq
+import io
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,182 +23,275 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, importable
+from .common import Scratch, col, importable, partitions
 
-#: Slack for rounding in bounds; integer scores decide what is returned.
+#: Slack for rounding in bounds, relative to the largest norm; exact scores decide what is returned.
 SLACK = 1e-6
+#: Integers up to this are exact in a double.
+EXACT = 1 << 53
+LONG = (1 << 63) - 1
 
 
 def quantise(embedding: np.ndarray) -> np.ndarray | None:
-    """floor(64 x) of each component; None if a component is null or not finite."""
+    """floor(64 x) of each component; None if a component is null or not finite, or the squares have no finite sum."""
     x = np.asarray(embedding, dtype=np.float64)
-    return np.floor(64 * x) if x.ndim == 1 and np.isfinite(x).all() else None
+    if x.ndim != 1 or not np.isfinite(x).all():
+        return None
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = np.floor(64 * x)
+        return x if np.isfinite(x @ x) else None
+
+
+def augmented(vectors: np.ndarray, most: float) -> np.ndarray:
+    """The points whose distances to queries order rows by inner product; most: the largest squared norm."""
+    return np.column_stack([vectors, np.sqrt(np.maximum(0.0, most - (vectors * vectors).sum(axis=1)))])
+
+
+def gaps(points: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.sqrt(((points - point) ** 2).sum(axis=1))
+
+
+def reach(base: float, score: int | None, slack: float) -> float:
+    """How far a row may be that has at least this score; d^2 = base - 2 score."""
+    return np.inf if score is None or score <= -LONG else max(0.0, base - 2.0 * score) ** 0.5 * (1 + 1e-9) + slack
 
 
 class Tree:
-    """An M-tree over (ids, integer vectors as float64), bulk-loaded around pivots."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, page_of: np.ndarray, most: float, fan: int = 16):
-        self.most = most
-        rest = np.sqrt(np.maximum(0.0, most - (vectors * vectors).sum(axis=1)))
-        self.points = np.column_stack([vectors, rest])
-        self.pages = []  # (pivot, radius, distances to the pivot in rising order, vectors and ids in that order)
-        for page in np.unique(page_of):
-            members = np.flatnonzero(page_of == page)
-            pivot = pivots[members[0]]
-            own = np.sqrt(((self.points[members] - pivot) ** 2).sum(axis=1))
-            order = np.argsort(own, kind="stable")
-            members = members[order]
-            self.pages.append((pivot, own.max(), own[order], vectors[members], ids[members]))
-        # Inner nodes: pages around every fan-th page's pivot.
-        centres = self.centres = np.array([p[0] for p in self.pages])
-        heads = list(range(0, len(centres), fan))
-        gap = np.sqrt(np.maximum(0.0, ((centres[:, None, :] - centres[None, heads, :]) ** 2).sum(axis=2)))
-        nearest = gap.argmin(axis=1)
-        self.nodes = []  # (centre, covering radius, pages, their distances to the centre)
-        for k, head in enumerate(heads):
-            own = np.flatnonzero(nearest == k)
-            if len(own):
-                radii = np.array([self.pages[p][1] for p in own])
-                self.nodes.append((centres[head], (gap[own, k] + radii).max(), own, gap[own, k], radii))
+    """An M-tree over ids and integer vectors (as doubles), bulk-loaded from its root down.
+
+    Nodes are numbered; the children of one are numbered side by side. Of node n: centre, radius, parent distance, first and
+    last child or, of a page, entry. Entries of a page stand in the order of their distances to its pivot."""
+
+    ARRAYS = ("ids", "vectors", "own", "centres", "radii", "to_parent", "first", "last", "leaf", "most")
+
+    def __init__(self, **arrays: np.ndarray):
+        for name in self.ARRAYS:
+            setattr(self, name, arrays[name])
+        self.most = float(self.most)
+        self.vectors = self.vectors.astype(np.float64)
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        self.slack = SLACK * (1 + self.most**0.5)
         self.computed = 0
 
-    def search(self, own_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of rows other than own_id: highest score, then smallest id."""
-        point = np.append(q, 0.0)
+    @classmethod
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, most: float, page_rows: int = 256, fan: int = 16) -> Tree:
+        points = augmented(vectors, most)
+        order = np.random.default_rng(1).permutation(len(ids))  # pivots are the first of their rows in this order
+        nodes = [(order, 0.0)]  # rows, with the pivot first, and distance to the parent's pivot
+        centres, radii, to_parent, first, last, leaf, entries, own = [], [], [], [], [], [], [], []
+        at = 0
+        for rows, parent in nodes:  # the list grows as it is read
+            gap = gaps(points[rows], points[rows[0]])
+            centres.append(points[rows[0]])
+            radii.append(gap.max())
+            to_parent.append(parent)
+            leaf.append(len(rows) <= page_rows)
+            if leaf[-1]:
+                sort = np.argsort(gap, kind="stable")
+                entries.append(rows[sort])
+                own.append(gap[sort])
+                first.append(at)
+                at += len(rows)
+                last.append(at)
+                continue
+            heads = points[rows[: min(fan, -(-2 * len(rows) // page_rows))]]
+            near = np.stack([gaps(points[rows], h) for h in heads]).argmin(axis=0)
+            if not near.any():  # rows that no pivot tells apart: pages of equal size
+                near = np.arange(len(rows)) * min(fan, -(-len(rows) // page_rows)) // len(rows)
+            first.append(len(nodes))
+            nodes += [(child, gaps(points[child[:1]], points[rows[0]])[0]) for k in np.unique(near) if len(child := rows[near == k])]
+            last.append(len(nodes))
+        entries = np.concatenate(entries)
+        as_arrays = (ids[entries], vectors[entries], np.concatenate(own), np.array(centres), *map(np.array, (radii, to_parent, first, last, leaf)), np.float64(most))
+        return cls(**dict(zip(cls.ARRAYS, as_arrays, strict=True)))
+
+    def dump(self) -> bytes:
+        out, most = io.BytesIO(), np.abs(self.vectors).max(initial=0)
+        kind = next((k for k, size in ((np.int16, 15), (np.int32, 31)) if most < 1 << size), np.float64)
+        np.savez(out, **{name: getattr(self, name) for name in self.ARRAYS} | {"vectors": self.vectors.astype(kind)})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Tree:
+        with np.load(io.BytesIO(raw)) as arrays:
+            return cls(**arrays)
+
+    def search(self, own_id: int, q: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id) of rows other than own_id, highest score first, then smallest id; only scores of at least
+        `floor` matter, if one is known."""
+        point, size = np.append(q, 0.0), float(np.sqrt(q @ q))
         base = float(q @ q) + self.most  # d^2 = base - 2 score
-        best: list[tuple[float, int]] = []  # a heap; its first is the worst kept
-
-        def reach() -> float:
-            if len(best) < k:
-                return np.inf
-            return np.sqrt(max(0.0, base - 2 * best[0][0])) * (1 + SLACK) + SLACK
-
-        def distance(x: np.ndarray) -> np.ndarray:
-            self.computed += len(x)
-            return np.sqrt(((x - point) ** 2).sum(axis=1))
-
-        queue: list[tuple[float, int, bool, int, float]] = []  # lower bound, turn, is a page, which, distance to its centre
-        gaps = distance(np.array([n[0] for n in self.nodes])) if self.nodes else []
-        for n, gap in enumerate(gaps):
-            heapq.heappush(queue, (max(0.0, gap - self.nodes[n][1]), len(queue), False, n, gap))
-        turn = len(queue)
+        best: list[tuple[int, int]] = []  # a heap of (score, -id); its first is the worst kept
+        limit = reach(base, floor, self.slack)
+        gap = float(gaps(self.centres[:1], point)[0])
+        self.computed += 1
+        queue = [(gap - self.radii[0], 0, gap)]  # lower bound, node, distance to its pivot
         while queue:
-            bound, _, page, n, gap = heapq.heappop(queue)
-            if bound > reach():
+            bound, n, gap = heapq.heappop(queue)
+            if bound > limit:
                 break
-            if not page:
-                _, _, pages, to_centre, radii = self.nodes[n]
-                near = np.abs(gap - to_centre) - radii <= reach()  # the triangle inequality, before any distance
-                pages, radii = pages[near], radii[near]
-                if len(pages):
-                    for p, g, r in zip(pages.tolist(), distance(self.centres[pages]).tolist(), radii.tolist(), strict=True):
-                        turn += 1
-                        heapq.heappush(queue, (max(0.0, g - r), turn, True, p, g))
+            lo, hi = int(self.first[n]), int(self.last[n])
+            if not self.leaf[n]:
+                near = lo + np.flatnonzero(np.abs(gap - self.to_parent[lo:hi]) - self.radii[lo:hi] <= limit)
+                found = gaps(self.centres[near], point)  # of the others, the stored distance is enough
+                self.computed += len(near)
+                for child, g, bound in zip(near.tolist(), found.tolist(), (found - self.radii[near]).tolist(), strict=True):
+                    if bound <= limit:
+                        heapq.heappush(queue, (bound, child, g))
                 continue
-            _, _, to_pivot, vectors, ids = self.pages[n]
-            limit = reach()
             if limit < np.inf:
-                lo, hi = np.searchsorted(to_pivot, gap - limit), np.searchsorted(to_pivot, gap + limit, side="right")
-                vectors, ids = vectors[lo:hi], ids[lo:hi]
-            if not len(ids):
+                own = self.own[lo:hi]
+                lo, hi = lo + int(np.searchsorted(own, gap - limit)), lo + int(np.searchsorted(own, gap + limit, side="right"))
+            if lo >= hi:
                 continue
-            self.computed += len(ids)
-            scores = vectors @ q
-            keep = ids != own_id
-            if len(best) == k:
-                keep &= scores >= best[0][0]
-            scores, ids = scores[keep], ids[keep]
-            if len(ids) > k:  # only the k best of a page can matter
-                order = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[order], ids[order]
-            for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
+            self.computed += hi - lo
+            for s, i in self._scores(lo, hi, q, size, own_id, best[0][0] if len(best) == k else floor, k):
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
                     heapq.heapreplace(best, (s, -i))
-        return [(int(s), -i) for s, i in sorted(best, reverse=True)]
+            if len(best) == k:
+                limit = reach(base, best[0][0] if floor is None else max(floor, best[0][0]), self.slack)
+        return [(s, -i) for s, i in sorted(best, reverse=True)]
 
+    def _scores(self, lo: int, hi: int, q: np.ndarray, size: float, own_id: int, least: int | None, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the entries lo to hi that may be among the best, with exact scores."""
+        scores, ids = self.vectors[lo:hi] @ q, self.ids[lo:hi]
+        if size * self.most**0.5 < EXACT:
+            keep = np.flatnonzero((ids != own_id) if least is None else (ids != own_id) & (scores >= least))
+            if len(keep) > k:  # only the k best of a page can matter
+                keep = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
+            return list(zip(map(int, scores[keep].tolist()), ids[keep].tolist(), strict=True))
+        error = self.norms[lo:hi] * size * (len(q) + 4) * 2.0**-52
+        keep = np.flatnonzero((ids != own_id) if least is None else (ids != own_id) & (scores + error >= float(least)))
+        whole = [int(x) for x in q.tolist()]
+        exact = [sum(a * int(b) for a, b in zip(whole, self.vectors[lo + j].tolist(), strict=True)) for j in keep]
+        return [(max(-LONG, min(LONG, s)), int(ids[j])) for s, j in zip(exact, keep, strict=True)]
 
-def top_k(
-    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, pivots: int = 256,
-    page_rows: int = 256, tree_rows: int = 1 << 16, least_trees: int = 12, block_rows: int = 1 << 12,
-) -> DataFrame:
+
+ROWS = "id long, v binary, norm double, dim int"
+
+
+def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, **sizes: int) -> DataFrame:
     """query_id long, rank int, vec_id long, score long: for each query (a row whose id is divisible by `every`) the k rows
     with the highest integer inner product, its own excepted; ties to the smaller id; fewer if there are no more.
 
-    Pivots are a bounded sample (the `pivots` rows that come first by a hash of the id), every row is indexed. Vectors that
-    are null, hold null or non-finite components, or whose id is null take no part. Vectors of different lengths only meet
-    vectors of their own length. Rows with equal ids: each is a row; a query's own id is left out whole.
+    Every row is indexed. Vectors that are null, hold null or non-finite components, have squares without a finite sum, or
+    whose id is null take no part. Large components do: scores are exact integers whatever their size; those beyond a long
+    count as the largest, or the least plus one. Vectors of different lengths only meet vectors of their own length. Rows
+    with equal ids: each is a row; a query's own id is left out whole; queries with equal ids are ranked together. An empty
+    table gives an empty result; other columns of df are not looked at. sizes: see searched().
     """
+    found = searched(df, id_col=id_col, vector_col=vector_col, every=every, k=k, **sizes)
+    rows = found.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def searched(
+    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, page_rows: int = 256, fan: int = 16,
+    tree_bytes: int = 16 << 20, block_bytes: int = 8 << 20, most_roots: int = 4096, chunk: int = 512,
+) -> DataFrame:
+    """query_id, computed (distances and inner products), best array<(vec_id, score)> for each query and tree that it visits.
+
+    page_rows, fan: entries of a page, children of a node. tree_bytes, block_bytes: of the vectors of a tree and of the
+    queries that meet it at a time. most_roots: vectors that come to the driver, a bounded sample, as the objects around
+    which cells are made; one row for each length of vectors does too. chunk: trees that a query is routed over at a time."""
     spark = df.sparkSession
     importable(spark)
     scratch = Scratch(spark, "mtree")
 
     def quantised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, raw, norm, dim = [], [], [], []
-            for i, e in zip(batch["id"], batch["v"], strict=True):
-                if (x := quantise(e)) is not None:
-                    ids.append(i)
-                    raw.append(x.tobytes())
-                    norm.append(float(x @ x))
-                    dim.append(len(x))
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "v": raw, "norm": np.array(norm, float), "dim": np.array(dim, np.int32)})
+            good = [(i, x) for i, e in zip(batch["id"], batch["v"], strict=True) if (x := quantise(e)) is not None]
+            ids, norms, dims = np.array([i for i, _ in good], np.int64), np.array([x @ x for _, x in good], float), np.array([len(x) for _, x in good], np.int32)
+            yield pd.DataFrame({"id": ids, "v": [x.tobytes() for _, x in good], "norm": norms, "dim": dims})
 
     clean = df.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    clean = clean.where(~F.exists("v", lambda x: x.isNull()))
-    rows = scratch.write(clean.mapInPandas(quantised, "id long, v binary, norm double, dim int"), "rows", compression="zstd")
-    out = "query_id long, vec_id long, score long"
-    found = None
-    for dim, n, n_queries, most in [tuple(r) for r in rows.groupBy("dim").agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.max("norm")).collect()]:
-        own = rows.where(F.col("dim") == dim)
-        trees = max(least_trees, -(-n // tree_rows))
-        wanted = min(pivots, max(1, n // (trees * page_rows)))  # as many as a tree has pages
-        sample = [np.frombuffer(r[0], dtype=np.float64) for r in own.orderBy(F.xxhash64("id"), "id", "v").limit(wanted).select("v").collect()]
-        heads = np.array(sample)
-        heads = np.column_stack([heads, np.sqrt(np.maximum(0.0, most - (heads * heads).sum(axis=1)))])
-        blocks = max(1, -(-n_queries // block_rows))
-        part = _trees(own, heads, most, trees, blocks, every, k, page_rows, out)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = scratch.write(clean.where(~F.exists("v", lambda x: x.isNull())).mapInPandas(quantised, ROWS), "rows", compression="zstd")
 
+    kinds = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("asked"), F.max("norm").alias("most")).collect()}
+    total = sum(r["n"] for r in kinds.values())
+    target = {d: max(page_rows, min(tree_bytes // (8 * max(1, d)), max(2048, r["n"] // (2 * partitions(spark))))) for d, r in kinds.items()}
+    wanted = {d: min(r["n"] // target[d], max(1, most_roots * r["n"] // total)) for d, r in kinds.items()}
+    roots = _roots(rows, {d: w for d, w in wanted.items() if w > 1})
+    most = {d: float(r["most"]) for d, r in kinds.items()}
+    heads = {d: augmented(x, most[d]) for d, x in roots.items()}
 
-def _trees(rows: DataFrame, heads: np.ndarray, most: float, trees: int, blocks: int, every: int, k: int, page_rows: int, out: str) -> DataFrame:
-    """The k best of every tree for every query."""
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.array([np.frombuffer(v, dtype=np.float64) for v in batch["v"]]).reshape(len(batch), -1)
-            rest = np.sqrt(np.maximum(0.0, most - (x * x).sum(axis=1)))
-            # |p|^2 = M^2 for every augmented point, so the nearest pivot has the largest inner product
-            near = (np.column_stack([x, rest]) @ heads.T).argmax(axis=1).astype(np.int32) if len(batch) else np.array([], np.int32)
-            yield batch[["id", "v"]].assign(pivot=near)
-
-    paged = rows.select("id", "v").mapInPandas(dealt, "id long, v binary, pivot int")
-    tree = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(trees)).cast("int").alias("tree")
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    held = paged.select(tree, block, "id", "v", "pivot")
-    asked = rows.where(F.col("id") % every == 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(blocks)).cast("int").alias("block"), "id", "v"
-    )
-
-    def search(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(own):
-            own = own.sort_values(["pivot", "id"], kind="stable")
-            vectors = np.array([np.frombuffer(v, dtype=np.float64) for v in own["v"]]).reshape(len(own), -1)
-            pivot = own["pivot"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1]])
-            rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
-            page_of = pivot.astype(np.int64) * (len(own) // page_rows + 2) + rank // page_rows
-            made = Tree(own["id"].to_numpy(np.int64), vectors, heads[pivot], page_of, most)
-            for i, v in zip(queries["id"], queries["v"], strict=True):
-                found += [(i, j, s) for s, j in made.search(i, np.frombuffer(v, dtype=np.float64), k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    return asked.groupBy("tree", "block").cogroup(held.groupBy("tree", "block")).applyInPandas(search, out)
+            cell = np.zeros(len(batch), np.int32)
+            for dim, at in batch.groupby("dim").indices.items():
+                if dim in heads:  # |p|^2 = M^2 for every augmented point, so the nearest root has the largest inner product
+                    x = np.array([np.frombuffer(v) for v in batch["v"].iloc[at]])
+                    cell[at] = (augmented(x, most[dim]) @ heads[dim].T).argmax(axis=1)
+            yield batch[["id", "v", "dim"]].assign(cell=cell)
+
+    placed = scratch.write(rows.mapInPandas(celled, "id long, v binary, dim int, cell int"), "placed", compression="zstd")
+    size = F.lit(None).cast("long") if not target else F.element_at(F.create_map(*[F.lit(x) for kv in target.items() for x in kv]), F.col("dim")).cast("long")
+    parts = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(5), "id", "v"), "parts")
+    placed = placed.join(scratch.write(parts, "parts"), ["dim", "cell"]).select("id", "v", "dim", (F.shiftleft(F.col("cell").cast("long"), 32) + part).alias("tree"))
+    placed = scratch.write(placed, "dealt", compression="zstd")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        dim, own = int(pdf["dim"].iloc[0]), pdf.sort_values("id", kind="stable")
+        vectors = np.array([np.frombuffer(v) for v in own["v"]]).reshape(len(own), dim)
+        made = Tree.build(own["id"].to_numpy(np.int64), vectors, most[dim], page_rows, fan)
+        return pd.DataFrame([(dim, int(pdf["tree"].iloc[0]), made.centres[0].tobytes(), made.radii[0], made.dump())], columns=["dim", "tree", "centre", "radius", "nodes"])
+
+    trees = scratch.write(placed.groupBy("dim", "tree").applyInPandas(build, "dim int, tree long, centre binary, radius double, nodes binary"), "trees", compression="zstd")
+
+    def visited(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """The queries of a block through one tree; floor: the k-th score known so far."""
+        out = []
+        if len(asked) and len(own):
+            made = Tree.load(own["nodes"].iloc[0])
+            for i, v, floor in zip(asked["id"], asked["v"], asked["floor"], strict=True):
+                before = made.computed
+                best = made.search(int(i), np.frombuffer(v), k, None if floor is None else int(floor))
+                last = str(best[-1][0]) if len(best) == k else None
+                out.append((i, v, asked["dim"].iloc[0], asked["tree"].iloc[0], made.computed - before, last, [{"vec_id": j, "score": s} for s, j in best]))
+        return pd.DataFrame(out, columns=["id", "v", "dim", "tree", "computed", "floor", "best"])
+
+    visits = "id long, v binary, dim int, tree long, computed long, floor string, best array<struct<vec_id:long,score:long>>"
+    first = placed.where(F.col("id") % every == 0).withColumn("floor", F.lit(None).cast("string"))
+    at_home = scratch.write(first.groupBy("dim", "tree").cogroup(trees.groupBy("dim", "tree")).applyInPandas(visited, visits), "home", compression="zstd")
+
+    blocks = max([1, *(-(-r["asked"] * 8 * max(1, d) // block_bytes) for d, r in kinds.items())])
+    chunks = max(1, -(-trees.count() // chunk))
+    block = F.pmod(F.xxhash64(F.lit(9), "id", "v"), F.lit(blocks)).cast("int").alias("block")
+    asked = at_home.select("id", "v", "dim", "tree", "floor", block, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    balls = trees.select("dim", "tree", "centre", "radius", F.pmod(F.xxhash64(F.lit(3), "tree"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def routed(asked: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
+        """For each query the trees of a chunk that its reach touches, its own left out."""
+        out = []
+        if len(asked) and len(balls):
+            dim = int(asked["dim"].iloc[0])
+            centres, radii, names = np.array([np.frombuffer(c) for c in balls["centre"]]), balls["radius"].to_numpy(), balls["tree"].to_numpy(np.int64)
+            for i, v, home, floor in zip(asked["id"], asked["v"], asked["tree"], asked["floor"], strict=True):
+                q, slack = np.frombuffer(v), SLACK * (1 + most[dim] ** 0.5)
+                limit = reach(float(q @ q) + most[dim], None if floor is None else int(floor), slack)
+                out.append((i, v, dim, floor, names[(gaps(centres, np.append(q, 0.0)) - radii <= limit) & (names != home)]))
+        return pd.DataFrame(out, columns=["id", "v", "dim", "floor", "trees"])
+
+    keys = ["dim", "chunk", "block"]
+    routes = asked.groupBy(*keys).cogroup(balls.groupBy(*keys)).applyInPandas(routed, "id long, v binary, dim int, floor string, trees array<long>")
+    routes = scratch.write(routes, "routes", compression="zstd").select("id", "v", "dim", "floor", block, F.explode("trees").alias("tree"))
+    needed = trees.select("dim", "tree", "nodes").join(routes.select("dim", "tree", "block").distinct(), ["dim", "tree"])
+    needed = needed.toDF(*needed.columns)  # columns of its own: both sides come from the same tables
+    keys = ["dim", "tree", "block"]
+    elsewhere = routes.groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInPandas(visited, visits)
+    return at_home.unionByName(elsewhere).select(F.col("id").alias("query_id"), "computed", "best")
+
+
+def _roots(rows: DataFrame, wanted: dict[int, int]) -> dict[int, np.ndarray]:
+    """For each length of vectors about so many rows: of each slot of a hash of the id, the row that comes first by another."""
+    if not wanted:
+        return {}
+    slots = F.element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col("dim"))
+    own = rows.where(F.col("dim").isin(list(wanted))).withColumn("slot", F.pmod(F.xxhash64(F.lit(7), "id"), slots))
+    found = own.groupBy("dim", "slot").agg(F.min_by("v", F.struct(F.xxhash64("id", "v"), "id", "v")).alias("v")).orderBy("dim", "slot").collect()
+    return {dim: np.array([np.frombuffer(r["v"]) for r in own]) for dim, own in itertools.groupby(found, key=lambda r: r["dim"])}

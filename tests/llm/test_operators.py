@@ -286,29 +286,70 @@ def brute_top(rows, k, every):
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(400)] + [(400 + k, [0.5] * 8) for k in range(200)]
-    rows += [(1000, None), (1020, [1.0, None] + [0.0] * 6), (1040, [float("nan")] * 8), (1060, [float("inf")] * 8), (None, [1.0] * 8), (1080, [0.0] * 8), (1100, [1.0, 2.0])]
+    rows += [(1000, None), (1020, [1.0, None] + [0.0] * 6), (1040, [float("nan")] * 8), (1060, [float("inf")] * 8), (None, [1.0] * 8), (1080, [0.0] * 8), (1100, [1.0, 2.0]), (1120, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     rounded = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    got = mtree.top_k(clashing(df).drop("id"), every=20, k=20, page_rows=16, tree_rows=100, block_rows=7)
+    got = mtree.top_k(clashing(df).drop("id"), every=20, k=20, page_rows=16, fan=3, tree_bytes=100 * 64, block_bytes=7 * 64, chunk=2)
     assert Counter(map(tuple, got.collect())) == brute_top(rounded, 20, 20)
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_tree_prunes():
+def test_top_k_large_components(spark):
+    """Sums beyond what a double holds are exact; scores beyond a long are cut to it."""
+    rows = [(0, [2.0**24, 1.0]), (1, [2.0**24, 0.5]), (2, [2.0**24, 1 / 64]), (3, [-(2.0**24), 2.0]), (4, [1.0, 1.0]), (20, [0.25, -1.0])] + [(30 + k, [2.0**24, k / 64]) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.top_k(df, every=20, k=5, page_rows=4, fan=2, tree_bytes=10 * 16)
+    clean = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = Counter()
+    for i, q in clean:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in clean if j != i)[:5]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
+    assert Counter(map(tuple, got.collect())) == want
+    huge = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [1e200, 0.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in mtree.top_k(huge).where("query_id = 0").orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 20, 2**63 - 1), (0, 3, 2, 1 - 2**63)]
+
+
+def test_top_k_prunes(spark):
+    """On vectors in clusters, most distances are not computed; the count is that of top_k's own search."""
     rng = np.random.default_rng(5)
-    centres = rng.integers(-60, 60, size=(20, 8))
-    x = np.repeat(centres, 100, axis=0) + rng.integers(-2, 3, size=(2000, 8))
-    x = x.astype(np.float64)
+    centres = rng.integers(-60, 60, size=(40, 8))
+    x = (np.repeat(centres, 100, axis=0) + rng.integers(-2, 3, size=(4000, 8))) / 64
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    sizes = {"page_rows": 64, "tree_bytes": 100 * 64}
+    found = mtree.searched(df, **sizes)
+    computed, queries = found.agg(F.sum("computed")).first()[0], 200
+    assert computed < 0.5 * queries * len(rows)
+    assert found.count() < 0.5 * queries * 40  # of 40 trees and more, most are left out
+    assert Counter(map(tuple, mtree.top_k(df, **sizes).collect())) == brute_top(rows, 20, 20)
+
+
+def test_tree_is_an_m_tree():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(-99, 99, size=(3000, 5)), np.zeros((800, 5), int)]).astype(float)
     most = float((x * x).sum(axis=1).max())
-    heads = centres.astype(np.float64)
-    heads = np.column_stack([heads, np.sqrt(np.maximum(0, most - (heads * heads).sum(axis=1)))])
-    page = np.repeat(np.arange(20), 100)
-    tree = mtree.Tree(np.arange(2000), x, heads[page], page, most, fan=4)
-    for i in (0, 555, 1999):
-        tree.computed = 0
-        want = sorted((-int(x[i] @ x[j]), j) for j in range(2000) if j != i)[:5]
+    tree = mtree.Tree.load(mtree.Tree.build(np.arange(len(x)), x, most, 32, 4).dump())
+    points = mtree.augmented(tree.vectors, most)
+    assert sorted(tree.ids) == list(range(len(x))) and not tree.leaf[0]
+
+    def entries(n):
+        if tree.leaf[n]:
+            assert 0 < tree.last[n] - tree.first[n] <= 32
+            assert np.allclose(mtree.gaps(points[tree.first[n] : tree.last[n]], tree.centres[n]), tree.own[tree.first[n] : tree.last[n]])
+            return list(range(tree.first[n], tree.last[n]))
+        assert tree.last[n] - tree.first[n] <= 4
+        for child in range(tree.first[n], tree.last[n]):
+            assert np.isclose(tree.to_parent[child], np.linalg.norm(tree.centres[child] - tree.centres[n]))
+        own = sum((entries(c) for c in range(tree.first[n], tree.last[n])), [])
+        assert mtree.gaps(points[own], tree.centres[n]).max() <= tree.radii[n] + 1e-9
+        return own
+
+    assert sorted(entries(0)) == list(range(len(x)))
+    for i in (0, 555, 2999, 3500):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(len(x)) if j != i)[:5]
         assert tree.search(i, x[i], 5) == [(-s, j) for s, j in want]
-    assert tree.computed < 2000
+        assert tree.search(i, x[i], 5, -want[2][0]) [:3] == [(-s, j) for s, j in want[:3]]
 
 
 # ---- 7
