@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontolith.plans.scratch import Scratch, shared_folder
 
-__all__ = ["SPACES", "Scratch", "col", "importable", "partitions", "shared_folder", "without_spaces"]
+__all__ = ["SPACES", "Scratch", "col", "importable", "partitions", "place", "shared_folder", "steady", "without_spaces"]
 
 #: The six characters that count as white space in every text contract here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,3 +40,26 @@ def without_spaces(text: Column) -> Column:
     for ch in SPACES:
         out = F.replace(out, F.lit(ch), F.lit(""))
     return out
+
+
+def place(df: DataFrame) -> tuple[Column, Column] | None:
+    """Of a Parquet table just read, a row's file (its name, without what differs from one write to the next) and place in that;
+    None for other DataFrames."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    at = df.metadataColumn("_metadata")
+    try:
+        df.select(at["row_index"])
+    except AnalysisException:
+        return None
+    return F.regexp_replace(at["file_name"], "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", ""), at["row_index"]
+
+
+def steady(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[Column, Column]]:
+    """The rows with a place each that is the same whenever they are read, so that equal rows can be told apart. What is not
+    a Parquet table just read is written first."""
+    at = place(df)
+    if at is None:
+        df = scratch.write(df, "rows")
+        at = place(df)
+    return df, at

@@ -4,8 +4,9 @@ Pass one scatters the records over memory-sized buckets by a seeded hash. Pass t
 a random order by Fisher-Yates (Spark's `shuffle` expression is that algorithm) and deals the resulting global order out to
 the shards: position p goes to shard p mod n, slot p div n. Shard sizes thus differ by one row at most.
 
-Everything is DataFrame code. Buckets are exchanged by bucket number (one bucket a partition), so the size of a task is the
-size of a bucket and does not depend on any key of the data.
+Everything is DataFrame code. The hash is over a row's columns and its place in the table, so that equal rows are scattered
+too. Buckets are exchanged by bucket number (one bucket a partition), so the size of a task is the size of a bucket and does not
+depend on any key of the data.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, partitions
+from .common import Scratch, col, partitions, steady
 
-#: Up to this many buckets (24 bytes each) the table of bucket offsets may be broadcast.
+#: Up to this many buckets (24 bytes each) the table of bucket offsets may be broadcast; one task adds it up.
 BROADCAST_BUCKETS = 1 << 20
 
 
@@ -34,17 +35,20 @@ def external_shuffle(df: DataFrame, *, shards: int, seed: int = 17, bucket_bytes
 
     Returns record (a struct of all columns of df, so that no name can clash), bucket int, position long (the place in the
     global order), shard int and slot long (gapless from 0 in each shard). An empty input gives an empty result; nulls
-    are hashed like any value; equal rows fall in one bucket and are interchangeable.
+    are hashed like any value; equal rows are rows of their own. The order is fixed by the seed, the rows and their places
+    in the files of df (of a table that is written first, if df is not a Parquet table just read). A row, however long its
+    texts, counts with its bytes when the number of buckets is chosen, and lies whole in one bucket.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = df.sparkSession
+    df, at = steady(df, Scratch(spark, "sharding"))
     total = df.agg(F.sum(_size(df))).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total / bucket_bytes))
 
     hashed = [col(n) for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
     record = F.struct(*[col(n) for n in df.columns])
-    keyed = df.select(F.xxhash64(F.lit(seed), *hashed).alias("h"), record.alias("record"))
+    keyed = df.select(F.xxhash64(F.lit(seed), *at, *hashed).alias("h"), record.alias("record"))
     keyed = keyed.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)).cast("int"))
 
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -77,6 +77,13 @@ def test_sharding_is_a_seeded_shuffle(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 3
 
 
+def test_sharding_scatters_equal_rows(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("the same").alias("text"))
+    got = sharding.external_shuffle(df, shards=8).groupBy("bucket").count().collect()
+    sizes = sorted(r["count"] for r in got)
+    assert sum(sizes) == 20_000 and len(sizes) == 8 and sizes[-1] < 1.2 * sizes[0]
+
+
 # ---- 2
 
 
@@ -515,24 +522,53 @@ def test_round_robin_keeps_to_shares():
 # ---- 9
 
 
-def test_pfair_lag():
-    supply = [("a", 500, 7), ("b", 300, 3), ("c", 90, 1), ("d", 1, 1)]
+def brute_edf(supply):
+    """Slot by slot over whole virtual time: of all released blocks, by looking at every source, the one due first."""
+    total, done, now, out = sum(w for _, _, w in supply), [0] * len(supply), 0, []
+    while any(d < n for d, (_, n, _) in zip(done, supply, strict=True)):
+        ready = [(-(-(done[r] + 1) * total // w), r) for r, (_, n, w) in enumerate(supply) if done[r] < n and done[r] * total <= (now + 1) * w - 1]
+        if ready:
+            due, r = min(ready)
+            out.append((supply[r][0], done[r], done[r] * total // supply[r][2], due))
+            done[r] += 1
+        now += 1
+    return out
+
+
+def scheduled(supply):
     total = sum(w for _, _, w in supply)
-    got = list(mixing.pfair(supply))
-    assert [s for *_, s in got] == list(range(len(got))) and Counter(s for s, *_ in got) == {s: n for s, n, _ in supply}
-    done = Counter()
-    for source, block, release, deadline, slot in got:
-        assert block == done[source]
-        done[source] += 1
-        if all(done[s] < n for s, n, _ in supply[:3]) and slot < 10:
-            assert release <= slot < deadline
+    return [x for period in range(max([0, *(-(-n // w) for _, n, w in supply)])) for x in mixing.pfair(supply, total, period)]
+
+
+def test_pfair_lag():
     full = [("a", 700, 7), ("b", 300, 3), ("c", 100, 1)]
     done = Counter()
-    for source, _, release, deadline, slot in mixing.pfair(full):
+    for slot, (source, _, release, deadline) in enumerate(scheduled(full)):
         done[source] += 1
         assert release <= slot < deadline
         assert all(abs(done[s] - (slot + 1) * w / 11) < 1 for s, _, w in full)
-    assert list(mixing.pfair([])) == [] and total == 12
+    assert list(mixing.pfair([], 1, 0)) == []
+
+
+def test_pfair_against_slot_by_slot():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        supply = [(f"s{k}", int(rng.integers(1, 60)), int(rng.integers(1, 12))) for k in range(rng.integers(1, 7))]
+        assert scheduled(supply) == brute_edf(supply), supply
+
+
+def mixed_rows(df, **options):
+    return mixing.mix(df, **options).select("record.doc_id", "record.source", "weight", "block", "release", "deadline", "slot", "place").collect()
+
+
+def test_mixing_periods(spark):
+    """Weights whose sum is small against the blocks: many periods, each a task's work; and many equal rows, which are spread."""
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 50 == 1, "c").otherwise("a").alias("source"))
+    got = mixed_rows(df, weights={"a": 3, "b": 2, "c": 1}, block_rows=2)
+    supply = Counter(r["source"] for r in got)
+    want = brute_edf([(s, -(-n // 2), {"a": 3, "b": 2, "c": 1}[s]) for s, n in sorted(supply.items())])
+    assert sorted({(r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in got}) == [(k, *x) for k, x in enumerate(want)]
+    assert len(got) == 3000 and len({(r["slot"], r["place"]) for r in got}) == 3000
 
 
 def test_mixing(spark):
@@ -549,8 +585,10 @@ def test_mixing(spark):
         assert len(rows) == 4 or block == supply[source] - 1
     weight = {r["source"]: r["weight"] for r in got}
     named = sorted(("" if s is None else f"={s}", n, weight[s]) for s, n in supply.items())
-    want = {(s, k): (r, d, slot) for s, k, r, d, slot in mixing.pfair(named)}
+    want = {(s, k): (r, d, slot) for slot, (s, k, r, d) in enumerate(brute_edf(named))}
     assert {("" if s is None else f"={s}", k): (rows[0]["release"], rows[0]["deadline"], rows[0]["slot"]) for (s, k), rows in blocks.items()} == want
+    counts = Counter(r["source"] for r in got)
+    assert all(weight[s] == max(1, round(65536 * n**0.5 / sum(m**0.5 for m in counts.values()))) for s, n in counts.items())
     assert mixing.in_order(mixing.mix(df)).columns == df.columns
     assert mixing.mix(empty(spark)).count() == 0
     named = mixing.mix(df, weights={"a": 5, "b": 1}).select("record.source", "weight").distinct().collect()

@@ -11,7 +11,7 @@ import corpus_pipeline
 from ontolith.llm import mixing, queries
 
 from ..compare import SF, assert_same
-from .test_operators import brute_near, whole_ids
+from .test_operators import brute_edf, brute_near, whole_ids
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -128,10 +128,13 @@ def test_op7(spark):
 
 
 def test_op9(spark):
+    """The schedule is that of looking at all sources slot by slot."""
     got = queries.op9_mixing(spark, SF).toPandas()
     docs = queries.table(spark, SF, "documents").toPandas()
-    assert sorted(got["doc_id"]) == sorted(docs["doc_id"])
-    blocks = got.drop_duplicates(["source", "block"]).sort_values("slot")
-    assert blocks["slot"].tolist() == list(range(len(blocks))) and (blocks["release"] < blocks["deadline"]).all()
-    counts = docs.groupby("source")["doc_id"].count()
-    assert all(round(counts[r.source] ** 0.5 * 1000) == r.weight for r in blocks.itertuples())
+    assert sorted(got["doc_id"]) == sorted(docs["doc_id"]) and not got.duplicated(["slot", "place"]).any()
+    counts = docs.groupby("source")["doc_id"].count().to_dict()
+    weights = {s: max(1, round(65536 * n**0.5 / sum(m**0.5 for m in counts.values()))) for s, n in counts.items()}
+    want = [(slot, *x) for slot, x in enumerate(brute_edf([(s, -(-n // 16), weights[s]) for s, n in sorted(counts.items())]))]
+    blocks = got.drop_duplicates(["slot"]).sort_values("slot")
+    assert list(blocks[["slot", "source", "block", "release", "deadline"]].itertuples(index=False, name=None)) == want
+    assert (got["weight"] == got["source"].map(weights)).all()
