@@ -1,7 +1,7 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Documents are tokenised once and written. Each source is a queue; its documents stand in the order of a seeded hash, which
-gives a document a virtual time: the share of its queue's allotment that is served before it. Virtual time is cut into
+Documents are tokenised once and written. Each source is a queue; its documents stand in the order of a seeded hash of id, text
+and place in the written table, which gives a document a virtual time: the share of its queue's allotment that is served before it. Virtual time is cut into
 slices of bounded token count, and each slice is served by deficit round-robin: a window of `length` tokens credits every
 queue with its target share; the queue with the largest deficit is served next, a document at a time, and what a document
 takes beyond its credit is carried as a negative deficit into the next windows. The deficits a slice starts with follow
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import Scratch, col, importable, partitions
+from .common import Scratch, col, importable, partitions, place
 
 #: The id after each document.
 END = 1
@@ -35,43 +35,57 @@ _RUNS = re.compile(r"\s \s|\s $")
 
 
 class Tokenizer:
-    """Byte-level BPE from a tokenizers file, word by word: a blank starts a new pre-token, so text is cut at blanks and the
+    """The ids of tokenizers with add_special_tokens=False, strings of special tokens in the text included, which are one id.
+
+    For a byte-level BPE file the work is done word by word: a blank starts a new pre-token, so text is cut at blanks and the
     ids of each word are kept for its next occurrences. Texts in which a blank stands inside a run of white space are
-    encoded whole. The ids equal those of tokenizers with add_special_tokens=False."""
+    encoded whole, those that hold an added token by the file's own reader."""
 
-    KEPT = 400_000
+    KEPT = 1 << 17
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer as Reader
-
-        self.path, self.words = path, {}
-        reader = Reader.from_file(path)
-        reader.encode_special_tokens = True  # strings of special tokens are ordinary text
-        self.whole = lambda text: reader.encode(text, add_special_tokens=False).ids
-        self._fast()
-
-    def _fast(self) -> None:
-        """The same vocabulary and merge order as tiktoken ranks, read from the same file, if it is byte-level BPE."""
         import json
 
+        self.path, self.words, self.added, self.reader = path, {}, None, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = self._fast(spec)
+        if not self.fast:
+            self.whole = self.by_file
+        size = len(spec["model"]["vocab"]) + len(spec.get("added_tokens") or ())
+        #: Ids are unsigned little-endian integers of 16 bits, or 32 where the vocabulary may need them.
+        self.code = "H" if size <= 1 << 16 and all(t["id"] < 1 << 16 for t in spec.get("added_tokens") or ()) else "I"
+
+    def _fast(self, spec: dict) -> bool:
+        """The same vocabulary and merge order as tiktoken ranks, read from the same file, if it is byte-level BPE."""
         import tiktoken
 
-        with open(self.path, encoding="utf-8") as f:
-            spec = json.load(f)
         if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
-            return
+            return False
         if spec.get("normalizer") or spec["model"].get("ignore_merges"):
-            return
+            return False
         to_byte = {c: b for b, c in _byte_letters().items()}
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = encoding.encode_ordinary
+        added = {t["content"] for t in spec.get("added_tokens", ())}
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        self.whole = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+        return True
+
+    def by_file(self, text: str) -> list[int]:
+        if self.reader is None:
+            from tokenizers import Tokenizer as Reader
+
+            self.reader = Reader.from_file(self.path)
+        return self.reader.encode(text, add_special_tokens=False).ids
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 16-bit integers."""
+        if not self.fast or self.added and self.added.search(text):
+            return self.packed(self.by_file(text))
         if _RUNS.search(text):
-            return _packed(self.whole(text))
+            return self.packed(self.whole(text))
         first, *rest = text.split(" ")
         known = self.words
         if len(known) > self.KEPT:
@@ -80,13 +94,9 @@ class Tokenizer:
             parts = [known[w] for w in rest]
         except KeyError:
             for word in set(rest).difference(known):
-                known[word] = _packed(self.whole(" " + word))
+                known[word] = self.packed(self.whole(" " + word))
             parts = [known[w] for w in rest]
-        return _packed(self.whole(first)) + b"".join(parts)
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}H", *ids)
+        return self.packed(self.whole(first)) + b"".join(parts)
 
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -109,13 +119,14 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def tokenise(df: DataFrame, path: str, carried: list[str]) -> DataFrame:
-    """The carried columns, ids binary (unsigned 16-bit) and n long, the end id included. `text` null: empty."""
+    """The carried columns, ids binary (unsigned, 16 or 32 bits each) and n long, the end id included. `text` null: empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = tokenizer(path), np.array([END], dtype="<u2").tobytes()
+        encode = tokenizer(path)
+        end, width = encode.packed([END]), struct.calcsize(f"<{encode.code}")
         for batch in batches:
             ids = [encode(t or "") + end for t in batch["text"]]
-            yield batch[carried].assign(ids=ids, n=[len(x) // 2 for x in ids])
+            yield batch[carried].assign(ids=ids, n=[len(x) // width for x in ids])
 
     schema = StructType([*df.select(*carried).schema, StructField("ids", BinaryType()), StructField("n", LongType())])
     return df.select(*carried, "text").mapInPandas(run, schema)
@@ -166,30 +177,33 @@ def pack(
     length: int = 2048, slice_tokens: int = 1 << 22, seed: int = 11, keep_order: bool = False,
 ) -> DataFrame:
     """One row for each piece: id, source, start, length, ids_crc32 (of the little-endian unsigned 32-bit ids), doc_tokens
-    (with the end id), sequence_id, offset (both gapless from 0), ids (little-endian unsigned 16-bit ids of the piece).
+    (with the end id), sequence_id, offset (both gapless from 0), ids (of the piece,
+    little-endian and unsigned, 16 bits each, or 32 where the vocabulary has more than 65,536).
 
     weights: target token share of each source (others get the least of them); by default each source's share of all
     tokens, so that all queues run out together. A source that runs out earlier leaves its share to the others. A null
     text is empty: one piece with the end id. A null source is a queue of its own. Rows with equal ids are packed each for
-    itself. Other columns of df are not looked at.
+    itself. An empty table gives an empty one. A long text is one row while its slice is packed (a slice of slice_tokens is
+    exceeded by one document at most) and is cut at every window. Other columns of df are not looked at.
 
-    keep_order: the order of df's rows (see place()) decides instead of weights and the seeded hash.
+    keep_order: the order of df's rows (see ordered()) decides instead of weights and the seeded hash.
     """
     if keep_order and weights:
         raise ValueError("the order of the rows decides, or weights do")
     spark = df.sparkSession
     importable(spark)
     scratch = Scratch(spark, "packing")
-    narrow = df.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), col(text_col).alias("text"))
-    order = F.xxhash64(F.lit(seed), "id", "text")
-    narrow = narrow.withColumn("u", (order.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)).withColumn("queue", F.xxhash64(F.lit(3), "source"))
-    carried = ["id", "source", "u", "queue"]
+    queue = F.xxhash64(F.lit(3), "source").alias("queue")
+    named = [col(id_col).alias("id"), col(source_col).cast("string").alias("source"), col(text_col).alias("text")]
     if keep_order:
-        part, row = place(df)
-        queue = F.xxhash64(F.lit(3), "source")
-        narrow = df.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), col(text_col).alias("text"), part.alias("part"), row.alias("row")).withColumn("queue", queue)
-        carried = ["id", "source", "queue", "part", "row"]
+        part, row = ordered(df)
+        narrow, carried = df.select(*named, part.alias("part"), row.alias("row")).select("*", queue), ["id", "source", "queue", "part", "row"]
+    else:
+        narrow, carried = df.select(*named).select("*", queue, F.xxhash64(F.lit(seed), "id", "text").alias("h")), ["id", "source", "queue", "h"]
     tokens = scratch.write(tokenise(narrow, tokenizer_path, carried), "tokens", compression="zstd")
+    if not keep_order:  # rows that are equal in id and text are told apart by their places, so that they spread over virtual time
+        spread = F.xxhash64("h", *place(tokens))
+        tokens = tokens.withColumn("u", (spread.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)).drop("h")
 
     queues = tokens.groupBy("queue", "source").agg(F.sum("n").alias("tokens"))
     if weights:
@@ -237,7 +251,7 @@ def pack(
     return keyed.groupBy("slice").cogroup(carry.groupBy("slice")).applyInPandas(run, f"{names}, {PIECES}")
 
 
-def place(df: DataFrame) -> tuple[Column, Column]:
+def ordered(df: DataFrame) -> tuple[Column, Column]:
     """Where each row stands: its part (a string, in order) and its row in that, from 0. Of a table just read the parts are
     its files, by the partition that wrote them; tasks read files in any order. Otherwise they are the partitions of df."""
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
@@ -257,7 +271,7 @@ def _pieces(docs: pd.DataFrame, base: int, length: int) -> pd.DataFrame:
     """Cuts the documents, in their order, at every multiple of `length` tokens from `base` on."""
     out, at = [], base
     for i, source, n, raw in zip(docs["id"], docs["source"], docs["n"], docs["ids"], strict=True):
-        ids, start = np.frombuffer(raw, dtype="<u2"), 0
+        ids, start = np.frombuffer(raw, dtype=f"<u{len(raw) // n}"), 0
         while start < n:
             size = min(n - start, length - at % length)
             own = ids[start : start + size]

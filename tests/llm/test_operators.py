@@ -471,11 +471,10 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     reader = Tokenizer.from_file(queries.tokenizer_path())
-    reader.encode_special_tokens = True
     return [reader.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
-TRICKY = ["a  b", "a   b ", " \n x", "tab\there  ", "\n\n a\r\n  b", "it's 'll 12 34", "<|endoftext|> x", "漢字 🙂 é", "   ", "x \n y", "a  b", "", None]
+TRICKY = ["a  b", "a   b ", " \n x", "tab\there  ", "\n\n a\r\n  b", "it's 'll 12 34", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext", "漢字 🙂 é", "   ", "x \n y", "a  b", "", None]
 
 
 def test_tokenizer_equals_the_file():
@@ -484,6 +483,31 @@ def test_tokenizer_equals_the_file():
         assert np.frombuffer(own(text or ""), dtype="<u2").tolist() + [1] == ids, repr(text)
 
 
+def test_tokenizer_of_a_large_vocabulary(tmp_path):
+    """Ids beyond 16 bits, and a file that is not byte-level BPE."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {f"w{k}": k for k in range(70_000)}
+    reader = Tokenizer(models.WordLevel({**vocab, "?": 70_000}, unk_token="?"))
+    reader.pre_tokenizer = pre_tokenizers.Whitespace()
+    reader.save(str(tmp_path / "words.json"))
+    own = packing.Tokenizer(str(tmp_path / "words.json"))
+    assert np.frombuffer(own("w3 w69999 x w65536"), dtype="<u4").tolist() == [3, 69_999, 70_000, 65_536]
+    pdf = pd.DataFrame({"id": [1], "source": ["s"], "n": [4], "ids": [own("w3 w69999 x w65536")]})
+    assert [(r.start, r.length, np.frombuffer(r.ids, "<u4").tolist()) for r in packing._pieces(pdf, 0, 3).itertuples()] == [(0, 3, [3, 69_999, 70_000]), (3, 1, [65_536])]
+
+
+def test_packing_spreads_equal_rows(spark):
+    df = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text " * 5).alias("text"), F.lit("s").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.pack(df, tokenizer_path=queries.tokenizer_path(), slice_tokens=1 << 14, length=128)
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert got.agg(F.sum("length")).first()[0] == 17 * 100_000 and len(tasks) > 4 and max(tasks) < 3 * np.median(tasks)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0}])
 def test_packing(spark, weights):
     base = documents(spark).where("doc_id is not null and doc_id <> 11")
