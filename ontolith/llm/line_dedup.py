@@ -1,10 +1,10 @@
 """Removal of lines that documents share, by a sharded minimal perfect hash.
 
-An aggregation finds the distinct hashes of the lines that stand in two documents or more, and the smallest document of each.
-They are dealt to shards. For each shard a minimal perfect hash (hash and displace) is built; it maps n hashes to 0..n-1 and
-indexes two arrays: a fingerprint (the second half of the 128-bit line hash) and the smallest document. Documents do not join lines: their line hashes
-go to the shard, probe its arrays, and only those to drop come back. A shard is sent to `copies` places, so that a line
-which stands in a third of all documents is probed in as many tasks.
+The distinct hashes of all lines, with the count of documents and the smallest document of each, are dealt to shards. For each
+shard a minimal perfect hash maps n hashes to 0..n-1 and indexes three arrays: fingerprints of 32 bits, counts of 8 bits (255
+stands for more) and smallest documents. Documents do not join lines: their line hashes go to the shard and probe its arrays; those
+whose count is 2 or more and whose smallest document is another one come back as lines to drop. A shard that many lines probe,
+because a line stands in very many documents, is sent to as many places as keep the lines of one place to `probe_rows`.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, col, importable, partitions
+from .common import SPACES, Scratch, col, importable
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STRIP = SPACES.encode()
@@ -54,68 +54,77 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash by hash and displace: about three keys a bucket, large buckets first, and for each bucket the
-    first displacement that puts its keys on free places, looked for in rounds of up to `tries`."""
-
-    def __init__(self, keys: np.ndarray, tries: int = 4096):
-        keys = np.asarray(keys, dtype=np.uint64)
-        self.n = len(keys)
-        self.buckets = max(1, self.n // 3)
-        self.moves = np.zeros(self.buckets, dtype=np.uint32)
-        if not self.n:
-            return
-        bucket = (_mix(keys, 1) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        taken = np.zeros(self.n, dtype=bool)
-        for b in sorted(range(self.buckets), key=lambda b: bounds[b] - bounds[b + 1]):
-            own = keys[order[bounds[b] : bounds[b + 1]]]
-            if not len(own):
-                break
-            low, step = 0, 8
-            while True:
-                moves = np.arange(low, low + step, dtype=np.uint64)
-                at = self._place(own[None, :], moves[:, None])
-                good = ~taken[at].any(axis=1)
-                if len(own) > 1:
-                    s = np.sort(at, axis=1)
-                    good &= (s[:, 1:] != s[:, :-1]).all(axis=1)
-                if good.any():
-                    k = int(np.argmax(good))
-                    self.moves[b] = low + k
-                    taken[at[k]] = True
-                    break
-                low, step = low + step, min(tries, 4 * step)
-
-    def _place(self, keys: np.ndarray, moves: np.ndarray) -> np.ndarray:
-        return (_mix(keys + moves * np.uint64(0xD6E8FEB86659FD93), 2) % np.uint64(self.n)).astype(np.int64)
+    """Minimal perfect hash by levels: a level is a field of bits, two for each key left; keys that have a bit to themselves set
+    it, the others go on to the next level. A key's place is the number of bits set before its own."""
+
+    def __init__(self, keys: np.ndarray):
+        """keys: distinct unsigned longs."""
+        left, fields = np.asarray(keys, dtype=np.uint64), []
+        while len(left):
+            at = self._at(left, len(fields), 2 * len(left))
+            hits = np.bincount(at, minlength=2 * len(left))
+            fields.append(hits == 1)
+            left = left[hits[at] != 1]
+        self._set(fields)
+
+    def _set(self, fields: list[np.ndarray]) -> None:
+        self.fields, self.ranks, base = fields, [], 0
+        for bits in fields:
+            self.ranks.append(base + np.cumsum(bits) - bits)
+            base += int(bits.sum())
+
+    def dump(self) -> tuple[bytes, bytes]:
+        """The sizes of the fields and their bits."""
+        return np.array([len(b) for b in self.fields], dtype=np.int64).tobytes(), b"".join(np.packbits(b).tobytes() for b in self.fields)
+
+    @classmethod
+    def load(cls, sizes: bytes, bits: bytes) -> PerfectHash:
+        out, at, fields = cls(np.empty(0, dtype=np.uint64)), 0, []
+        for size in np.frombuffer(sizes, dtype=np.int64).tolist():
+            fields.append(np.unpackbits(np.frombuffer(bits, dtype=np.uint8, count=-(-size // 8), offset=at), count=size).astype(bool))
+            at += -(-size // 8)
+        out._set(fields)
+        return out
+
+    @staticmethod
+    def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+        return (_mix(keys, level + 1) % np.uint64(size)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, 0..n-1; of a key that is not in the set, any place."""
-        keys = np.asarray(keys, dtype=np.uint64)
-        if not self.n:
-            return np.zeros(len(keys), dtype=np.int64)
-        bucket = (_mix(keys, 1) % np.uint64(self.buckets)).astype(np.int64)
-        return self._place(keys, self.moves[bucket].astype(np.uint64))
+        left = np.asarray(keys, dtype=np.uint64)
+        out, todo = np.zeros(len(left), dtype=np.int64), np.arange(len(left))
+        for level, (bits, ranks) in enumerate(zip(self.fields, self.ranks, strict=True)):
+            at = self._at(left[todo], level, len(bits))
+            hit = bits[at]
+            out[todo[hit]] = ranks[at[hit]]
+            todo = todo[~hit]
+        return out
 
 
-SHARD = "shard int, n long, moves binary, fingerprints binary, firsts binary"
+SHARD = "shard int, seed int, probes long, sizes binary, bits binary, fingerprints binary, counts binary, firsts binary"
+
+
+def _keys(high: np.ndarray, low: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of both halves of a hash."""
+    return high.astype(np.int64).view(np.uint64) ^ _mix(low.astype(np.int64).view(np.uint64), seed)
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The arrays of one shard, from its rows (shard, high, low, first)."""
-    keys = pdf["high"].to_numpy(np.int64).view(np.uint64)
-    # two keys may share the first half of their hashes; the second half is mixed in, so that places stay distinct
-    keys = keys ^ _mix(pdf["low"].to_numpy(np.int64).view(np.uint64), 3)
+    """The arrays of one shard, from its rows (shard, high, low, lines, first, last)."""
+    high, low, seed = pdf["high"].to_numpy(), pdf["low"].to_numpy(), 1000
+    while len(np.unique(keys := _keys(high, low, seed))) < len(keys):
+        seed += 1
     ph = PerfectHash(keys)
     at = ph(keys)
-    arrays = {}
-    for name, kind in (("low", np.int64), ("first", np.int64)):
-        arrays[name] = np.zeros(len(pdf), dtype=kind)
-        arrays[name][at] = pdf[name].to_numpy(kind)
-    return pd.DataFrame(
-        {"shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "moves": [ph.moves.tobytes()], "fingerprints": [arrays["low"].tobytes()], "firsts": [arrays["first"].tobytes()]}
-    )
+    several = pdf["last"].to_numpy() > pdf["first"].to_numpy()
+    columns = {"fingerprints": low.astype(np.int64).astype(np.uint32), "counts": np.where(several, np.minimum(pdf["lines"], 255), 1).astype(np.uint8), "firsts": pdf["first"].to_numpy(np.int64)}
+    for name, values in columns.items():
+        columns[name] = np.zeros(len(pdf), dtype=values.dtype)
+        columns[name][at] = values
+    sizes, bits = ph.dump()
+    arrays = {name: [values.tobytes()] for name, values in columns.items()}
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "seed": [seed], "probes": [int(pdf["lines"].sum())], "sizes": [sizes], "bits": [bits], **arrays})
 
 
 def _probe(lines: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
@@ -123,25 +132,28 @@ def _probe(lines: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
     none = lines[["id", "high", "low"]].iloc[:0]
     if not len(lines) or not len(shards):
         return none
-    s = shards.iloc[0]
-    ph = PerfectHash(np.empty(0, dtype=np.uint64))
-    ph.n, ph.moves = int(s["n"]), np.frombuffer(s["moves"], dtype=np.uint32)
-    ph.buckets = len(ph.moves)
-    low = lines["low"].to_numpy(np.int64)
-    at = ph(lines["high"].to_numpy(np.int64).view(np.uint64) ^ _mix(low.view(np.uint64), 3))
-    hit = (np.frombuffer(s["fingerprints"], dtype=np.int64)[at] == low) & (np.frombuffer(s["firsts"], dtype=np.int64)[at] < lines["id"].to_numpy(np.int64))
-    return lines.loc[hit, ["id", "high", "low"]]
+    s, low = shards.iloc[0], lines["low"].to_numpy(np.int64)
+    at = PerfectHash.load(s["sizes"], s["bits"])(_keys(lines["high"].to_numpy(), low, int(s["seed"])))
+    known = np.frombuffer(s["fingerprints"], dtype=np.uint32)[at] == low.astype(np.uint32)
+    gone = known & (np.frombuffer(s["counts"], dtype=np.uint8)[at] >= 2) & (np.frombuffer(s["firsts"], dtype=np.int64)[at] < lines["id"].to_numpy(np.int64))
+    return lines.loc[gone, ["id", "high", "low"]]
+
+
+#: Up to this many shards (16 bytes each) the table of their places is broadcast.
+BROADCAST_SHARDS = 1 << 20
 
 
 def line_dedup(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, shard_keys: int = 1 << 18, copies: int = 16
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, shard_lines: int = 1 << 17, probe_rows: int = 1 << 18
 ) -> DataFrame:
     """The columns of df with the text cleaned, in a struct `record`, and n_lines long, n_dropped long.
 
     Lines are what \\n separates; a key is the line stripped of white space, with A-Z lower-cased. A key of at least `least`
     code points that stands in two documents or more loses all lines but those of the smallest document id that has it.
     Null and empty texts are one empty line; a null text stays null in the record. Rows with a null id keep all lines and
-    count for nobody; rows with equal ids are one document. The id must be an integer.
+    count for nobody; rows with equal ids are one document. The id must be an integer. An empty table gives an empty one. Of a
+    long text only the hashes of its distinct lines are kept, beside the text itself. shard_lines: lines of a shard on
+    average; probe_rows: lines that probe one copy of a shard, on average.
     """
     spark = df.sparkSession
     importable(spark)
@@ -159,20 +171,17 @@ def line_dedup(
             yield pd.DataFrame({"id": np.array(ids, np.int64), "high": np.array(high, np.int64), "low": np.array(low, np.int64)})
 
     lines = scratch.write(narrow.mapInPandas(hashes, "id long, high long, low long"), "lines")
-    shared = (
-        lines.groupBy("high", "low")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("last > first")
-        .drop("last")
-    )
-    shared = scratch.write(shared, "shared")
-    sizes = shared.count(), lines.count()
-    shards = max(1, -(-sizes[0] // shard_keys), -(-sizes[1] // (shard_keys * copies)), partitions(spark) // 8)
+    shards = max(1, -(-lines.count() // shard_lines))
     shard = F.pmod(F.xxhash64("high", "low"), F.lit(shards)).cast("int").alias("shard")
-    arrays = scratch.write(shared.select(shard, "high", "low", "first").groupBy("shard").applyInPandas(_build, SHARD), "arrays")
-
-    routed = lines.select(shard, F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(copies)).cast("int").alias("copy"), "id", "high", "low")
-    placed = arrays.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    counted = lines.groupBy(shard, "high", "low").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first"), F.max("id").alias("last"))
+    arrays = scratch.write(counted.groupBy("shard").applyInPandas(_build, SHARD), "arrays")
+
+    copies = arrays.select("shard", F.ceil(F.col("probes") / F.lit(probe_rows)).cast("int").alias("copies"))
+    if shards <= BROADCAST_SHARDS:
+        copies = F.broadcast(copies)
+    routed = lines.select(shard, "id", "high", "low").join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64(F.lit(7), "id"), "copies").cast("int"))
+    placed = arrays.select("*", F.explode(F.expr(f"sequence(0, cast(ceil(probes / {probe_rows}) as int) - 1)")).alias("copy"))
+    placed = placed.toDF(*placed.columns)  # columns of its own: both sides come from the same table
     drops = (
         routed.groupBy("shard", "copy")
         .cogroup(placed.groupBy("shard", "copy"))

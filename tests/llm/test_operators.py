@@ -644,21 +644,36 @@ def test_line_dedup(spark):
     more = spark.createDataFrame([(100 + k, f"line of group {k % 7}\n\tLINE of Group {k % 5}\nown line of {k}\né漢字éé漢字é漢\n{'x' * (k % 12)}", "en", "s", 0) for k in range(60)], SCHEMA)
     df = documents(spark).unionByName(more)
     want = brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
-    got = line_dedup.line_dedup(clashing(df), shard_keys=3).select("record.doc_id", "n_lines", "n_dropped", "record.text").collect()
+    got = line_dedup.line_dedup(clashing(df), shard_lines=3, probe_rows=5).select("record.doc_id", "n_lines", "n_dropped", "record.text").collect()
     assert Counter(map(tuple, got)) == want
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_spreads_a_hot_line(spark):
+    """A line that a hundred thousand documents have is probed in many tasks, and few lines each."""
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a line that all of them have\nown line number "), "id").alias("text"))
+    got = line_dedup.line_dedup(df, probe_rows=1 << 13, shard_lines=1 << 14)
+    assert got.groupBy("n_dropped").count().orderBy("n_dropped").collect() == [(0, 1), (1, 99_999)]
+    hot = pd.DataFrame({"shard": 0, "high": [1, 2], "low": [3, 4], "lines": [100_000, 1], "first": [0, 5], "last": [99_999, 5]})
+    assert line_dedup._build(hot)["probes"].tolist() == [100_001]
+
+
 def test_shard_arrays_are_those_probed():
-    rows = pd.DataFrame({"shard": 0, "high": np.arange(9), "low": np.arange(9) * 7, "first": 5})
+    rows = pd.DataFrame({"shard": 0, "high": np.arange(9), "low": np.arange(9) * 7, "lines": [1, 2, 2, 300, 1, 1, 1, 1, 1], "first": 5, "last": [5, 5, 9, 9, 5, 5, 5, 5, 5]})
     built = line_dedup._build(rows)
-    assert list(built.columns) == [x.split()[0] for x in line_dedup.SHARD.split(", ")] == ["shard", "n", "moves", "fingerprints", "firsts"]
-    lines = pd.DataFrame({"id": [4, 5, 6, 6], "high": [3, 3, 3, 3], "low": [21, 21, 21, 22]})
-    assert line_dedup._probe(lines, built).values.tolist() == [[6, 3, 21]]
+    assert list(built.columns) == [x.split()[0] for x in line_dedup.SHARD.split(", ")]
+    assert sorted(np.frombuffer(built["counts"][0], np.uint8).tolist()) == [1] * 7 + [2, 255]
+    lines = pd.DataFrame({"id": [4, 5, 6, 6, 6, 6], "high": [3, 3, 3, 3, 1, 2], "low": [21, 21, 21, 22, 7, 14]})
+    assert line_dedup._probe(lines, built).values.tolist() == [[6, 3, 21], [6, 2, 14]]
+    same = np.array([5, 5 ^ int(line_dedup._mix(np.array([1], np.uint64), 1000)[0] ^ line_dedup._mix(np.array([2], np.uint64), 1000)[0])], dtype=np.uint64).view(np.int64)
+    clash = pd.DataFrame({"shard": 0, "high": same, "low": [1, 2], "lines": 1, "first": 0, "last": 0})
+    assert line_dedup._build(clash)["seed"].tolist() == [1001]  # two hashes with the same 64 bits: other bits are taken
 
 
 def test_perfect_hash():
     rng = np.random.default_rng(7)
     for n in (0, 1, 2, 3, 10, 5000):
         keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        assert sorted(line_dedup.PerfectHash(keys)(keys).tolist()) == list(range(len(keys)))
+        made = line_dedup.PerfectHash(keys)
+        again = line_dedup.PerfectHash.load(*made.dump())
+        assert sorted(made(keys).tolist()) == list(range(len(keys))) and again(keys).tolist() == made(keys).tolist()
