@@ -1,12 +1,14 @@
 """Exact deduplication by a log-structured merge index of digests.
 
-Entries (digest, best row, count) are flushed from memtables as runs sorted by digest, each file with a Parquet Bloom filter
-on the digest. Compaction merges up to `fan_in` runs at a time; of equal digests it keeps the preferred row: the longest
-original text, then the smallest identifier. A digest with more than one row is a hit, and hits receive byte verification:
-the normalised texts themselves are compared, and a digest that two texts share is resolved by the texts.
-
-Copies are folded map-side wherever they meet, so a group of copies, however large, never gathers in one task. Only
-DataFrame expressions are used.
+Entries (digest, best row, count) are flushed from memtables as runs sorted by digest. A run lies in slices, a file each, with a
+Parquet Bloom filter on the digest for point lookups. Compaction merges up to `fan_in` runs at a time; of equal digests it keeps
+the preferred row: the longest original text, then the smallest identifier. A digest with more than one row is a hit. The digests
+of all hits make one filter of fixed size, which rows pass before they are verified or joined: what it does not know has no copy.
+Hits receive byte verification: the normalised texts themselves are compared, and a digest that two texts share is resolved by
+the texts.
+
+Copies are folded map-side wherever they meet, so a group of copies, however large, never gathers in one task. Digests with
+so many rows that one task would feel them are few, and are joined by broadcast. Only DataFrame expressions are used.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, without_spaces
+from .common import Scratch, col, partitions, without_spaces
 
 
-SALTS = 16
+#: A digest that has this share of all rows, or a greater one, is hot; there are 1,000 of them at most.
+HOT_SHARE = 1 / 1000
+#: The filter of hits: so many bits of the digest name a bitmap of 32,768 bits. At most 16 MB are broadcast.
+FILTER_BITS = 12
 
 
 def _best() -> Column:
@@ -30,20 +35,25 @@ def _best() -> Column:
 class DigestIndex:
     """Runs of (digest long, best struct<neg_len, no_id, id>, n long) in a scratch folder."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, fan_in: int = 8):
-        self.spark, self.scratch, self.fan_in = spark, scratch, fan_in
+    def __init__(self, spark: SparkSession, scratch: Scratch, rows: int, fan_in: int = 8, slice_rows: int = 1 << 19):
+        self.spark, self.scratch, self.rows, self.fan_in, self.slice_rows = spark, scratch, rows, fan_in, slice_rows
         self.level, self.runs, self.like = 0, 0, None
 
     def _write(self, entries: DataFrame, runs: int) -> None:
-        folded = entries.groupBy("run", "digest").agg(_best().alias("best"), F.sum("n").alias("n"))
+        """Runs in slices of digests, so that a file is some slice_rows entries, whatever the size of a run."""
+        slices = max(1, -(-self.rows // (runs * self.slice_rows)))
+        slice_ = F.pmod(F.xxhash64(F.lit(2), "digest"), F.lit(slices)).cast("int").alias("slice")
+        folded = entries.groupBy("run", slice_, "digest").agg(_best().alias("best"), F.sum("n").alias("n"))
         self.like = folded.select("digest", "best", "n", "run")
-        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
-        folded.sortWithinPartitions("run", "digest").write.partitionBy("run").options(**options).parquet(self.scratch.path(f"level{self.level}"))
+        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(self.slice_rows)}
+        tasks = min(runs * slices, max(partitions(self.spark), runs * slices // 64))
+        dealt = folded.repartition(tasks, "run", "slice").sortWithinPartitions("run", "digest").drop("slice")
+        dealt.write.partitionBy("run").options(**options).parquet(self.scratch.path(f"level{self.level}"))
         self.runs = runs
 
     def flush(self, entries: DataFrame, memtables: int) -> None:
         """Level 0: one sorted run for each memtable. An entry's memtable is a hash of its id, so memtables are of equal size."""
-        run = F.pmod(F.xxhash64("best.id"), F.lit(memtables)).cast("int")
+        run = F.pmod(F.xxhash64("best.id", "digest"), F.lit(memtables)).cast("int")
         self._write(entries.withColumn("run", run), memtables)
 
     def compact(self) -> None:
@@ -63,6 +73,27 @@ class DigestIndex:
         return self.entries().where(F.col("digest").isin(digests))
 
 
+def hit_filter(hits: DataFrame) -> DataFrame:
+    """(part int, bits binary): a bitmap of the digests for each of 2^FILTER_BITS parts, whatever the number of hits."""
+    return hits.groupBy(_part("digest").alias("part")).agg(F.bitmap_construct_agg(_place("digest")).alias("bits"))
+
+
+def _part(digest: str) -> Column:
+    return F.shiftrightunsigned(F.col(digest), 64 - FILTER_BITS).cast("int")
+
+
+def _place(digest: str) -> Column:
+    return F.col(digest).bitwiseAND(F.lit(32767))
+
+
+def may_be(df: DataFrame, known: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose digest the filter knows (left_semi) or does not know (left_anti)."""
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast((digest & 32767) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("cast(digest & 7 as int)")
+    set_ = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), bit + 1)) != 0
+    return df.join(F.broadcast(known), (_part("digest") == F.col("part")) & set_, how)
+
+
 def exact_dedup(
     df: DataFrame,
     *,
@@ -70,15 +101,17 @@ def exact_dedup(
     text_col: str = "text",
     normalise: Callable[[Column], Column] = without_spaces,
     digest: Callable[[Column], Column] = F.xxhash64,
-    memtable_rows: int = 1 << 15,
-    most_memtables: int = 64,
+    memtable_rows: int = 1 << 20,
+    slice_rows: int = 1 << 19,
     fan_in: int = 8,
 ) -> DataFrame:
     """One row for each row of df: id, keep_id, group_size long, kept boolean, text_sha256 (of the normalised text).
 
     Null texts count as empty, and empty texts are equal to one another. Rows with equal ids are rows of their own for
     group_size; a null id is preferred last. Where ids repeat, every row that has the kept id is marked as kept. Other
-    columns of df are not looked at. `digest` maps the normalised text to a long; any function gives right results.
+    columns of df are not looked at. An empty table gives an empty one. Long texts are read whole; only those that may have a
+    copy are exchanged, one of each kind from a task. `digest` maps the normalised text to a long; any function gives right
+    results. memtable_rows: rows of a memtable, however many memtables that makes.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "exact-dedup")
@@ -89,35 +122,35 @@ def exact_dedup(
         base.select("id", "digest", F.char_length("text").alias("len"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")), "seen"
     )
     best = F.struct((-F.col("len")).alias("neg_len"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id")).alias("best")
-    index = DigestIndex(spark, scratch, fan_in)
-    memtables = min(most_memtables, max(1, -(-seen.count() // memtable_rows)))
-    index.flush(seen.select("digest", best, F.lit(1).cast("long").alias("n")), memtables)
+    rows = seen.count()
+    index = DigestIndex(spark, scratch, rows, fan_in, slice_rows)
+    index.flush(seen.select("digest", best, F.lit(1).cast("long").alias("n")), max(1, -(-rows // memtable_rows)))
     index.compact()
 
     hits = scratch.write(index.entries().where("n > 1").select("digest", "best", "n"), "hits")
-    # The texts of hits meet their digests in SALTS places each, so that a group of copies, however large, is spread out;
-    # where Spark finds the hits small enough to broadcast, texts are not exchanged at all.
-    asked = hits.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(SALTS)).cast("int"))
-    verified = (
-        salted.join(asked, ["digest", "salt"], "left_semi")
-        .groupBy("digest", "salt")
-        .agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-        .groupBy("digest")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        .select("digest", (F.col("low") == F.col("high")).alias("same"))
-    )
-    verified = scratch.write(verified, "verified")
-    hits = scratch.write(hits.join(verified.where("same").select("digest"), "digest"), "sure")
-    out = _resolved(seen.join(hits, "digest", "left"))
+    known = scratch.write(hit_filter(hits), "filter")
+    alone = may_be(seen, known, "left_anti")  # has no copy: it need not meet the hits
+    low_high = may_be(base, known).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    verified = scratch.write(low_high.select("digest", (F.col("low") == F.col("high")).alias("same")), "verified")
     shared = verified.where("not same").select("digest")
+    hits = hits.join(verified.where("same").select("digest"), "digest")
+    out = _resolved(alone.select("*", F.lit(None).cast(dict(hits.dtypes)["best"]).alias("best"), F.lit(None).cast("long").alias("n")))
     if shared.isEmpty():
-        return out
+        return out.unionByName(_met(may_be(seen, known), hits, rows))
+    out = out.unionByName(_met(may_be(seen, known).join(shared, "digest", "left_anti"), hits, rows))
     mixed = base.join(shared, "digest", "left_semi").select(
         "id", "norm", F.char_length("text").alias("len"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
     )
     by_text = mixed.select("norm", best).groupBy("norm").agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))
-    return _resolved(seen.join(shared, "digest", "left_anti").join(hits, "digest", "left")).unionByName(_resolved(mixed.join(by_text, "norm")))
+    return out.unionByName(_resolved(mixed.join(by_text, "norm")))
+
+
+def _met(seen: DataFrame, hits: DataFrame, rows: int) -> DataFrame:
+    """Rows with the hit of their digest, if there is one; hot digests by broadcast, the others by an exchange."""
+    hot = F.broadcast(hits.where(F.col("n") >= F.greatest(F.lit(2), F.lit(rows * HOT_SHARE))))
+    rest = hits.where(F.col("n") < F.greatest(F.lit(2), F.lit(rows * HOT_SHARE)))
+    cold = seen.join(hot.select("digest"), "digest", "left_anti").join(rest, "digest", "left")
+    return _resolved(seen.join(hot, "digest")).unionByName(_resolved(cold))
 
 
 def _resolved(joined: DataFrame) -> DataFrame:

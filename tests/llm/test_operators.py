@@ -103,7 +103,7 @@ def brute_exact(rows):
 def test_exact_dedup(spark, weak):
     df = documents(spark)
     options = {"digest": lambda t: F.length(t) % 3} if weak else {}  # a weak digest: hits are told apart by their bytes
-    got = exact_dedup.exact_dedup(df, memtable_rows=2, fan_in=2, **options)
+    got = exact_dedup.exact_dedup(df, memtable_rows=2, slice_rows=3, fan_in=2, **options)
     want = brute_exact([(r["doc_id"], r["text"]) for r in df.collect()])
     assert Counter(map(tuple, got.select("id", "keep_id", "group_size", "kept", "text_sha256").collect())) == want
     if not weak:
@@ -113,7 +113,7 @@ def test_exact_dedup(spark, weak):
 
 def test_digest_index_looks_up(spark):
     scratch = exact_dedup.Scratch(spark, "test")
-    index = exact_dedup.DigestIndex(spark, scratch, fan_in=2)
+    index = exact_dedup.DigestIndex(spark, scratch, 100, fan_in=2, slice_rows=10)
     best = F.struct(F.lit(0).alias("neg_len"), F.lit(False).alias("no_id"), F.col("id").alias("id")).alias("best")
     index.flush(spark.range(100).select((F.col("id") % 50).alias("digest"), best, F.lit(1).cast("long").alias("n")), 5)
     assert index.entries().select("run").distinct().count() == 5
@@ -122,6 +122,23 @@ def test_digest_index_looks_up(spark):
     assert [(r["digest"], r["best"]["id"], r["n"]) for r in index.lookup([7]).collect()] == [(7, 7, 2)]
 
 
+def test_exact_dedup_filter(spark):
+    """The filter knows every hit, and little else; memtables stay small however many they are."""
+    hits = spark.range(500).select(F.xxhash64("id").alias("digest"))
+    known = exact_dedup.hit_filter(hits)
+    others = spark.range(500, 20_500).select(F.xxhash64("id").alias("digest"))
+    assert exact_dedup.may_be(hits, known).count() == 500 and exact_dedup.may_be(hits, known, "left_anti").count() == 0
+    assert exact_dedup.may_be(others, known).count() < 20 and exact_dedup.may_be(others, known, "left_anti").count() > 19_980
+
+
+def test_exact_dedup_hot_group(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("text "), F.col("id") % 9001)).alias("text"))
+    got = exact_dedup.exact_dedup(df, memtable_rows=100).groupBy("group_size").agg(F.count("*").alias("n"), F.countDistinct("keep_id").alias("k")).orderBy("group_size").collect()
+    groups = Counter("same" if i % 3 == 0 else i % 9001 for i in range(20_000))
+    want = Counter(groups.values())
+    assert {r["group_size"]: (r["n"], r["k"]) for r in got} == {size: (size * n, n) for size, n in want.items()}
+
+
 # ---- 3
 
 
