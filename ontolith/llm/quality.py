@@ -2,8 +2,8 @@
 
 A document is a bag of passages of `PASSAGE` bytes; every passage of the whole text is encoded. Gated attention,
 w . (tanh(V h) * sigmoid(U h)), weighs the passages; the weighted mean representation is scored by a logistic unit. Encoder,
-attention and score are learned together from document labels, by gradient descent on the driver over a bounded sample of
-labelled rows.
+attention and score are learned together from document labels, by gradient descent on the driver over a sample of labelled
+rows that is bounded in rows and in bytes. A long text is encoded and weighed some passages at a time.
 
 A passage is described by how often character classes follow one another in it and by how much of it repeats. Language,
 source and id are not looked at.
@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, importable
+from .common import Scratch, col, importable
 
 PASSAGE = 1024
+#: Passages of one text that are encoded at a time.
+AT_A_TIME = 256
 _SINGLE = b".,!?;:'\"-|*#$%&/()@_<>="
 _CLASS = np.full(256, 5, dtype=np.int64)
 for _k, _bytes in enumerate((b" ", b"\n\r\t", bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)))):
@@ -34,14 +36,24 @@ CLASSES = 7 + len(_SINGLE)
 FEATURES = CLASSES * CLASSES + 4
 
 
-def passages(text: str | None) -> np.ndarray:
-    """A row of features for each passage; an empty text has one passage without characters."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def passages(raw: bytes) -> Iterator[np.ndarray]:
+    """A row of features for each passage, AT_A_TIME passages in an array; an empty text has one passage without characters."""
+    step = AT_A_TIME * PASSAGE
+    for at in range(0, max(1, len(raw)), step):
+        yield _described(raw[at : at + step], raw[at + step : at + step + 1])
+
+
+def _described(raw: bytes, after: bytes) -> np.ndarray:
+    """The passages of a piece; after: the byte that follows it, if there is one."""
     n = max(1, -(-len(raw) // PASSAGE))
-    classes = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
+    classes = _CLASS[np.frombuffer(raw + after, dtype=np.uint8)]
     out = np.zeros((n, FEATURES), dtype=np.float32)
-    if len(raw) > 1:
-        where = np.arange(len(raw) - 1) // PASSAGE
+    if len(classes) > 1:
+        where = np.arange(len(classes) - 1) // PASSAGE
         pairs = np.bincount(where * (CLASSES * CLASSES) + classes[:-1] * CLASSES + classes[1:], minlength=n * CLASSES * CLASSES)
         out[:, : CLASSES * CLASSES] = pairs.reshape(n, -1)
     for k in range(n):
@@ -79,11 +91,18 @@ class Model:
         return {"h": h, "v": v, "u": u, "att": att, "z": z, "score": _sigmoid(z @ p["c"] + p["d"])}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Each text for itself, so that a text's score does not depend on its neighbours; long ones a piece at a time."""
-        out = np.empty(len(texts))
+        """Each text for itself, so that a text's score does not depend on its neighbours. The attention over its passages is
+        summed up piece by piece: what is kept is the largest weight so far, the sum of weights and that of weighted passages."""
+        p, out = self.weights, np.empty(len(texts))
         for k, t in enumerate(texts):
-            x = (passages(t) - self.mean) / self.scale
-            out[k] = self.forward(x, np.zeros(len(x), dtype=np.int64), 1)["score"][0]
+            top, total, z = -np.inf, 0.0, 0.0
+            for x in passages(encoded(t)):
+                h = np.tanh(((x - self.mean) / self.scale) @ p["E"] + p["e"])
+                a = ((np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]).astype(np.float64)
+                best = max(top, a.max())
+                ex, shrink = np.exp(a - best), np.exp(top - best)
+                top, total, z = best, total * shrink + ex.sum(), z * shrink + ex @ h
+            out[k] = _sigmoid(z / total @ p["c"] + p["d"])
         return out
 
 
@@ -124,18 +143,32 @@ def held_out(id_col: str):
     return F.crc32(col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def learn(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3000) -> Model | None:
-    """A model from at most `most_rows` labelled rows outside the held-out fold, taken in the order of a hash of the id.
-    Their passages' features come to the driver. Without two kinds of label there is no model."""
+def learn(
+    df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3000, most_bytes: int = 16 << 20
+) -> Model | None:
+    """A model from at most `most_rows` labelled rows outside the held-out fold, taken in the order of a hash of the id, and of
+    these as many as have at most `most_bytes` of text together; each text is read whole. Their passages' features, about
+    1.8 bytes for a byte of text, come to the driver. Where an id has several rows, the least text counts. Without two kinds
+    of label there is no model."""
+    spark = df.sparkSession
     ids = labels.select(col(id_col).alias("id"), col(label_col).alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id"))
     ids = ids.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = df.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "text", "y")
+    text = F.coalesce(col(text_col), F.lit(""))
+    rows = df.select(col(id_col).alias("id"), text.alias("text")).join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = Scratch(spark, "quality").write(rows, "labelled", most_rows)
+    chosen, size = [], 0
+    for r in rows.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id").collect():
+        if size + r["n"] <= most_bytes:
+            chosen.append(r["id"])
+            size += r["n"]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": [passages(t).astype(np.float16).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": [np.concatenate(list(passages(encoded(t)))).astype(np.float16).tobytes() for t in batch["text"]]})
 
-    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInPandas(describe, f"id {dict(rows.dtypes)['id']}, y int, x binary").collect())
+    kind = dict(rows.dtypes)["id"]
+    used = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], f"id {kind}")), "id", "left_semi")
+    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in used.mapInPandas(describe, f"id {kind}, y int, x binary").collect())
     y = np.array([r[1] for r in got], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         return None
@@ -144,12 +177,13 @@ def learn(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return fit(np.concatenate(x), bag, y)
 
 
-def quality_score(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3000, least: float = 0.7) -> DataFrame:
+def quality_score(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3000, most_bytes: int = 16 << 20, least: float = 0.7) -> DataFrame:
     """The columns of df in a struct `record`, with held_out boolean, score double (0 to 1) and predicted int (1 if score >=
     least). Null and empty texts are scored as one empty passage. Rows with a null id are not held out. Equal texts have
-    equal scores. Without labels of both kinds every score is the share of label 1 among them, or 0.5 without any."""
+    equal scores. An empty table gives an empty one. A text is scored on the whole, however long, in memory that does not grow
+    with it but for the text itself. most_rows, most_bytes: see learn(). Without labels of both kinds every score is the share of label 1 among them, or 0.5 without any."""
     importable(df.sparkSession)
-    model = learn(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows)
+    model = learn(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_rows=most_rows, most_bytes=most_bytes)
     flat = 0.5
     if model is None:
         seen = labels.where(~F.coalesce(held_out(id_col), F.lit(False))).where(col(label_col).isin(0, 1)).agg(F.avg(col(label_col))).first()[0]

@@ -4,6 +4,7 @@ texts, ties and repeated rows, empty tables, extra columns with clashing names."
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -277,6 +278,33 @@ def test_quality_learns(spark):
     assert none["score"] == 0.5 and none["predicted"] == 0
 
 
+def test_quality_of_long_texts():
+    """Piece by piece gives what all passages at once give, and takes no more memory than a piece."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8, quality.FEATURES)).astype(np.float32)
+    model = quality.fit(x, np.arange(8), np.array([0, 1] * 4, np.float32), rounds=3)
+    text = " ".join(str(w) for w in rng.integers(0, 10**6, 100_000))
+    features = np.concatenate(list(quality.passages(text.encode())))
+    assert len(features) == -(-len(text) // quality.PASSAGE) > 2 * quality.AT_A_TIME
+    whole = quality._described(text.encode(), b"")
+    assert (features == whole).all()
+    at_once = model.forward((whole - model.mean) / model.scale, np.zeros(len(whole), dtype=np.int64), 1)["score"][0]
+    assert model.score([text])[0] == pytest.approx(at_once, abs=1e-5)
+    tracemalloc.start()
+    model.score([text * 30])
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20  # the text is 20 MB
+    tracemalloc.stop()
+
+
+def test_quality_sample_is_bounded_in_bytes(spark):
+    rows = [(k, ("word " if k % 2 else "WORD!! ") * 200, "en", "s", 0) for k in range(200)] * 3 + [(1000 + k, "x" * 50_000, "en", "s", 0) for k in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    model = quality.learn(df, labels, most_bytes=60_000)  # not all rows, and no more than one of the long ones
+    assert model.score(["word " * 200])[0] > 0.7 > 0.3 > model.score(["WORD!! " * 200])[0]
+    assert quality.learn(df, labels, most_bytes=100) is None
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(2)
     x, bag, y = rng.normal(size=(30, 6)).astype(np.float32), np.sort(rng.integers(0, 8, 30)), rng.integers(0, 2, 8).astype(np.float32)
