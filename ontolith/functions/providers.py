@@ -6,11 +6,12 @@ a row whose attempts all fail is marked, not raised.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from . import vectors
@@ -31,6 +32,22 @@ class AuditSink(Protocol):
     def emit(self, event: dict) -> None: ...
 
 
+class TableSink:
+    """An audit sink and event bus that keeps what it is given as rows; table() gives them as a DataFrame."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, str]] = []
+
+    def emit(self, event: dict) -> None:
+        self.publish("audit", json.dumps(event, ensure_ascii=False, sort_keys=True).encode())
+
+    def publish(self, topic: str, payload: bytes) -> None:
+        self.rows.append((topic, payload.decode()))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(k, *r) for k, r in enumerate(self.rows)], "ord long, topic string, payload string")
+
+
 @runtime_checkable
 class EventBus(Protocol):
     def publish(self, topic: str, payload: bytes) -> None: ...
@@ -60,8 +77,17 @@ def embedded(df: DataFrame, text: str, embedder: Embedder, out: str = "vec") ->
     return df.mapInPandas(run, schema)
 
 
-def completed(df: DataFrame, prompt: str, completer: Completer, attempts: int = 2, valid: Callable[[str], bool] = bool) -> DataFrame:
-    """df with reply (null if no attempt gave a valid one) and warnings (the failed attempts)."""
+def json_object(reply: str) -> bool:
+    """Whether a reply holds a JSON object, from its first { to its last }."""
+    try:
+        return isinstance(json.loads(reply[reply.index("{") : reply.rindex("}") + 1]), dict)
+    except ValueError:
+        return False
+
+
+def completed(df: DataFrame, prompt: str, completer: Completer, attempts: int = 2, valid: Callable[[str], bool] = json_object) -> DataFrame:
+    """df with reply (null if no attempt gave a valid one) and warnings (the failed attempts). By default a reply must hold a
+    JSON object, as extraction needs it."""
     schema = StructType([*df.schema, StructField("reply", StringType()), StructField("warnings", IntegerType())])
 
     def ask(text: str) -> tuple[str | None, int]:

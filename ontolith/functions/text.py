@@ -151,7 +151,7 @@ def record_text(name: Column, properties: Column) -> Column:
 
 
 #: Headings of paged documents.
-PART, CHAPTER, SECTION = r"^第[一二三四五六七八九十]+(部分|篇)", r"^第[一二三四五六七八九十]+章", r"^(\d{1,2}\.\d{1,2})\s*(\S.*)$"
+PART, CHAPTER, SECTION = r"^第[一二三四五六七八九十]+部分$", r"^第.{1,3}章(\s*·\s*.*)?$", r"^(\d{1,2}\.\d{1,2})\s*(\S.*)$"
 
 
 def heading(line: Column) -> Column:
@@ -165,9 +165,9 @@ def heading(line: Column) -> Column:
     )
 
 
-def is_page_mark(line: Column, header: str | None = None, footer: str | None = None) -> Column:
-    """Page headers and footers by pattern, and lines like 12/153."""
-    out = line.rlike(r"^\d{1,3}/\d{1,4}$")
+def is_page_mark(line: Column, header: str | None = None, footer: str | None = None, pages: int | None = None) -> Column:
+    """Page headers and footers by pattern, and lines like 12/153 if the document has 153 pages."""
+    out = F.lit(False) if pages is None else line.rlike(rf"^\d{{1,3}}/{pages}$")
     for pattern in filter(None, (header, footer)):
         out = out | line.rlike(pattern)
     return out

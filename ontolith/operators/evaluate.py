@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from html import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,29 @@ def run_targets(items: DataFrame, targets: dict[str, Callable[[DataFrame], DataF
     return answers, failures
 
 
+def item_failures(answers: DataFrame) -> DataFrame:
+    """(item_id, target, error) of the items whose target failed; the others are answers. See answered()."""
+    return answers.where("error is not null").select("item_id", "target", "error")
+
+
+def answered(items: DataFrame, name: str, ask: Callable[[str], str]) -> DataFrame:
+    """items (item_id, question) with target, text and error: a target that is a Python callable, asked item by item. An item
+    for which it raises has the error 'Type: message' and no text; the others go on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = []
+            for question in batch["question"]:
+                try:
+                    got.append((ask(question), None))
+                except Exception as error:  # noqa: BLE001 -- a failing item is recorded, the run goes on
+                    got.append((None, f"{type(error).__name__}: {error}"))
+            yield batch[["item_id"]].assign(target=name, text=[t for t, _ in got], error=[e for _, e in got])
+
+    kind = dict(items.dtypes)["item_id"]
+    return items.select("item_id", "question").mapInPandas(run, f"item_id {kind}, target string, text string, error string")
+
+
 def report(summaries: DataFrame, comparison: DataFrame, title: str) -> tuple[str, str]:
     """The same matrix and winners as Markdown and HTML. The tables have a row for each metric and target."""
     cells: dict[str, dict[str, str]] = {}
@@ -118,5 +143,6 @@ def report(summaries: DataFrame, comparison: DataFrame, title: str) -> tuple[str
     header = ["metric", *targets, "winner", "delta"]
     rows = [[m, *[cells[m].get(t, "–") for t in targets], *best.get(m, ("–", "–"))] for m in [*METRICS, *sorted(set(cells) - set(METRICS))] if m in cells]
     markdown = [f"# {title}", "", "| " + " | ".join(header) + " |", "|" + "---|" * len(header), *["| " + " | ".join(r) + " |" for r in rows], ""]
-    html = [f"<h1>{title}</h1>", "<table>", "<tr>" + "".join(f"<th>{h}</th>" for h in header) + "</tr>", *["<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows], "</table>"]
+    row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape(c)}</{tag}>" for c in cells) + "</tr>"
+    html = [f"<h1>{escape(title)}</h1>", "<table>", row(header, "th"), *[row(r, "td") for r in rows], "</table>"]
     return "\n".join(markdown), "\n".join(html)

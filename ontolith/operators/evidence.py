@@ -80,8 +80,9 @@ def violations(answers: DataFrame, evidence: DataFrame, claims_: DataFrame) -> D
     loose = cites.join(known.distinct(), ["question_id", "ref_id"], "left_anti")
     bare = answers.select("question_id", F.posexplode(T.unsupported(F.col("text"))).alias("at", "sentence"))
     none = F.lit("")
-    return loose.select("question_id", "at", F.lit("dangling").alias("kind"), "marker", "ref_id", none.alias("sentence")).unionByName(
-        bare.select("question_id", (F.col("at") + 1_000_000).alias("at"), F.lit("unsupported").alias("kind"), none.alias("marker"), none.alias("ref_id"), "sentence")
+    at = lambda part: F.struct(F.lit(part).alias("part"), F.col("at").alias("at")).alias("at")
+    return loose.select("question_id", at(0), F.lit("dangling").alias("kind"), "marker", "ref_id", none.alias("sentence")).unionByName(
+        bare.select("question_id", at(1), F.lit("unsupported").alias("kind"), none.alias("marker"), none.alias("ref_id"), "sentence")
     ).withColumnRenamed("at", "ord")
 
 

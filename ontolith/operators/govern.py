@@ -37,20 +37,25 @@ def idempotency_key(object_id: Column, capability: Column, version: Column, opti
 
 
 def submit(stored: DataFrame | None, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New proposals, their audit rows and the requests in conflict.
+    """New proposals, their audit rows, and (idempotency_key, conflicts): for each key the requests in conflict.
 
-    requests: ord, object_id, capability, version, option_id, title, requested_by, created_at. A key that is stored, or that an
-    earlier request has, is a conflict. Proposal and event ids are hashes of the key, so that a rerun gives the same.
+    requests: ord, object_id, capability, version, option_id, title, requested_by, created_at. Of the requests with one key the
+    first by ord (then by the other columns) makes the proposal; the others, and all whose key is stored, are conflicts.
+    Proposal and event ids are hashes of the key, so that a rerun gives the same.
     """
     key = idempotency_key(F.col("object_id"), F.col("capability"), F.col("version"), F.col("option_id"))
-    keyed = requests.withColumn("idempotency_key", key)
-    first = keyed.groupBy("idempotency_key").agg(F.min("ord").alias("ord"))
-    if stored is not None:
-        first = first.join(stored.select("idempotency_key"), "idempotency_key", "left_anti")
-    fresh = keyed.join(first, ["idempotency_key", "ord"], "left_semi")
-    conflicts = keyed.join(first, ["idempotency_key", "ord"], "left_anti")
+    row = F.struct("ord", *[c for c in requests.columns if c != "ord"])
+    first = requests.select(key.alias("idempotency_key"), row.alias("row")).groupBy("idempotency_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    if stored is None:
+        first = first.withColumn("known", F.lit(False))
+    else:
+        known = stored.select("idempotency_key", F.lit(True).alias("known")).distinct()
+        first = first.join(known, "idempotency_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    conflicts = first.select("idempotency_key", (F.col("n") - F.when(F.col("known"), 0).otherwise(1)).alias("conflicts")).where("conflicts > 0")
+    fresh = first.where(~F.col("known")).select("idempotency_key", *[F.col("row")[c].alias(c) for c in requests.columns])
     stamp = F.date_format("created_at", "yyyyMMdd")
-    proposals = fresh.withColumn("proposal_id", F.concat(F.lit("ACT-"), stamp, F.lit("-"), F.substring(F.sha2("idempotency_key", 256), 1, 8))).withColumn("status", F.lit("pending_approval"))
+    number = F.concat(F.lit("ACT-"), stamp, F.lit("-"), F.substring(F.sha2("idempotency_key", 256), 1, 24))
+    proposals = fresh.withColumn("proposal_id", number).withColumn("status", F.lit("pending_approval"))
     audit = proposals.select(
         F.concat(F.lit("AUD-"), F.sha2(F.concat(F.lit("created:"), "idempotency_key"), 256)).alias("event_id"),
         F.col("proposal_id").alias("correlation_id"), F.col("requested_by").alias("actor"), F.lit("ACTION_PROPOSAL_CREATED").alias("event_type"), "object_id",
@@ -98,3 +103,41 @@ def overview(proposals: DataFrame, connectors: DataFrame) -> DataFrame:
     p = proposals.agg(F.count_if(F.col("status") == "pending_approval").alias("pending"))
     c = connectors.agg(F.count_if(F.col("status") == "在线").alias("online"), F.count(F.lit(1)).alias("connectors"))
     return p.withColumn("k", F.lit(1)).join(c.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+#: The checks of a simulation and their outcomes.
+CHECKS = (("对象版本", "通过"), ("跨系统影响", "通过"), ("权限策略", "需审批"), ("回滚计划", "已生成"))
+
+
+def simulate(options: DataFrame, asked: DataFrame) -> DataFrame:
+    """The checks of each option asked for: (option_id, title, check, status, k); unknown options give no row. options: option_id,
+    title. asked: option_id."""
+    checks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("check"), F.lit(status).alias("status")) for k, (name, status) in enumerate(CHECKS)])).alias("c")
+    return options.join(asked.select("option_id").distinct(), "option_id", "left_semi").select("option_id", "title", checks).select("option_id", "title", "c.check", "c.status", "c.k")
+
+
+def user_by_open_id(users: DataFrame, open_id: str) -> DataFrame:
+    return users.where(F.col("open_id") == open_id).limit(1)
+
+
+def capabilities(connectors: DataFrame, kind: str | None = None) -> DataFrame:
+    """A row for each capability of a connector: connector_id, name, kind. connectors: connector_id, capabilities
+    array<struct<name, kind>>."""
+    rows = connectors.select("connector_id", F.explode("capabilities").alias("c")).select("connector_id", "c.name", "c.kind")
+    return rows if kind is None else rows.where(F.col("kind") == kind)
+
+
+def mapped(mappings: DataFrame, external: DataFrame, least: float = 0.0) -> DataFrame:
+    """The objects of external ids: (system, external_id, object_id, confidence), the most certain mapping of each, ties to the
+    smaller object id. mappings: system, external_id, object_id, confidence, status; only active ones count."""
+    active = mappings.where((F.col("status") == "active") & (F.col("confidence") >= least)).join(external.select("system", "external_id").distinct(), ["system", "external_id"], "left_semi")
+    best = active.groupBy("system", "external_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "object_id", "confidence")).alias("m"))
+    return best.select("system", "external_id", "m.object_id", "m.confidence")
+
+
+def decided_by_client(events: DataFrame) -> DataFrame:
+    """Proposals that a client keeps: (proposal_id, status, ord), newest first by ord. events: ord, kind 'create' or 'decide',
+    proposal_id, status. The last decision stands; decisions on unknown proposals have no effect."""
+    made = events.where("kind = 'create'").groupBy("proposal_id").agg(F.max(F.struct("ord", "status")).alias("m"))
+    last = events.where("kind = 'decide'").groupBy("proposal_id").agg(F.max_by("status", "ord").alias("decided"))
+    return made.join(last, "proposal_id", "left").select("proposal_id", F.coalesce("decided", "m.status").alias("status"), "m.ord")

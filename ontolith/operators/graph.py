@@ -59,12 +59,16 @@ def trails(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     )
 
 
-def two_hop_edges(edges: DataFrame, starts: DataFrame, rels: list[str] | None = None) -> DataFrame:
+def two_hop_edges(edges: DataFrame, starts: DataFrame, rels: list[str] | DataFrame | None = None, *, by: list[str] | None = None, order: str = "type") -> DataFrame:
     """The distinct links within two hops of the starts (columns id, and ord for their order), second hops back to the start left out:
     (source_id, target_id, link_type, hit, rank). hit: whether the link's type is asked for (all are if none is); rank puts
-    hits first, then sorts by type, then by first discovery."""
-    first = starts.select(F.col("id").alias("start"), F.col("ord").alias("s")).join(edges.withColumnRenamed("ord", "e"), F.col("start") == F.col("id"))
-    one = first.select("start", "s", "e", "direction", F.col("other").alias("mid"), "id", "other", "link_type")
+    hits first, then sorts by type, then by first discovery; with order 'found' by first discovery only.
+
+    by: columns of starts, a question's id for instance; links are then found, and ranked, for each of their values, and rels
+    may be a DataFrame of these columns and link_type."""
+    by = by or []
+    first = starts.select(*by, F.col("id").alias("start"), F.col("ord").alias("s")).join(edges.withColumnRenamed("ord", "e"), F.col("start") == F.col("id"))
+    one = first.select(*by, "start", "s", "e", "direction", F.col("other").alias("mid"), "id", "other", "link_type")
     hops = edges.select(F.col("id").alias("mid"), F.col("other").alias("other2"), F.col("link_type").alias("type2"), F.col("direction").alias("direction2"), F.col("ord").alias("e2"))
     two = one.join(hops, "mid").where("other2 != start")
 
@@ -77,11 +81,37 @@ def two_hop_edges(edges: DataFrame, starts: DataFrame, rels: list[str] | None =
             F.struct(*[F.coalesce(F.col(p).cast("long"), F.lit(-1)).alias(f"p{k}") if p else F.lit(-1).cast("long").alias(f"p{k}") for k, p in enumerate(place)]).alias("place"),
         ]
 
-    found = one.select(*oriented("direction", "id", "other", "link_type", "s", "e", "")).unionByName(two.select(*oriented("direction2", "mid", "other2", "type2", "s", "e", "e2")))
-    distinct = found.groupBy("source_id", "target_id", "link_type").agg(F.min("place").alias("place"))
-    hit = F.col("link_type").isin(*rels) if rels else F.lit(True)
-    order = Window.orderBy(~F.col("hit"), "link_type", "place", "source_id", "target_id")
-    return distinct.withColumn("hit", hit).withColumn("rank", F.row_number().over(order)).drop("place")
+    found = one.select(*by, *oriented("direction", "id", "other", "link_type", "s", "e", "")).unionByName(two.select(*by, *oriented("direction2", "mid", "other2", "type2", "s", "e", "e2")))
+    distinct = found.groupBy(*by, "source_id", "target_id", "link_type").agg(F.min("place").alias("place"))
+    if isinstance(rels, DataFrame):
+        asked = rels.select(*by, "link_type", F.lit(True).alias("asked")).distinct()
+        some = asked.select(*by, F.lit(True).alias("some")).distinct()
+        distinct = distinct.join(asked, [*by, "link_type"], "left").join(some, by, "left").withColumn("hit", F.col("some").isNull() | F.col("asked").isNotNull()).drop("asked", "some")
+    else:
+        distinct = distinct.withColumn("hit", F.col("link_type").isin(*rels) if rels else F.lit(True))
+    kind = ["link_type"] if order == "type" else []
+    window = Window.partitionBy(*by).orderBy(~F.col("hit"), *kind, "place", "source_id", "target_id")
+    return distinct.select(*by, "source_id", "target_id", "link_type", "hit", F.row_number().over(window).alias("rank"))
+
+
+def links_of(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """The links of each object (column id) as it sees them: (id, to, rel, dir, ord); rel is the link's label."""
+    own = ids.select("id").distinct()
+    out = links.select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), F.col("label").alias("rel"), F.lit("out").alias("dir"), "ord")
+    back = links.select(F.col("target_id").alias("id"), F.col("source_id").alias("to"), F.col("label").alias("rel"), F.lit("in").alias("dir"), "ord")
+    return out.unionByName(back).join(own, "id", "left_semi").select("id", "to", "rel", "dir", "ord")
+
+
+def objects_in(found: DataFrame) -> DataFrame:
+    """(objects): how many distinct objects stand at the ends of links."""
+    return found.select(F.explode(F.array("source_id", "target_id")).alias("id")).agg(F.count_distinct("id").alias("objects"))
+
+
+def focus_or_default(objects: DataFrame, asked: str, place: int = 2) -> DataFrame:
+    """(id) of the object asked for; if there is none, of the second by ord."""
+    own = objects.where(F.col("id") == asked).select("id", F.lit(0).alias("o"))
+    other = objects.select("id", "ord").orderBy("ord", "id").offset(place - 1).limit(1).select("id", F.lit(1).alias("o"))
+    return own.unionByName(other).orderBy("o").limit(1).select("id")
 
 
 def ego_graph(objects: DataFrame, relations: DataFrame, focus: DataFrame) -> DataFrame:

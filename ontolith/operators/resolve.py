@@ -91,3 +91,33 @@ def redirect(links: DataFrame, aliases: DataFrame) -> DataFrame:
         moved = aliases.select(F.col("id").alias(end), F.col("survivor_id").alias("moved"))
         links = links.join(moved, end, "left").withColumn(end, F.coalesce("moved", end)).drop("moved")
     return links
+
+
+def by_embedding(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(object_type, id, survivor_id) of every record that is absorbed: of the records of one type that similar pairs connect, the
+    first by ord survives. records: object_type, id, ord (of any ordered type), vec."""
+    scratch = Scratch(records.sparkSession, "by-embedding")
+    numbered = scratch.write(records.select("object_type", "id", F.col("ord").alias("place"), "vec", F.monotonically_increasing_id().alias("ord")), "numbered")
+    found = clusters(similar_pairs(numbered.select("object_type", "ord", "vec"), threshold))
+    own = numbered.drop("vec").join(found, "ord")
+    first = own.groupBy("survivor").agg(F.min_by("id", F.struct("place", "ord")).alias("survivor_id"))
+    return own.join(first, "survivor").where("id != survivor_id").select("object_type", "id", "survivor_id")
+
+
+def fold(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Records after absorption: a survivor takes the properties of the records it absorbs, later ones (by ord) win key by key,
+    and their provs, each followed by those it had absorbed itself. Adds merged_via: 'embedding' where something was absorbed,
+    else empty. records: object_type, id, ord, properties, prov, absorbed. aliases: object_type, id, survivor_id."""
+    moved = records.join(aliases.select("object_type", "id", "survivor_id"), ["object_type", "id"], "left").withColumn("gone", F.col("survivor_id").isNotNull())
+    target = moved.withColumn("id", F.coalesce("survivor_id", "id"))
+    entries = target.select("object_type", "id", "ord", "gone", F.explode("properties").alias("name", "value"))
+    values = entries.groupBy("object_type", "id", "name").agg(F.max_by("value", F.struct("gone", "ord")).alias("value"))
+    maps = values.groupBy("object_type", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
+    taken = F.array_sort(F.collect_list(F.when(F.col("gone"), F.struct("ord", F.concat(F.array("prov"), "absorbed").alias("provs")))))
+    own = F.max(F.when(~F.col("gone"), F.struct("ord", "prov", "absorbed"))).alias("own")
+    provs = target.groupBy("object_type", "id").agg(own, taken.alias("taken"))
+    empty = F.map_from_entries(F.array().cast("array<struct<name:string,value:string>>"))
+    return provs.join(maps, ["object_type", "id"], "left").select(
+        "object_type", "id", "own.ord", F.coalesce("properties", empty).alias("properties"), "own.prov",
+        F.concat("own.absorbed", F.flatten(F.transform("taken", lambda x: x["provs"]))).alias("absorbed"), F.when(F.size("taken") > 0, "embedding").otherwise("").alias("merged_via"),
+    )

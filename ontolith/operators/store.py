@@ -90,6 +90,56 @@ def records_from_vertices(rows: DataFrame, properties: str = "properties") -> Da
     return rows.select(F.col("label").alias("object_type"), F.element_at(props, "id").alias("id"), own.alias("properties"), F.to_json(prov).alias("prov"))
 
 
+def records_from_edges(rows: DataFrame, properties: str = "properties") -> DataFrame:
+    """Edge rows (label, source_id, target_id, properties) as link records; prov is read from __prov."""
+    props: Column = F.col(properties)
+    prov = F.coalesce(F.try_parse_json(F.element_at(props, "__prov")).cast("map<string,string>"), F.create_map().cast("map<string,string>"))
+    return rows.select(F.col("label").alias("link_type"), "source_id", "target_id", F.map_filter(props, lambda k, _: k != "__prov").alias("properties"), F.to_json(prov).alias("prov"))
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """Records of several shapes as (id, object_type, score): id or else object_id, object_type or else type, score or else 0."""
+    said = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in rows.columns], F.lit(""))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in rows.columns else F.lit(0.0)
+    return rows.select(said("id", "object_id").alias("id"), said("object_type", "type").alias("object_type"), score.alias("score"))
+
+
+def decoded(text: Column) -> Column:
+    """The JSON text of a graph value: type marks (::vertex, ::edge, ::path, ::agtype) go where they stand outside strings."""
+    return F.regexp_replace(F.trim(text), r'("(?:[^"\\]++|\\.)*+")|::(?:vertex|edge|path|agtype)(?![\p{L}\p{N}_])', "$1")
+
+
+def decoded_vertices(rows: DataFrame, text: str) -> DataFrame:
+    """Vertex rows (label, properties) from graph values as text; what is no JSON object gives no row."""
+    read = rows.select(F.from_json(decoded(F.col(text)), "label string, properties map<string,string>").alias("v"))
+    return read.where("v.label is not null").select("v.label", F.coalesce("v.properties", F.create_map().cast("map<string,string>")).alias("properties"))
+
+
+def graph_name(namespace: str) -> str:
+    """The name of a namespace's graph."""
+    name = "oag_" + namespace.replace(".", "_")
+    check_names([name])
+    return name
+
+
+class VectorStore:
+    """Vectors of named collections with the two operations of a vector store; nothing is mutated."""
+
+    def __init__(self, vectors: DataFrame):
+        self.vectors = vectors
+
+    def with_vectors(self, incoming: DataFrame) -> VectorStore:
+        return VectorStore(upsert_vectors(self.vectors, incoming))
+
+    def search(self, collection: str, questions: DataFrame, k: int, linked: DataFrame | None = None) -> DataFrame:
+        """The k nearest of a collection; linked types, if given, filter what was found."""
+        from .retrieve import of_linked_types, vector_search
+
+        own = self.vectors.where(F.col("collection") == collection)
+        hits = vector_search(questions, own, k).join(own.select("id", "object_type", "text", "prov"), "id")
+        return hits if linked is None else of_linked_types(hits, linked)
+
+
 class GraphStore:
     """Objects and links with the five operations of a graph store; every method returns DataFrames, nothing is mutated."""
 

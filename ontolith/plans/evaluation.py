@@ -44,7 +44,9 @@ def _replies(found: DataFrame) -> DataFrame:
 
 def context_pack(questions: DataFrame, found: DataFrame, claims: DataFrame, as_of: str) -> DataFrame:
     """One JSON pack a question: id (a hash of question and date), question, rewrites, object refs, evidence, claims,
-    uncertainty, created_at. questions: question_id, question."""
+    uncertainty, created_at. questions: question_id, question, and rewrites (the question first) if there are any."""
+    if "rewrites" not in questions.columns:
+        questions = questions.withColumn("rewrites", F.array("question"))
     number = F.regexp_extract("evidence_id", r"(\d+)", 1).cast("int")
     refs = F.struct("object_id", "object_type")
     body = F.struct(F.col("evidence_id").alias("id"), "object_id", "text", "score", "provenance")
@@ -55,7 +57,7 @@ def context_pack(questions: DataFrame, found: DataFrame, claims: DataFrame, as_o
     c = claims.withColumn("n", place).groupBy("question_id").agg(listed(F.struct("n", claim.alias("v"))).alias("claims"))
     joined = questions.join(e, "question_id", "left").join(c, "question_id", "left").join(evidence.uncertainty(claims, found), "question_id", "left")
     pack_id = F.concat(F.lit("pack_"), F.substring(F.sha2(F.concat_ws("|", "question", F.lit(as_of)), 256), 1, 12))
-    fields = F.struct(pack_id.alias("pack_id"), "question", F.array("question").alias("rewrites"), "object_refs", "evidence", "claims", "uncertainty", F.lit(as_of).alias("created_at"))
+    fields = F.struct(pack_id.alias("pack_id"), "question", "rewrites", "object_refs", "evidence", "claims", "uncertainty", F.lit(as_of).alias("created_at"))
     return joined.select("question_id", F.to_json(fields).alias("pack"))
 
 

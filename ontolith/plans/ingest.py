@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontolith.functions import text as T
+from ontolith.functions import vectors
 from ontolith.operators import resolve, store
+from ontolith.plans.scratch import Scratch
 
 REPLY = "struct<objects:array<struct<type:string,id:string,properties:map<string,string>,source_span:string,confidence:string>>,links:array<struct<type:string,source_id:string,target_id:string,source_span:string,confidence:string>>>"
 
@@ -49,20 +51,34 @@ def extract(replies: DataFrame, object_types: list[str], link_types: list[str])
     return Extracted(objects, links, lost.agg(F.sum("n").alias("n")))
 
 
-def run(docs: DataFrame, provider: Callable[[DataFrame], DataFrame], object_types: list[str], link_types: list[str], *, aliases: Callable[[DataFrame], DataFrame] | None = None, size: int = 1200) -> tuple[DataFrame, DataFrame, DataFrame]:
+def record_vectors(survivors: DataFrame) -> DataFrame:
+    """Survivors with the native embedding of their name and properties as vec."""
+    name = F.coalesce(F.element_at("properties", "name"), F.col("id"))
+    return survivors.withColumn("vec", vectors.dense(vectors.hashed_terms(T.record_text(name, F.col("properties")))))
+
+
+def run(
+    docs: DataFrame, provider: Callable[[DataFrame], DataFrame], object_types: list[str], link_types: list[str], *, embed: Callable[[DataFrame], DataFrame] | None = None,
+    threshold: float = resolve.THRESHOLD, size: int = 1200,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The objects and links of documents and the counters of the run.
 
-    provider: chunks (doc, chunk, text) -> with reply and warnings. aliases: survivors -> (id, survivor_id), for merging beyond
-    equal keys. Counters: docs, chunks, extracted_objects, extracted_links, merged, dropped.
+    provider: chunks (doc, chunk, text) -> with reply and warnings. embed: survivors of merging by key -> with vec; records of a
+    type whose vectors have at least the threshold as cosine then are folded into the first of them, and links follow. Objects
+    have absorbed (provs) and merged_via. Counters: docs, chunks, extracted_objects, extracted_links, merged, dropped. What
+    several steps read is written once.
     """
+    scratch = Scratch(docs.sparkSession, "ingest")
     pieces = chunks(docs, size)
-    found = extract(provider(pieces), object_types, link_types)
-    survivors = resolve.merge_by_key(found.objects)
+    found = extract(scratch.write(provider(pieces), "replies"), object_types, link_types)
+    survivors = scratch.write(resolve.merge_by_key(found.objects), "survivors")
     links = found.links
-    if aliases is not None:
-        moved = aliases(survivors)
-        survivors = survivors.join(moved.select("id"), "id", "left_anti").select(*survivors.columns)
-        links = resolve.redirect(links, moved)
+    if embed is None:
+        survivors = survivors.withColumn("merged_via", F.lit(""))
+    else:
+        moved = scratch.write(resolve.by_embedding(embed(survivors), threshold), "aliases")
+        survivors = scratch.write(resolve.fold(survivors, moved), "folded")
+        links = resolve.redirect(links, moved.select("id", "survivor_id").distinct())
     kept = store.with_endpoints(links, survivors)
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     counters = one(docs, "docs")

@@ -1,7 +1,7 @@
 """The driver tables as a typed object graph.
 
 Objects: Region, Nation, Customer, Supplier, Part, Order, with ids R-, N-, C-, S-, P-, O- and the key. Links: inRegion, inNation,
-placedBy, contains, suppliedBy. `ord` is a fixed ordinal made from the keys.
+placedBy. `ord` is a fixed ordinal: the key of the source, above a base for each kind (keys are below 10^15).
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the ordinals of each kind of link begin.
-BASE = {"inRegion": 1 * 10**15, "customerInNation": 2 * 10**15, "supplierInNation": 3 * 10**15, "placedBy": 4 * 10**15, "contains": 5 * 10**15, "suppliedBy": 6 * 10**15}
-WIDTH = 10**6
+BASE = {"inRegion": 1 * 10**15, "customerInNation": 2 * 10**15, "supplierInNation": 3 * 10**15, "placedBy": 4 * 10**15}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +41,15 @@ def links(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """link_type, source_id, target_id, ord of the named kinds (keys of BASE), or of all."""
 
     def made(kind: str) -> DataFrame:
-        name, source, s, target, t, pair = {
-            "inRegion": ("nation", "N", "n_nationkey", "R", "n_regionkey", False),
-            "customerInNation": ("customer", "C", "c_custkey", "N", "c_nationkey", False),
-            "supplierInNation": ("supplier", "S", "s_suppkey", "N", "s_nationkey", False),
-            "placedBy": ("orders", "O", "o_orderkey", "C", "o_custkey", False),
-            "contains": ("lineitem", "O", "l_orderkey", "P", "l_partkey", True),
-            "suppliedBy": ("lineitem", "P", "l_partkey", "S", "l_suppkey", True),
+        name, source, s, target, t = {
+            "inRegion": ("nation", "N", "n_nationkey", "R", "n_regionkey"),
+            "customerInNation": ("customer", "C", "c_custkey", "N", "c_nationkey"),
+            "supplierInNation": ("supplier", "S", "s_suppkey", "N", "s_nationkey"),
+            "placedBy": ("orders", "O", "o_orderkey", "C", "o_custkey"),
         }[kind]
         df = table(spark, sf_dir, name).select(F.col(s).cast("long").alias("s"), F.col(t).cast("long").alias("t"))
-        df = df.distinct() if pair else df
-        ord_ = F.col("s") * WIDTH + F.col("t") if pair else F.col("s")
         link_type = "inNation" if kind.endswith("InNation") else kind
-        return df.select(F.lit(link_type).alias("link_type"), F.concat(F.lit(f"{source}-"), "s").alias("source_id"), F.concat(F.lit(f"{target}-"), "t").alias("target_id"), (ord_ + BASE[kind]).alias("ord"))
+        return df.select(F.lit(link_type).alias("link_type"), F.concat(F.lit(f"{source}-"), "s").alias("source_id"), F.concat(F.lit(f"{target}-"), "t").alias("target_id"), (F.col("s") + BASE[kind]).alias("ord"))
 
     return reduce(DataFrame.unionByName, [made(k) for k in kinds or BASE])
 

@@ -15,8 +15,9 @@ from pyspark.sql import types as S
 SPARK_TYPES = {"STRING": S.StringType(), "DOUBLE": S.DoubleType(), "INT64": S.LongType(), "BOOL": S.BooleanType(), "TIMESTAMP": S.TimestampType(), "JSON": S.StringType()}
 XSD = {"STRING": "string", "DOUBLE": "double", "INT64": "long", "BOOL": "boolean", "TIMESTAMP": "dateTime", "JSON": "string"}
 CARDINALITIES = ("ONE_TO_ONE", "ONE_TO_MANY", "MANY_TO_MANY")
-APPROVALS = ("none", "single", "two_level")
-TYPE_NAME, MEMBER_NAME, NAMESPACE, VERSION, PRECONDITION = r"^[A-Z][A-Za-z0-9]*$", r"^[a-z][A-Za-z0-9]*$", r"^[a-z][a-z0-9_.]*$", r"^\d+\.\d+\.\d+$", r"^[a-z][a-z0-9_.-]*$"
+#: The forms of names.
+TYPE_NAME, MEMBER_NAME, PRECONDITION = r"^[A-Z][A-Za-z0-9]*$", r"^[a-z][A-Za-z0-9_]*$", r"^[a-z0-9_.:-]+$"
+NAMESPACE, VERSION = r"^[a-z][a-z0-9_.]*$", r"^\d+\.\d+\.\d+$"
 BASE_IRI = "https://example.org/ontology/{namespace}#"
 RDF, RDFS, OWL, SH, XSD_IRI = (
     "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/ns/shacl#", "http://www.w3.org/2001/XMLSchema#",
@@ -84,13 +85,11 @@ class ActionType:
     target_types: list[str] = field(default_factory=list)
     parameters: list[Property] = field(default_factory=list)
     preconditions: list[str] = field(default_factory=list)
-    approval_policy: str = "none"
+    approval_policy: str = "none"  # none, single or two_level by convention; not checked
     rollback_handler: str = ""
 
     def __post_init__(self) -> None:
         _named(self.api_name, MEMBER_NAME, "action type")
-        if self.approval_policy not in APPROVALS:
-            raise OntologyError(f"action type {self.api_name!r} has unknown approval_policy {self.approval_policy!r}")
         self.parameters = [p if isinstance(p, Property) else Property(**p) for p in self.parameters]
 
 

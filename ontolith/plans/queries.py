@@ -270,10 +270,29 @@ def hybrid_retrieve(spark, d):
     return _evidence(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""
+    with recursive {HYBRID_SQL},
+    heads as (select * from (select label, vec_id as id, row_number() over (partition by label order by vec_id) as k from embeddings) where k <= 8),
+    hl as (select distinct id from heads),
+    g1 as (select seed, other as id, row_number() over (partition by seed order by way, other) as r from (select s.id as seed, e.other, min((e.ord, e.direction)) as way from hl s join e on s.id = e.id where e.other <> s.id group by all)),
+    g2 as (select seed, other as id, row_number() over (partition by seed order by way, other) as r from (select g1.seed, e.other, min((g1.r, e.ord, e.direction)) as way from g1 join e on g1.id = e.id where e.other <> g1.seed and not exists (select 1 from g1 x where x.seed = g1.seed and x.id = e.other) group by all)),
+    g as (select seed, id, row_number() over (partition by seed order by hop, r) as rank from (select seed, id, 1 as hop, r from g1 union all select seed, id, 2, r from g2)),
+    five as (select seed, list(id order by rank) as near from g where rank <= 5 group by 1),
+    steps as (select label, k, heads.id, coalesce(near, []) as near from heads left join five on five.seed = heads.id),
+    w as (
+        select label, 0::bigint as k, []::bigint[] as seen, []::varchar[] as provs from (select distinct label from heads)
+        union all
+        select w.label, s.k, case when list_contains(seen, s.id) then seen else list_concat(seen, [s.id], list_filter(s.near, lambda x: x <> s.id and not list_contains(seen, x))) end,
+            case when list_contains(seen, s.id) then provs else list_concat(provs, ['graph:T' || w.label], list_transform(list_filter(s.near, lambda x: x <> s.id and not list_contains(seen, x)), lambda x: 'graph:' || s.id)) end
+        from w join steps s on s.label = w.label and s.k = w.k + 1
+    ),
+    done as (select label, unnest(seen) as id, unnest(provs) as prov, generate_subscripts(seen, 1) as n from (select label, arg_max(seen, k) as seen, arg_max(provs, k) as provs from w group by 1))
+    select d.label as question_id, 'E' || n as evidence_id, d.id as object_id, 'T' || v.label as object_type, 'vector ' || d.id || ' of T' || v.label as text, prov as provenance, 0.1::double as score
+    from done d join embeddings v on v.vec_id = d.id where n <= 24
+""")
 def degraded_retrieve(spark, d):
     v = vector_objects(spark, d)
-    return retrieve.graph_only(_linked(spark, d), v, graph.adjacency(vector_links(spark, d)))
+    return retrieve.graph_only(_linked(spark, d), v, graph.adjacency(vector_links(spark, d))).withColumn("score", F.round("score", 6))
 
 
 _TOP = "strength as (select *, case when score >= 2 / 3.0 then 'high' when score >= 1 / 3.0 then 'medium' else 'low' end as strength from evidence)"
@@ -404,7 +423,19 @@ def ngram_overlap(spark, d):
     return pairs.select("item_id", F.round(T.overlap_ratio(T.ngrams(F.col("text")), T.ngrams(F.col("other"))), 6).alias("overlap"))
 
 
-@query()
+#: The CRC-32 of a string, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(hex(encode({s})))::bigint // 2), lambda i: ('0x' || substr(hex(encode({s})), 2 * i + 1, 2))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(rf"""
+    with c as (select doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[\s\x0B\x85\p{{Z}}]', '', 'g'), '(?s).') as chars from documents),
+    p as (select doc_id, unnest(chars) as a, unnest(chars[2:] || [null]) as b from c),
+    grams as (select distinct doc_id, unnest([a, a || b]) as gram from p),
+    codes as (select gram, {_CRC32.format(s="gram")} % 384 as term from (select distinct gram from grams where gram is not null)),
+    t as (select distinct doc_id, term from grams join codes using (gram))
+    select documents.doc_id, count(term)::integer as n, coalesce(string_agg(term::varchar, ',' order by term), '') as terms from documents left join t using (doc_id) group by 1
+""")
 def hash_embed(spark, d):
     terms = table(spark, d, "documents").select("doc_id", vectors.hashed_terms(F.col("text")).alias("terms"))
     return terms.select("doc_id", F.size("terms").alias("n"), F.array_join("terms", ",").alias("terms"))
@@ -413,14 +444,15 @@ def hash_embed(spark, d):
 @query(r"""
     with l as (select doc_id as page, unnest(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')) as raw, unnest(range(len(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')))) as line_no from documents),
     s as (select page, line_no, regexp_replace(raw, '^\s+|\s+$', '', 'g') as line from l),
-    k as (select * from s where not regexp_matches(line, '^\d{1,3}/\d{1,4}$')),
+    k as (select * from s where not regexp_matches(line, '^\d{1,3}/153$')),
     last as (select page, max(line_no) as last from k where line <> '' group by 1)
-    select page, line_no::integer as line_no, line, case when regexp_matches(line, '^(\d{1,2}\.\d{1,2})\s*(\S.*)$') and length(regexp_extract(line, '^(\d{1,2}\.\d{1,2})\s*(\S.*)$', 2)) > 4
+    select page, line_no::integer as line_no, line, case when regexp_matches(line, '^第[一二三四五六七八九十]+部分$') then chr(10) || '## ' || line || chr(10)
+        when regexp_matches(line, '^第.{1,3}章(\s*·\s*.*)?$') then chr(10) || '### ' || line || chr(10) when regexp_matches(line, '^(\d{1,2}\.\d{1,2})\s*(\S.*)$') and length(regexp_extract(line, '^(\d{1,2}\.\d{1,2})\s*(\S.*)$', 2)) > 4
         then chr(10) || '#### ' || regexp_extract(line, '^(\d{1,2}\.\d{1,2})\s*(\S.*)$', 1) || ' ' || regexp_extract(line, '^(\d{1,2}\.\d{1,2})\s*(\S.*)$', 2) || chr(10) else line end as markdown
     from k join last using (page) where line_no <= last
 """)
 def page_lines(spark, d):
-    return clean_lines(table(spark, d, "documents"), "doc_id", "text")
+    return clean_lines(table(spark, d, "documents"), "doc_id", "text", pages=153)
 
 
 # ---- metrics
@@ -718,6 +750,7 @@ def object_search(spark, d):
     return upper.unionByName(anyhow).unionByName(first)
 
 
+@query()
 def scene_evaluation(spark, d):
     """Both targets over the tables as a scene: which nations lie in a region, and which region a nation lies in."""
     nodes, known = _scene(spark, d)
@@ -731,10 +764,30 @@ def scene_evaluation(spark, d):
     return evaluate.matrix(summaries.withColumn("mean", F.round("mean", 6)), ["constrained", "plain"])
 
 
+
+
+def _pack_fields(packs):
+    """What a pack says, read back from its JSON."""
+    kind = "struct<pack_id:string,question:string,rewrites:array<string>,object_refs:array<struct<object_id:string>>,evidence:array<struct<id:string,object_id:string>>,claims:array<struct<claim_id:string,evidence_ids:array<string>>>,uncertainty:string,created_at:string>"
+    read = packs.select("question_id", F.from_json("pack", kind).alias("p"))
+    ids = F.array_join(F.transform("p.evidence", lambda e: F.concat(e["id"], F.lit("="), e["object_id"])), ",")
+    claims = F.array_join(F.transform("p.claims", lambda c: F.concat(c["claim_id"], F.lit("="), F.array_join(c["evidence_ids"], "+"))), ",")
+    return read.select("question_id", "p.pack_id", "p.question", F.array_join("p.rewrites", "|").alias("rewrites"), F.size("p.object_refs").alias("refs"), ids.alias("evidence"), claims.alias("claims"), "p.uncertainty", "p.created_at")
+
+
+@query(f"""
+    with {HYBRID_SQL}, listed as (select question_id, string_agg('E' || n || '=' || id, ',' order by n) as evidence, count(*)::integer as refs, string_agg('claim:' || n || '=E' || n, ',' order by n) filter (n <= 5) as claims, count(*) filter (n <= 5) as k from evidence group by 1)
+    select question_id, 'pack_' || substr(sha256('What is near T' || question_id || '|2024-01-31'), 1, 12) as pack_id, 'What is near T' || question_id as question,
+        'What is near T' || question_id || case when question_id % 3 = 0 then '' else '|Vectors near T' || question_id || '|Neighbours of it' end as rewrites, refs, evidence, claims,
+        '共 ' || k || ' 条主张，其中 0 条置信度低于 0.5；证据覆盖 ' || refs || ' 条，可能未覆盖问题的全部方面。' as uncertainty, '2024-01-31' as created_at from listed
+""")
 def context_packs(spark, d):
+    """Rewrites from replies, evidence, claims and uncertainty of each question in one pack."""
     found = _written_evidence(spark, d)
     questions = found.select("question_id").distinct().withColumn("question", F.concat(F.lit("What is near T"), "question_id"))
-    return evaluation.context_pack(questions, found, _claims(spark, d, found), "2024-01-31")
+    reply = F.when(F.col("question_id") % 3 == 0, "no list").otherwise(F.concat(F.lit('```json\n[" Vectors near T'), F.col("question_id"), F.lit('", "", "Neighbours of it", "one too many"]\n```')))
+    rewritten = questions.join(scene.rewrites(questions.withColumn("reply", reply)).select("question_id", "rewrites"), "question_id")
+    return _pack_fields(evaluation.context_pack(rewritten, found, _claims(spark, d, found), "2024-01-31"))
 
 
 # ---- governance
@@ -767,17 +820,14 @@ def audit_recent(spark, d):
 @query("""
     with k as (select 'O-' || l_orderkey || ':ship' || l_returnflag || ':v' || l_linenumber || ':' || l_linestatus as idempotency_key,
         row_number() over (partition by l_orderkey, l_returnflag, l_linenumber, l_linestatus order by l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) as r, l_shipdate from lineitem)
-    select idempotency_key, 'ACT-' || strftime(any_value(l_shipdate) filter (r = 1), '%Y%m%d') || '-' || substr(sha256(idempotency_key), 1, 8) as proposal_id, count(*) - 1 as conflicts from k group by 1
+    select idempotency_key, 'ACT-' || strftime(any_value(l_shipdate) filter (r = 1), '%Y%m%d') || '-' || substr(sha256(idempotency_key), 1, 24) as proposal_id, count(*) - 1 as conflicts from k group by 1
 """)
 def proposal_submit(spark, d):
     line = table(spark, d, "lineitem")
     place = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("ord")
     requests = line.select(place, F.concat(F.lit("O-"), "l_orderkey").alias("object_id"), F.concat(F.lit("ship"), "l_returnflag").alias("capability"), F.col("l_linenumber").alias("version"), F.col("l_linestatus").alias("option_id"), F.lit("Ship").alias("title"), F.lit("U-1").alias("requested_by"), F.col("l_shipdate").alias("created_at"))
     made, _, conflicts = govern.submit(None, requests)
-    # rows that are equal in every column share an ordinal; one proposal stands for them
-    made = made.select("idempotency_key", "proposal_id").groupBy("idempotency_key", "proposal_id").agg((F.count(F.lit(1)) - 1).alias("same"))
-    lost = conflicts.groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("lost"))
-    return made.join(lost, "idempotency_key", "left").select("idempotency_key", "proposal_id", (F.col("same") + F.coalesce("lost", F.lit(0))).alias("conflicts"))
+    return made.join(conflicts, "idempotency_key", "left").select("idempotency_key", "proposal_id", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
 def _decisions(spark, d):
@@ -861,3 +911,6 @@ def event_windows_stream(spark, d):
 """)
 def sustained_alarms(spark, d):
     return streams.sustained(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value > 5", 6)
+
+
+from ontolith.plans import path_queries  # noqa: E402, F401 -- registers more queries, which use what stands above

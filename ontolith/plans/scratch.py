@@ -5,6 +5,8 @@ A written table cuts lineage: what is lost with an executor is read again, not r
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,21 +18,40 @@ ROWS_PER_FILE = 25_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. On a cluster it is the one in spark.checkpoint.dir; only where that is unset, as in
-    local tests, a temporary folder is made and set for the session."""
+    """The folder all executors share. On a cluster it is the one in spark.checkpoint.dir, which must be set; only in local mode,
+    as in tests, a temporary folder is made for the session, and deleted when the process ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ontolith-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="ontolith-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = "file://" + made
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables that this process has made. Results that were not written or collected can no longer be read."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables written under one fresh folder of the shared one."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _made.append(self.root)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -47,8 +68,5 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, self.path(table))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontolith.functions import text as T
@@ -86,17 +86,29 @@ def dataset(spark: SparkSession, path: str, scenario: str) -> DataFrame:
     return spark.createDataFrame(rows, "item_id string, question string, golden array<string>, keywords array<string>, ord int")
 
 
-def page_lines(spark: SparkSession, path: str, header: str | None = None, footer: str | None = None) -> DataFrame:
+def page_lines(spark: SparkSession, path: str, header: str | None = None, footer: str | None = None, pages: int | None = None) -> DataFrame:
     """(page, line_no, line, markdown) of page_*.txt files: normalised, trimmed lines without page marks; trailing blanks go."""
-    pages = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("page"), F.col("value").alias("text"))
-    return clean_lines(pages, "page", "text", header, footer)
+    read = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("page"), F.col("value").alias("text"))
+    return clean_lines(read, "page", "text", header, footer, pages)
 
 
-def clean_lines(pages: DataFrame, page: str, text: str, header: str | None = None, footer: str | None = None) -> DataFrame:
-    lines = pages.select(F.col(page).alias("page"), F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")).alias("line_no", "raw"))
+def joined_document(read: DataFrame, lines: DataFrame, page: str) -> DataFrame:
+    """(page, line_no, markdown) of the whole document, to be ordered by both: the lines of each page, and after each page but the
+    last a blank line, a mark with its number from 1 on, and a blank line. One task counts the pages, not their lines."""
+    order = Window.orderBy("page")
+    numbered = read.select(F.col(page).alias("page")).distinct().withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("page").over(order))
+    end = F.coalesce(F.col("last"), F.lit(-1))
+    last = lines.groupBy("page").agg(F.max("line_no").alias("last"))
+    mark = F.posexplode(F.array(F.lit(""), F.format_string("<!-- page %d -->", "n"), F.lit(""))).alias("k", "markdown")
+    marks = numbered.where("next is not null").join(last, "page", "left").select("page", end.alias("end"), mark).select("page", (F.col("end") + 1 + F.col("k")).alias("line_no"), "markdown")
+    return lines.select("page", "line_no", "markdown").unionByName(marks)
+
+
+def clean_lines(read: DataFrame, page: str, text: str, header: str | None = None, footer: str | None = None, pages: int | None = None) -> DataFrame:
+    lines = read.select(F.col(page).alias("page"), F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")).alias("line_no", "raw"))
     # normal forms only change what is not ASCII
     normal: Column = F.when(F.col("raw").rlike(r"^[\x00-\x7F]*$"), F.col("raw")).otherwise(nfkc("raw"))
-    lines = lines.select("page", "line_no", T.strip(normal).alias("line")).where(~T.is_page_mark(F.col("line"), header, footer))
+    lines = lines.select("page", "line_no", T.strip(normal).alias("line")).where(~T.is_page_mark(F.col("line"), header, footer, pages))
     last = lines.where("line != ''").groupBy("page").agg(F.max("line_no").alias("last"))
     kept = lines.join(last, "page").where("line_no <= last").drop("last")
     return kept.withColumn("markdown", T.heading(F.col("line")))
@@ -122,3 +134,10 @@ def jdbc_table(spark: SparkSession, url: str | None, table: str, schema: str, **
     if not url:
         return spark.createDataFrame([], schema)
     return spark.read.jdbc(url, table, properties=options)
+
+
+def write_jdbc(df: DataFrame, url: str | None, table: str, mode: str = "append", **options: str) -> bool:
+    """Writes a table by JDBC; without a URL nothing is written and the answer is no."""
+    if url:
+        df.write.jdbc(url, table, mode=mode, properties=options)
+    return bool(url)
