@@ -190,7 +190,7 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
 
 
 def searched(
-    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, page_rows: int = 256, fan: int = 16,
+    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, page_rows: int = 1024, fan: int = 16,
     tree_bytes: int = 16 << 20, block_bytes: int = 8 << 20, most_roots: int = 4096, chunk: int = 512,
 ) -> DataFrame:
     """query_id, computed (distances and inner products), best array<(vec_id, score)> for each query and tree that it visits.
@@ -213,7 +213,7 @@ def searched(
 
     kinds = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("asked"), F.max("norm").alias("most")).collect()}
     total = sum(r["n"] for r in kinds.values())
-    target = {d: max(page_rows, min(tree_bytes // (8 * max(1, d)), max(2048, r["n"] // (2 * partitions(spark))))) for d, r in kinds.items()}
+    target = {d: max(page_rows, min(tree_bytes // (8 * max(1, d)), max(4096, r["n"] // (2 * partitions(spark))))) for d, r in kinds.items()}
     wanted = {d: min(r["n"] // target[d], max(1, most_roots * r["n"] // total)) for d, r in kinds.items()}
     roots = _roots(rows, {d: w for d, w in wanted.items() if w > 1})
     most = {d: float(r["most"]) for d, r in kinds.items()}
