@@ -11,7 +11,8 @@ No bucket is expanded into pairs of rows. Documents with equal sets are one clas
 bucket go with its smallest member, the center; all members of a center's buckets are a group. The center is compared with
 its group, the links found are joined into components, and then only members outside the group's largest component are
 compared with the rest of the group. Pairs inside one component need no comparing, so no link that would change a component
-is lost. Comparing is done in blocks of bounded size, and only links leave a block.
+is lost. Comparing is done in blocks of bounded size, twice: first sizes and signature bits only, then the full sets of those
+documents that have a partner left, in bins by bytes. Of the links that a bin finds only a spanning forest leaves it.
 """
 
 from __future__ import annotations
@@ -111,12 +112,30 @@ def signatures(df: DataFrame, size: int, family: Family) -> DataFrame:
 
 #: Documents of one side in a block.
 BLOCK = 512
-#: About so many rows of small blocks go to one call.
-BIN = 2000
+#: About so many rows of small blocks go to one call that compares bits, and so many bytes of text to one that compares sets.
+BIN, BIN_BYTES = 2000, 8 << 20
+
+
+class Signed(NamedTuple):
+    """Documents of one side of a block, by what their signatures say."""
+
+    id: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def blocks(pdf: pd.DataFrame) -> dict[tuple, Signed]:
+        """The sides of each block (g, x, y) in a bin."""
+        if not len(pdf):
+            return {}
+        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
+        columns = (*(pdf[c].to_numpy(np.int64) for c in ("id", "component", "n")), bits)
+        return {key: Signed(*(c[at] for c in columns)) for key, at in pdf.groupby(["g", "x", "y"]).indices.items()}
 
 
 class Compared:
-    """Compares the documents asked for with the members of a block: signatures first, then the full sets."""
+    """What two documents must agree in: signatures first, then the full sets."""
 
     def __init__(self, family: Family, size: int, percent: int):
         self.size, self.percent = size, percent
@@ -124,81 +143,98 @@ class Compared:
         k, p = family.bands * family.rows, (1 + percent / 100) / 2
         self.most_differ = k - int(k * p - 8 * (k * p * (1 - p)) ** 0.5)
 
-    def links(self, asked: Side, members: Side) -> list[tuple[int, int]]:
-        chances = []
-        for i, c, m, own in zip(asked.id, asked.component, asked.n, asked.bits, strict=True):
+    def chances(self, asked: Signed, members: Signed) -> list[tuple[int, int]]:
+        """Pairs (asked, member) of ids that may be linked, of different components."""
+        out = []
+        for i, c, m, own in zip(asked.id.tolist(), asked.component.tolist(), asked.n.tolist(), asked.bits, strict=True):
             sizes = 100 * np.minimum(members.n, m) >= self.percent * np.maximum(members.n, m)
             differ = np.bitwise_count(members.bits ^ own).sum(axis=1)
-            chances.append(np.flatnonzero(sizes & (members.component != c) & (members.id != i) & (differ <= self.most_differ)))
-        needed = np.unique(np.concatenate(chances))
-        if not len(needed):
-            return []
-        sets = [shingles(members.text[j], self.size) for j in needed]
-        sizes = np.array([len(x) for x in sets])
-        words, at = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        out = []
-        for i, text, chance in zip(asked.id, asked.text, chances, strict=True):
-            if not len(chance):
-                continue
-            own = shingles(text, self.size)
-            has = np.zeros(len(words) + 1, dtype=np.int64)
-            place = np.searchsorted(words, own)
-            has[place[(place < len(words)) & (words[np.minimum(place, len(words) - 1)] == own)]] = 1
-            for j in np.searchsorted(needed, chance):
-                both = int(has[at[starts[j] : starts[j + 1]]].sum())
-                if both and 100 * both >= self.percent * (len(own) + int(sizes[j]) - both):
-                    out.append((int(i), int(members.id[needed[j]])))
+            out += [(i, j) for j in members.id[sizes & (members.component != c) & (members.id != i) & (differ <= self.most_differ)].tolist()]
         return out
 
-
-class Side(NamedTuple):
-    """Documents of one side of a block, column by column."""
-
-    id: np.ndarray
-    component: np.ndarray
-    n: np.ndarray
-    bits: np.ndarray
-    text: np.ndarray
-
-    @staticmethod
-    def blocks(pdf: pd.DataFrame) -> dict[tuple, Side]:
-        """The sides of each block (g, x, y) in a bin."""
-        if not len(pdf):
-            return {}
-        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
-        columns = (*(pdf[c].to_numpy(np.int64) for c in ("id", "component", "n")), bits, pdf["text"].to_numpy(object))
-        return {key: Side(*(c[at] for c in columns)) for key, at in pdf.groupby(["g", "x", "y"]).indices.items()}
+    def alike(self, p: np.ndarray, q: np.ndarray) -> bool:
+        both = np.concatenate([p, q])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return common > 0 and 100 * common >= self.percent * (len(both) - common)
+
+    def links(self, pairs: np.ndarray, texts: dict[int, list[str]]) -> np.ndarray:
+        """The pairs of ids that are linked, by any of their texts, a spanning forest of them; sets are made once for each text.
+        Pairs that the links found before have joined already are not compared."""
+        sets: dict[int, list[np.ndarray]] = {}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def made(i: int) -> list[np.ndarray]:
+            if i not in sets:
+                sets[i] = [shingles(t, self.size) for t in texts[i]]
+            return sets[i]
+
+        kept = []
+        for a, b in pairs.tolist():
+            if (x := root(a)) == (y := root(b)):
+                continue
+            if any(self.alike(p, q) for p in made(a) for q in made(b)):
+                parent[max(x, y)] = min(x, y)
+                kept.append((a, b))
+        return np.array(kept, dtype=np.int64).reshape(-1, 2)
 
 
 def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: DataFrame, compared: Compared, scratch: Scratch, name: str) -> DataFrame:
     """The links (a, b) between documents asked for and members of their group; both are (g, id, component). Those asked for
-    and the members of a group are dealt to blocks by a hash; each pair of blocks is compared by itself, several small ones in a call."""
+    and the members of a group are dealt to blocks by a hash; each pair of blocks is compared by itself, several small ones in a
+    call. Blocks carry 32 bytes a document; texts go only where a partner is left."""
     count = lambda df, c: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(c))
     blocks = scratch.write(count(asked, "x").join(count(members, "y"), "g"), f"{name}-blocks")
-    needed = asked.select("id").union(members.select("id")).distinct()
-    own = scratch.write(texts.join(marks.join(needed, "id"), "id").select("id", "n", "bits", "text"), f"{name}-texts")
-
     total = blocks.join(asked.unionByName(members).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g").agg(F.sum(F.col("c") * F.greatest("x", "y"))).first()[0]
     bins = max(partitions(marks.sparkSession), -(-(total or 0) // BIN))
 
     def dealt(df: DataFrame, own_blocks: str, other: str) -> DataFrame:
         hashed = F.pmod(F.xxhash64(F.lit(13), "id"), F.col(own_blocks)).cast("int").alias(own_blocks)
         all_of = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
-        sent = df.join(blocks, "g").select("g", "id", "component", hashed, all_of).join(own, "id")
+        sent = df.join(marks, "id").join(blocks, "g").select("g", "id", "component", "n", "bits", hashed, all_of)
         sent = sent.withColumn("bin", F.pmod(F.xxhash64("g", "x", "y"), F.lit(bins)))
         return sent.toDF(*sent.columns)  # columns of its own: both sides come from the same tables
 
     def compare(a: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        others, found = Side.blocks(m), []
-        for key, side in Side.blocks(a).items():
+        others, found = Signed.blocks(m), []
+        for key, side in Signed.blocks(a).items():
             if key in others:
-                found += compared.links(side, others[key])
-        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"], dtype="int64")
+                found += compared.chances(side, others[key])
+        pairs = np.unique(np.sort(np.array(found, dtype=np.int64).reshape(-1, 2), axis=1), axis=0)
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     both = dealt(asked, "x", "y").groupBy("bin").cogroup(dealt(members, "y", "x").groupBy("bin"))
-    links = scratch.write(both.applyInPandas(compare, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-texts")
+    chances = scratch.write(both.applyInPandas(compare, "a long, b long"), f"{name}-chances").distinct()
+    return _linked(chances, marks, texts, compared, scratch, name)
+
+
+def _linked(chances: DataFrame, marks: DataFrame, texts: DataFrame, compared: Compared, scratch: Scratch, name: str) -> DataFrame:
+    """The linked ones of pairs (a, b), by their full sets. The partners of a document are dealt to as many parts as their sets
+    have BIN_BYTES, and parts to bins of about that size."""
+    size = marks.groupBy("id").agg((F.max("n").cast("long") * 8).alias("size"))
+    chances = scratch.write(chances, f"{name}-pairs")
+    most = chances.join(size, chances["b"] == size["id"]).groupBy("a").agg(F.sum("size").alias("bytes"))
+    parts = scratch.write(most.select("a", F.ceil(F.col("bytes") / F.lit(BIN_BYTES)).cast("int").alias("parts"), "bytes"), f"{name}-parts")
+    bins = max(partitions(marks.sparkSession), -(-(parts.agg(F.sum("bytes")).first()[0] or 0) // BIN_BYTES))
+    place = F.pmod(F.xxhash64(F.lit(17), "a", F.pmod(F.xxhash64(F.lit(19), "b"), F.col("parts"))), F.lit(bins)).alias("bin")
+    pairs = scratch.write(chances.join(parts.drop("bytes"), "a").select("a", "b", place), f"{name}-dealt")
+    where = pairs.select("bin", F.col("a").alias("id")).unionByName(pairs.select("bin", F.col("b").alias("id"))).distinct()
+    sent = texts.join(where, "id").select("bin", "id", "text")
+    sent = sent.toDF(*sent.columns)
+
+    def link(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        own: dict[int, list[str]] = {}
+        for i, text in zip(t["id"].tolist(), t["text"], strict=True):
+            own.setdefault(i, []).append(text)
+        return pd.DataFrame(compared.links(p[["a", "b"]].to_numpy(np.int64), own) if len(p) else np.empty((0, 2), np.int64), columns=["a", "b"])
+
+    links = scratch.write(pairs.groupBy("bin").cogroup(sent.groupBy("bin")).applyInPandas(link, "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-chances", f"{name}-pairs", f"{name}-dealt")
     return links
 
 
@@ -211,7 +247,8 @@ def near_dedup(
     Two documents are linked if 100 * intersection >= percent * union of their sets of `size`-word shingles (A-Z
     lower-cased, words between ASCII white space). Null, empty and blank texts have an empty set and no links. Rows with
     equal ids count as one document with the links of all of them. Rows with a null id have no links; their component is
-    null. The id must be an integer; other columns of df are not looked at.
+    null. The id must be an integer; other columns of df are not looked at. An empty table gives an empty one. Texts are read
+    whole; a long one is in memory with its set while it is compared, texts of 8 MB together to a call.
     """
     spark = df.sparkSession
     importable(spark)

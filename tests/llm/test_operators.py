@@ -254,6 +254,21 @@ def test_near_dedup_joins_rows_of_one_id(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     df = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b)], "doc_id long, text string")
     assert {(r["id"], r["component_id"]) for r in minhash.near_dedup(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+    near = [(1, a + " end"), (2, b + " end"), (3, a), (3, b)]  # no text of 3 is that of another id, each is near one
+    got = minhash.near_dedup(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert {(r["id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_near_dedup_of_a_large_group(spark, monkeypatch):
+    """A group of near copies far larger than a bin, beside a group that shares buckets with it: bins stay small."""
+    monkeypatch.setattr(minhash, "BIN", 50)
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    monkeypatch.setattr(minhash, "BIN_BYTES", 4000)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:59], f"x{k}"])) for k in range(600)] + [(1000 + k, " ".join([*words[:45], *(f"y{j}" for j in range(14)), f"z{k}"])) for k in range(60)]
+    want = brute_near(rows, 2, 80)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=2).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 2
 
 
 # ---- 5
