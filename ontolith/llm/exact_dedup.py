@@ -23,6 +23,8 @@ from .common import Scratch, col, partitions, without_spaces
 
 #: A digest that has this share of all rows, or a greater one, is hot; there are 1,000 of them at most.
 HOT_SHARE = 1 / 1000
+#: Up to so many hits, some 100 bytes each in memory, Spark may choose to broadcast them; beyond, they are merged.
+MOST_BROADCAST = 1 << 16
 #: The filter of hits: so many bits of the digest name a bitmap of 32,768 bits. At most 16 MB are broadcast.
 FILTER_BITS = 12
 
@@ -133,7 +135,11 @@ def exact_dedup(
     low_high = may_be(base, known).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     verified = scratch.write(low_high.select("digest", (F.col("low") == F.col("high")).alias("same")), "verified")
     shared = verified.where("not same").select("digest")
-    hits = hits.join(verified.where("same").select("digest"), "digest")
+    same = verified.where("same").select("digest")
+    if hits.count() > MOST_BROADCAST:
+        hits, same = hits.hint("merge"), same.hint("merge")
+    hits = scratch.write(hits.join(same, "digest"), "sure")
+    hits = hits if hits.count() <= MOST_BROADCAST else hits.hint("merge")
     out = _resolved(alone.select("*", F.lit(None).cast(dict(hits.dtypes)["best"]).alias("best"), F.lit(None).cast("long").alias("n")))
     if shared.isEmpty():
         return out.unionByName(_met(may_be(seen, known), hits, rows))
