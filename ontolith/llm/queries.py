@@ -104,6 +104,28 @@ ORACLE_SQL: dict[str, str] = {
         )
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from best
     """,
+    "op4_minhash_near_dedup": r"""
+        with recursive d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), s as (
+            select distinct doc_id, unnest(case when len(w) < 2 then w else list_transform(list_zip(w[:len(w) - 1], w[2:]), lambda p: p[1] || ' ' || p[2]) end) as shingle from d
+        ), n as (
+            select doc_id, count(*) as n from s group by 1
+        ), coded as (
+            select doc_id, code, n from s join n using (doc_id) join (select shingle, row_number() over () as code from s group by 1 having count(*) > 1) using (shingle)
+        ), pairs as (
+            select a.doc_id as u, b.doc_id as v, any_value(a.n) as m, any_value(b.n) as n, count(*) as common
+            from coded a join coded b on a.code = b.code and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2
+        ), e as (
+            select u, v from pairs where 100 * common >= 80 * (m + n - common) union all select v, u from pairs where 100 * common >= 80 * (m + n - common)
+        ), reach as (
+            select u, v from e union select r.u, e.v from reach r join e on r.v = e.u
+        ), c as (
+            select u as doc_id, min(v) as least_id from reach group by 1
+        )
+        select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(least_id, doc_id)) as component_id, doc_id <= coalesce(least_id, doc_id) as kept
+        from documents left join n using (doc_id) left join c using (doc_id)
+    """,
     "op6_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
