@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ontolith.llm import mixing, queries
 
 from ..compare import SF, assert_same
-from .test_operators import brute_edf, brute_near, whole_ids
+from .test_operators import brute_edf, brute_near, clashing, documents, empty, whole_ids
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -77,6 +78,29 @@ def test_pipeline_against_brute_force(spark):
     assert packed.agg({"length": "sum"}).first()[0] == sum(map(len, whole_ids([r["text"] for r in near.collect()])))
 
 
+def test_stages_on_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
+    for df in (clashing(documents(spark)), empty(spark)):
+        sf_dir = str(tmp_path / str(df.isEmpty()))
+        df.write.parquet(f"{sf_dir}/documents.parquet")
+        docs = queries.table(spark, sf_dir, "documents")
+        rows, n = docs.collect(), len(docs.columns)
+        labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic")).where("doc_id is not null and doc_id < 0")
+        labels.write.parquet(f"{sf_dir}/labels.parquet")
+        stages = [f for _, f in corpus_pipeline.STAGES]
+        assert stages[0](spark, docs, sf_dir).count() == 0  # no labels: every score is 0.5
+        lines = stages[1](spark, docs, sf_dir)
+        assert lines.columns == docs.columns and lines.count() == len(rows)
+        assert sum(r["text"] is None for r in lines.collect()) == sum(r["text"] is None for r in rows)
+        near = stages[2](spark, docs, sf_dir)
+        kept = sorted(str(r["doc_id"]) for r in near.collect())
+        assert near.columns == docs.columns and kept == sorted(str(r["doc_id"]) for r in rows if r["doc_id"] not in (2, 7, 9, 13))
+        mixed = stages[3](spark, docs, sf_dir)
+        assert len(mixed.columns) == n and sorted(map(str, mixed.collect())) == sorted(map(str, rows))
+        packed = stages[4](spark, docs, sf_dir).agg(F.sum("length")).first()[0] or 0
+        assert packed == sum(map(len, whole_ids([r["text"] for r in rows])))
+
+
 def test_run(spark):
     got = queries.pipeline(spark, SF)
     assert got.count() > 0 and "sequence_id" in got.columns
