@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,59 +11,96 @@ from pyspark.sql import functions as F
 
 from ontolith.functions.scoring import MOST_EVIDENCE, NEIGHBORS_PER_SEED, RECALL_FACTOR, TOP_K, fused
 
+from ontolith.plans.scratch import Scratch
+
 from .graph import neighbors
 
-#: A question set of up to this many vectors goes to all tasks at once; a greater one goes block by block.
+#: A question set of up to this many vectors goes to all tasks at once; a greater one meets the vectors block by block.
 QUESTION_BLOCK = 1024
+#: Vectors that a block of questions meets in one task.
+VECTOR_BLOCK = 1 << 16
+
+
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, dtype=np.float64).reshape(len(vectors), -1)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to the smaller id."""
+    if len(scores) > k:
+        least = np.partition(scores, -k)[-k]
+        places = np.flatnonzero(scores >= least)
+    else:
+        places = np.arange(len(scores))
+    return places[np.lexsort((ids[places], -scores[places]))[:k]]
 
 
 def vector_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k vectors with the highest cosine for each question: (question_id, id, score, rank); ties to the smaller id.
 
     questions: question_id, vec. vectors: id, vec. Each task keeps its own k best of each question, so that what is
-    shuffled is questions x tasks x k rows and not questions x vectors.
+    shuffled is questions x tasks x k rows and not questions x vectors. Questions up to QUESTION_BLOCK go to the driver and to
+    all tasks; of more, blocks meet blocks of vectors.
     """
     spark = vectors.sparkSession
-    id_kind = dict(vectors.dtypes)["id"]
-    question_kind = dict(questions.dtypes)["question_id"]
-    out, block = None, []
-
-    def search(rows: list) -> DataFrame:
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], dtype=np.float64)
-        n = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        q = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept: list[pd.DataFrame] = [pd.DataFrame({"id": [], "score": []})] * len(ids)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch["vec"].tolist(), dtype=np.float64).reshape(len(batch), -1)
-                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                scores = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0) @ q.T
-                for j in range(len(ids)):
-                    rows = pd.DataFrame({"id": batch["id"], "score": scores[:, j]})
-                    rows = pd.concat([kept[j], rows]) if len(kept[j]) else rows
-                    kept[j] = rows.sort_values(["score", "id"], ascending=[False, True]).head(k)
-            for i, rows in zip(ids, kept, strict=True):
-                if len(rows):
-                    yield rows.assign(question_id=i)[["question_id", "id", "score"]]
-
-        return vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(best, f"question_id {question_kind}, id {id_kind}, score double")
-
-    for row in questions.select("question_id", F.col("vec").cast("array<double>")).toLocalIterator():
-        block.append(row)
-        if len(block) == QUESTION_BLOCK:
-            part, block = search(block), []
-            out = part if out is None else out.unionByName(part)
-    if block:
-        part = search(block)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"question_id {question_kind}, id {id_kind}, score double")
+    q = questions.select("question_id", F.col("vec").cast("array<double>").alias("vec"))
+    v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    kinds = f"question_id {dict(q.dtypes)['question_id']}, id {dict(v.dtypes)['id']}, score double"
+    some = q.limit(QUESTION_BLOCK + 1).collect()
+    if not some:
+        found = spark.createDataFrame([], kinds)
+    elif len(some) <= QUESTION_BLOCK:
+        found = v.mapInPandas(_searcher([r[0] for r in some], _unit([r[1] for r in some]), k), kinds)
+    else:
+        found = _in_blocks(q, v, k, kinds)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _searcher(names: list, q: np.ndarray, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, object), np.empty(0))] * len(names)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, scores = batch["id"].to_numpy(), _unit(batch["vec"].tolist()) @ q.T
+            for j, (known, old) in enumerate(kept):
+                own = _best(ids, scores[:, j], k)
+                both, values = (np.concatenate([known, ids[own]]), np.concatenate([old, scores[own, j]])) if len(old) else (ids[own], scores[own, j])
+                at = _best(both, values, k)
+                kept[j] = both[at], values[at]
+        for name, (ids, values) in zip(names, kept, strict=True):
+            if len(values):
+                yield pd.DataFrame({"question_id": name, "id": ids, "score": values})
+
+    return search
+
+
+def _in_blocks(q: DataFrame, v: DataFrame, k: int, kinds: str) -> DataFrame:
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((q, QUESTION_BLOCK), (v, VECTOR_BLOCK)))
+    deal = lambda df, name, own, other, n, m: df.select(
+        F.pmod(F.xxhash64(name), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), name, "vec"
+    )
+
+    def search(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(own):
+            return pd.DataFrame(columns=["question_id", "id", "score"])
+        return pd.concat(_searcher(asked["question_id"].tolist(), _unit(asked["vec"].tolist()), k)(iter([own])))
+
+    asked, held = deal(q, "question_id", "block", "part", blocks, parts), deal(v, "id", "part", "block", parts, blocks)
+    return asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(search, kinds)
+
+
+def nearest(edges: DataFrame, seeds: DataFrame, objects: DataFrame, most: int = NEIGHBORS_PER_SEED) -> DataFrame:
+    """The first `most` neighbours of each seed within two hops. The second hop is only taken for seeds that the first one
+    leaves short."""
+    seeds = seeds.select("id").distinct()
+    one = Scratch(edges.sparkSession, "nearest").write(neighbors(edges, seeds, max_hops=1, objects=objects).where(F.col("rank") <= most), "one")
+    full = one.where(F.col("rank") == most).select("seed")
+    short = seeds.join(full, seeds["id"] == full["seed"], "left_anti")
+    return one.join(full, "seed", "left_semi").unionByName(neighbors(edges, short, objects=objects).where(F.col("rank") <= most))
 
 
 def of_linked_types(hits: DataFrame, linked: DataFrame) -> DataFrame:
@@ -87,7 +124,7 @@ def hybrid(questions: DataFrame, vectors: DataFrame, linked: DataFrame, edges: D
     by_score = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
     seeds = hits.withColumn("seed_rank", F.row_number().over(by_score)).where(F.col("seed_rank") <= top_k)
 
-    near = neighbors(edges, seeds.select("id").distinct(), objects=objects).where(F.col("rank") <= NEIGHBORS_PER_SEED)
+    near = nearest(edges, seeds, objects)
     found = seeds.select("question_id", "seed_rank", F.col("id").alias("seed")).join(near, "seed")
     first = found.groupBy("question_id", "id").agg(F.min(F.struct("seed_rank", "rank", "seed")).alias("by"))
     added = first.join(objects.select("id", "object_type", "text"), "id").select(
@@ -119,7 +156,7 @@ def graph_only(linked: DataFrame, objects: DataFrame, edges: DataFrame, *, top_k
     by_ord = Window.partitionBy("object_type").orderBy("ord", "id")
     heads = objects.withColumn("k", F.row_number().over(by_ord)).where(F.col("k") <= top_k)
     asked = linked.select("question_id", "object_type", F.col("ord").alias("type_ord")).join(heads.select("object_type", "id", "k"), "object_type")
-    near = neighbors(edges, heads.select("id").distinct(), objects=objects).where(F.col("rank") <= NEIGHBORS_PER_SEED).select("seed", F.col("id").alias("near"), "rank")
+    near = nearest(edges, heads, objects).select("seed", F.col("id").alias("near"), "rank")
     rows = asked.join(near, F.col("id") == F.col("seed"), "left").select("question_id", "object_type", "type_ord", "k", "id", "near", "rank")
     kinds = dict(rows.dtypes)
 

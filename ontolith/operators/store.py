@@ -2,7 +2,7 @@
 
 Tables: objects (object_type, id, properties map<string,string>, prov string, ord), links (link_type, source_id, target_id,
 properties, prov, ord), vectors (collection, id, vec array<double>, object_type, text, prov, ord). `ord` orders writes; in
-upserts what has the greater ord is later. All merges are aggregations by key, so that they combine map-side.
+upserts what has the greater ord is later. All merges are aggregations by key.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontolith.plans.scratch import Scratch
+
 NAME = re.compile(r"^[A-Za-z0-9_]+$")
 
 
@@ -24,8 +26,31 @@ def check_names(names: list[str], known: list[str] | None = None) -> None:
             raise ValueError(f"{name!r} is not in the ontology")
 
 
+#: Keys with more writes than this are merged write by write; there is one such key in that many rows at most.
+MOST_WRITES = 1000
+
+
 def _merged(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Later values win key by key, keys that are not set again stay; prov is the last one."""
+    """Later values win key by key, keys that are not set again stay; prov is the last one. The writes of most keys are gathered
+    and folded in one exchange; a key with very many writes is not gathered, its properties are aggregated one by one."""
+    many = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("writes")).where(F.col("writes") > MOST_WRITES).select(*keys)
+    many = Scratch(records.sparkSession, "upsert").write(many, "many")
+    if many.isEmpty():
+        return _gathered(records, keys)
+    return _gathered(records.join(many, keys, "left_anti"), keys).unionByName(_aggregated(records.join(many, keys, "left_semi"), keys))
+
+
+def _gathered(records: DataFrame, keys: list[str]) -> DataFrame:
+    write = F.struct("ord", "prov", F.map_entries("properties").alias("entries"))
+    all_ = records.groupBy(*keys).agg(F.array_sort(F.collect_list(write)).alias("all"))
+    flat = all_.select(*keys, F.flatten(F.filter(F.transform("all", lambda w: w["entries"]), lambda e: e.isNotNull())).alias("flat"), F.element_at("all", -1).alias("last"))
+    names = F.array_sort(F.array_distinct(F.transform("flat", lambda e: e["key"])))
+    latest = lambda name: F.element_at(F.filter("flat", lambda e: e["key"] == name), -1)["value"]
+    props = F.map_from_arrays(names, F.transform(names, latest))
+    return flat.select(*keys, props.alias("properties"), F.col("last.prov").alias("prov"), F.col("last.ord").alias("ord"))
+
+
+def _aggregated(records: DataFrame, keys: list[str]) -> DataFrame:
     entries = records.select(*keys, "prov", "ord", F.explode_outer("properties").alias("name", "value"))
     each = entries.groupBy(*keys, "name").agg(F.max_by("value", "ord").alias("value"), F.max(F.struct("ord", "prov")).alias("last"))
     pairs = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))

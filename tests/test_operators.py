@@ -321,3 +321,28 @@ def test_evaluation_and_cli(spark, tmp_path, capsys):
     assert (tmp_path / "out" / "s.html").exists()
     assert cli.main([*base, "--scenario", "s", "--targets", "none"]) == 2
     assert cli.main([*base, "--scenario", "other"]) == 2
+
+
+def test_upsert_of_a_key_with_many_writes(spark, monkeypatch):
+    """Gathered or aggregated, a merge is the same."""
+    rows = [("T", f"k{k % 7}", {f"p{k % 3}": str(k), **({"q": "x"} if k == 5 else {})}, f"w{k}", k) for k in range(200)] + [("T", "none", None, "w", 1), ("T", "hot", {"a": "0"}, "w", 0)]
+    df = spark.createDataFrame(rows, "object_type string, id string, properties map<string,string>, prov string, ord int")
+    read = lambda found: {r["id"]: (r["properties"], r["prov"], r["ord"]) for r in found.collect()}
+    gathered = read(store.upsert_objects(None, df))
+    monkeypatch.setattr(store, "MOST_WRITES", 10)
+    assert read(store.upsert_objects(None, df)) == gathered
+    want = {}
+    for _, i, props, prov, o in rows:
+        want[i] = ({**want.get(i, ({},))[0], **(props or {})}, prov, o)
+    assert gathered == want
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    rng = __import__("numpy").random.default_rng(1)
+    v = spark.createDataFrame([(k, [float(x) for x in rng.integers(-3, 4, 6)]) for k in range(300)], "id long, vec array<double>")
+    q = v.where("id < 40").withColumnRenamed("id", "question_id")
+    read = lambda: sorted((r["question_id"], r["rank"], r["id"], round(r["score"], 9)) for r in retrieve.vector_search(q, v, 7).collect())
+    whole = read()
+    monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 9)
+    monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 70)
+    assert read() == whole and len(whole) == 280
