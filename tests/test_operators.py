@@ -346,3 +346,32 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 9)
     monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 70)
     assert read() == whole and len(whole) == 280
+
+
+def test_scene_to_ontology(spark, tmp_path):
+    from ontolith.plans import scene_ontology
+
+    (tmp_path / "s.json").write_text(
+        """{"id": "s", "types": {"Firm": {"label": "Firma"}, "Person": {"label": ""}, "Lost": {"label": "L"}}, "relKeywords": {"risk": ["risky"], "owns": ["own"], "knows": ["know"], "rated": ["rating"], "none": []},
+        "propMap": {"risk": [["risk"], "Risiko"], "rated": [["missing", "score"], "Bewertung"], "also": [["risk"], "later"]},
+        "nodes": [{"id": "p1", "type": "Person", "name": "A", "props": {"risk": 0.5, "since": "2024-01-02", "ok": true}}, {"id": "p2", "type": "Person", "name": "B", "props": {"risk": 1, "ok": null}},
+            {"id": "f1", "type": "Firm", "name": "F", "props": {"score": "high"}}],
+        "edges": [{"source": "p1", "target": "f1", "rel": "owns", "label": "besitzt"}, {"source": "p2", "target": "f1", "rel": "owns", "label": "besitzt"}, {"source": "p1", "target": "p2", "rel": "knows"}]}""",
+        encoding="utf-8",
+    )
+    made = scene_ontology.convert(spark, str(tmp_path / "s.json"), "s.ns")
+    assert [(x.api_name, x.display_name, x.source_type, x.target_type, x.cardinality) for x in made.link_types] == [
+        ("owns", "besitzt", "Person", "Firm", "MANY_TO_MANY"), ("knows", "", "Person", "Person", "ONE_TO_MANY"), ("rated", "Bewertung", "Firm", "Firm", "MANY_TO_MANY"),
+    ]
+    assert [o.api_name for o in made.object_types] == ["Firm", "Person"] and [o.primary_key for o in made.object_types] == [["id"], ["id"]]
+    person = {p.api_name: (p.display_name, p.data_type, p.required) for p in made.object_types[1].properties}
+    assert person == {"id": ("id", "STRING", True), "name": ("name", "STRING", True), "risk": ("Risiko", "DOUBLE", True), "since": ("since", "TIMESTAMP", False), "ok": ("ok", "BOOL", True)}
+
+
+def test_event_sink(spark):
+    sink = providers.TableSink()
+    sink.emit({"b": 1, "a": "é"})
+    sink.publish("topic", b"payload")
+    assert isinstance(sink, providers.AuditSink) and isinstance(sink, providers.EventBus)
+    assert [tuple(r) for r in sink.table(spark).collect()] == [(0, "audit", '{"a": "é", "b": 1}'), (1, "topic", "payload")]
+    assert store.graph_name("shop.main") == "oag_shop_main"
