@@ -18,10 +18,25 @@ MOST_PARTS, FALLBACK_EDGES, EDGES_FOR_FACTS = 14, 5, 6
 NOT_FOUND = "未在本体中找到与该问题直接相关的对象或关系。"
 
 
-def _mentions(questions: DataFrame, terms: DataFrame, found: Column) -> DataFrame:
-    """Questions against a vocabulary by substring. Questions are the side that is split; the vocabulary is a scene's, whose
-    size does not follow that of the question table, and Spark decides by its size whether to broadcast it."""
-    return questions.join(terms, found)
+#: A term is looked for by so many of its first characters.
+KEY = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of up to KEY characters, and the empty one."""
+    chars = T.characters(text)
+    runs = [chars]
+    for _ in range(1, KEY):
+        runs.append(F.filter(F.zip_with(runs[-1], F.slice(chars, len(runs) + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull()))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *runs))
+
+
+def _mentions(questions: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """Questions against a vocabulary by substring: a text that holds a term has the term's first characters among its runs, so the
+    two are joined by these, and what meets is verified. Spark may broadcast the smaller side; nothing is compared pair by pair."""
+    keyed = terms.where(F.col(term).isNotNull()).withColumn("gram", F.substring(term, 1, KEY))
+    own = questions.where(F.col(text).isNotNull()).withColumn("gram", F.explode(_grams(F.col(text))))
+    return own.join(keyed, "gram").where(F.col(text).contains(F.col(term))).drop("gram")
 
 
 def resolve(questions: DataFrame, nodes: DataFrame, keywords: DataFrame, types: DataFrame, mode: str = "lower") -> DataFrame:
@@ -29,13 +44,16 @@ def resolve(questions: DataFrame, nodes: DataFrame, keywords: DataFrame, types:
     keywords it holds, types whose label it holds. mode 'lower' compares ids and names without case; 'exact' names with it,
     and keywords as written or in lower case."""
     q = questions.select("question_id", "question", F.lower("question").alias("q"))
+    n = nodes.select("id", "ord", F.lower("id").alias("low_id"), F.lower("name").alias("low_name"), "name")
+    k = keywords.select("rel", "ord", "keyword", F.lower("keyword").alias("low"))
+    ids = _mentions(q, "q", n, "low_id").select("question_id", "id", "ord")
     if mode == "lower":
-        by_name, by_keyword = F.col("q").contains(F.lower("name")), F.col("question").contains(F.lower("keyword"))
+        seeds = ids.unionByName(_mentions(q, "q", n, "low_name").select("question_id", "id", "ord"))
+        rels = _mentions(q, "question", k, "low")
     else:
-        by_name, by_keyword = F.col("question").contains(F.col("name")), F.col("question").contains(F.col("keyword")) | F.col("q").contains(F.lower("keyword"))
-    seeds = _mentions(q, nodes.select("id", "name", "ord"), F.col("q").contains(F.lower("id")) | by_name)
-    rels = _mentions(q, keywords.select("rel", "keyword", F.col("ord")), by_keyword)
-    kinds = _mentions(q, types.select("object_type", "label", F.col("ord")), F.col("question").contains(F.col("label")))
+        seeds = ids.unionByName(_mentions(q, "question", n, "name").select("question_id", "id", "ord"))
+        rels = _mentions(q, "question", k, "keyword").unionByName(_mentions(q, "q", k, "low"))
+    kinds = _mentions(q, "question", types.select("object_type", "label", "ord"), "label")
     found = seeds.select("question_id", F.lit("seed").alias("kind"), F.col("id").alias("value"), "ord")
     found = found.unionByName(rels.select("question_id", F.lit("rel").alias("kind"), F.col("rel").alias("value"), "ord"))
     found = found.unionByName(kinds.select("question_id", F.lit("type").alias("kind"), F.col("object_type").alias("value"), "ord"))
@@ -47,7 +65,7 @@ def linked_entities(questions: DataFrame, nodes: DataFrame, types: DataFrame, mo
     q = questions.select("question_id", "question")
     named = nodes.where(F.coalesce("name", F.lit("")) != "").select("name", "object_type", F.lit(0).alias("g"), "ord")
     labelled = types.where(F.coalesce("label", F.lit("")) != "").select(F.col("label").alias("name"), "object_type", F.lit(1).alias("g"), "ord")
-    hits = _mentions(q, named.unionByName(labelled), F.col("question").contains(F.col("name")))
+    hits = _mentions(q, "question", named.unionByName(labelled), "name")
     once = hits.groupBy("question_id", "name", "object_type").agg(F.min(F.struct("g", "ord")).alias("at"))
     order = Window.partitionBy("question_id").orderBy("at", "object_type")
     return once.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most).drop("at")
