@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ontolith.plans.scratch import Scratch, shared_folder
 
-__all__ = ["SPACES", "Scratch", "col", "importable", "partitions", "place", "shared_folder", "steady", "without_spaces"]
+__all__ = ["SPACES", "Scratch", "col", "importable", "partitions", "known_keys", "may_be", "place", "shared_folder", "steady", "without_spaces"]
 
 #: The six characters that count as white space in every text contract here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -63,3 +63,24 @@ def steady(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[Column, Co
         df = scratch.write(df, "rows")
         at = place(df)
     return df, at
+
+
+#: The filter of keys: so many bits of a key name a bitmap of 32,768 bits. At most 16 MB are broadcast, whatever the number of keys.
+FILTER_BITS = 12
+
+
+def known_keys(keys: DataFrame, key: str) -> DataFrame:
+    """(part int, bits binary): a bitmap of the long `key` for each of 2^FILTER_BITS parts. Keys should be spread like hashes."""
+    return keys.groupBy(_part(key).alias("part")).agg(F.bitmap_construct_agg(F.col(key).bitwiseAND(F.lit(32767))).alias("bits"))
+
+
+def _part(key: str) -> Column:
+    return F.shiftrightunsigned(F.col(key), 64 - FILTER_BITS).cast("int")
+
+
+def may_be(df: DataFrame, known: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key the filter knows (left_semi: all that are known, and few others) or does not know (left_anti)."""
+    own = F.col(key)
+    byte = F.conv(F.hex(F.substring("bits", (own.bitwiseAND(F.lit(32767)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), own.bitwiseAND(F.lit(7)).cast("int") + 1)
+    return df.join(F.broadcast(known), (_part(key) == F.col("part")) & (byte.bitwiseAND(bit) != 0), how)

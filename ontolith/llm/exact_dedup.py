@@ -18,15 +18,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, partitions, without_spaces
+from .common import Scratch, col, known_keys, may_be, partitions, without_spaces
 
 
 #: A digest that has this share of all rows, or a greater one, is hot; there are 1,000 of them at most.
 HOT_SHARE = 1 / 1000
 #: Up to so many hits, some 100 bytes each in memory, Spark may choose to broadcast them; beyond, they are merged.
 MOST_BROADCAST = 1 << 16
-#: The filter of hits: so many bits of the digest name a bitmap of 32,768 bits. At most 16 MB are broadcast.
-FILTER_BITS = 12
 
 
 def _best() -> Column:
@@ -75,27 +73,6 @@ class DigestIndex:
         return self.entries().where(F.col("digest").isin(digests))
 
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """(part int, bits binary): a bitmap of the digests for each of 2^FILTER_BITS parts, whatever the number of hits."""
-    return hits.groupBy(_part("digest").alias("part")).agg(F.bitmap_construct_agg(_place("digest")).alias("bits"))
-
-
-def _part(digest: str) -> Column:
-    return F.shiftrightunsigned(F.col(digest), 64 - FILTER_BITS).cast("int")
-
-
-def _place(digest: str) -> Column:
-    return F.col(digest).bitwiseAND(F.lit(32767))
-
-
-def may_be(df: DataFrame, known: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows whose digest the filter knows (left_semi) or does not know (left_anti)."""
-    byte = F.conv(F.hex(F.substring("bits", F.expr("cast((digest & 32767) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("cast(digest & 7 as int)")
-    set_ = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), bit + 1)) != 0
-    return df.join(F.broadcast(known), (_part("digest") == F.col("part")) & set_, how)
-
-
 def exact_dedup(
     df: DataFrame,
     *,
@@ -130,9 +107,9 @@ def exact_dedup(
     index.compact()
 
     hits = scratch.write(index.entries().where("n > 1").select("digest", "best", "n"), "hits")
-    known = scratch.write(hit_filter(hits), "filter")
-    alone = may_be(seen, known, "left_anti")  # has no copy: it need not meet the hits
-    low_high = may_be(base, known).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    known = scratch.write(known_keys(hits, "digest"), "filter")
+    alone = may_be(seen, known, "digest", "left_anti")  # has no copy: it need not meet the hits
+    low_high = may_be(base, known, "digest").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     verified = scratch.write(low_high.select("digest", (F.col("low") == F.col("high")).alias("same")), "verified")
     shared = verified.where("not same").select("digest")
     same = verified.where("same").select("digest")
@@ -142,8 +119,8 @@ def exact_dedup(
     hits = hits if hits.count() <= MOST_BROADCAST else hits.hint("merge")
     out = _resolved(alone.select("*", F.lit(None).cast(dict(hits.dtypes)["best"]).alias("best"), F.lit(None).cast("long").alias("n")))
     if shared.isEmpty():
-        return out.unionByName(_met(may_be(seen, known), hits, rows))
-    out = out.unionByName(_met(may_be(seen, known).join(shared, "digest", "left_anti"), hits, rows))
+        return out.unionByName(_met(may_be(seen, known, "digest"), hits, rows))
+    out = out.unionByName(_met(may_be(seen, known, "digest").join(shared, "digest", "left_anti"), hits, rows))
     mixed = base.join(shared, "digest", "left_semi").select(
         "id", "norm", F.char_length("text").alias("len"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
     )

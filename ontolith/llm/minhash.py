@@ -17,6 +17,7 @@ documents that have a partner left, in bins by bytes. Of the links that a bin fi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ontolith.operators.components import components
 
-from .common import Scratch, col, importable, partitions
+from .common import Scratch, col, importable, known_keys, may_be, partitions
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -112,8 +113,8 @@ def signatures(df: DataFrame, size: int, family: Family) -> DataFrame:
 
 #: Documents of one side in a block.
 BLOCK = 512
-#: About so many rows of small blocks go to one call that compares bits, and so many bytes of text to one that compares sets.
-BIN, BIN_BYTES = 2000, 8 << 20
+#: About so many rows of small blocks go to one call that compares bits; so many pairs, and bytes of sets, to one that compares sets.
+BIN, BIN_PAIRS, BIN_BYTES = 2000, 1000, 1 << 20
 
 
 class Signed(NamedTuple):
@@ -214,17 +215,22 @@ def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: Data
 
 
 def _linked(chances: DataFrame, marks: DataFrame, texts: DataFrame, compared: Compared, scratch: Scratch, name: str) -> DataFrame:
-    """The linked ones of pairs (a, b), by their full sets. The partners of a document are dealt to as many parts as their sets
-    have BIN_BYTES, and parts to bins of about that size."""
+    """The linked ones of pairs (a, b), by their full sets. The partners of a document are dealt to as many parts as they have
+    BIN_PAIRS, or their sets BIN_BYTES, and parts to bins of about that size. Texts pass a filter of fixed size first, so that only
+    those that have a partner are exchanged, and are then merged with their bins, in the same way at every size."""
     size = marks.groupBy("id").agg((F.max("n").cast("long") * 8).alias("size"))
     chances = scratch.write(chances, f"{name}-pairs")
-    most = chances.join(size, chances["b"] == size["id"]).groupBy("a").agg(F.sum("size").alias("bytes"))
-    parts = scratch.write(most.select("a", F.ceil(F.col("bytes") / F.lit(BIN_BYTES)).cast("int").alias("parts"), "bytes"), f"{name}-parts")
-    bins = max(partitions(marks.sparkSession), -(-(parts.agg(F.sum("bytes")).first()[0] or 0) // BIN_BYTES))
+    most = chances.join(size, chances["b"] == size["id"]).groupBy("a").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("pairs"))
+    share = F.greatest(F.col("bytes") / F.lit(BIN_BYTES), F.col("pairs") / F.lit(BIN_PAIRS))
+    parts = scratch.write(most.select("a", F.ceil(share).cast("int").alias("parts"), share.alias("share")), f"{name}-parts")
+    bins = max(partitions(marks.sparkSession), math.ceil(parts.agg(F.sum("share")).first()[0] or 0))
     place = F.pmod(F.xxhash64(F.lit(17), "a", F.pmod(F.xxhash64(F.lit(19), "b"), F.col("parts"))), F.lit(bins)).alias("bin")
-    pairs = scratch.write(chances.join(parts.drop("bytes"), "a").select("a", "b", place), f"{name}-dealt")
+    pairs = scratch.write(chances.join(parts.drop("share"), "a").select("a", "b", place), f"{name}-dealt")
     where = pairs.select("bin", F.col("a").alias("id")).unionByName(pairs.select("bin", F.col("b").alias("id"))).distinct()
-    sent = texts.join(where, "id").select("bin", "id", "text")
+    where = scratch.write(where, f"{name}-where")
+    key = F.xxhash64("id").alias("key")
+    known = scratch.write(known_keys(where.select(key), "key"), f"{name}-known")
+    sent = may_be(texts.select("*", key), known, "key").join(where.hint("merge"), "id").select("bin", "id", "text")
     sent = sent.toDF(*sent.columns)
 
     def link(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -248,7 +254,7 @@ def near_dedup(
     lower-cased, words between ASCII white space). Null, empty and blank texts have an empty set and no links. Rows with
     equal ids count as one document with the links of all of them. Rows with a null id have no links; their component is
     null. The id must be an integer; other columns of df are not looked at. An empty table gives an empty one. Texts are read
-    whole; a long one is in memory with its set while it is compared, texts of 8 MB together to a call.
+    whole; a long one is in memory with its set while it is compared; the sets of a call have 1 MB together, or are those of one pair.
     """
     spark = df.sparkSession
     importable(spark)

@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ontolith.llm import exact_dedup, html_extract, license_scan, line_dedup, minhash, mixing, mtree, packing, quality, queries, sharding
+from ontolith.llm import common, exact_dedup, html_extract, license_scan, line_dedup, minhash, mixing, mtree, packing, quality, queries, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as extra columns.
@@ -126,10 +126,10 @@ def test_digest_index_looks_up(spark):
 def test_exact_dedup_filter(spark):
     """The filter knows every hit, and little else; memtables stay small however many they are."""
     hits = spark.range(500).select(F.xxhash64("id").alias("digest"))
-    known = exact_dedup.hit_filter(hits)
+    known = common.known_keys(hits, "digest")
     others = spark.range(500, 20_500).select(F.xxhash64("id").alias("digest"))
-    assert exact_dedup.may_be(hits, known).count() == 500 and exact_dedup.may_be(hits, known, "left_anti").count() == 0
-    assert exact_dedup.may_be(others, known).count() < 20 and exact_dedup.may_be(others, known, "left_anti").count() > 19_980
+    assert common.may_be(hits, known, "digest").count() == 500 and common.may_be(hits, known, "digest", "left_anti").count() == 0
+    assert common.may_be(others, known, "digest").count() < 20 and common.may_be(others, known, "digest", "left_anti").count() > 19_980
 
 
 def test_exact_dedup_hot_group(spark):
