@@ -1,8 +1,8 @@
 """Near-duplicates by MinHash.
 
 A document's set of word shingles gives `bands * rows` minima of universal hash functions. Documents whose minima agree in a
-whole band meet in a bucket. Candidates are checked by their signatures (set sizes, and one bit of each minimum), then
-confirmed on the full sets; confirmed links are joined into components by alternating large-star and small-star.
+whole band meet in a bucket. Candidates are checked by their signatures (set sizes, one bit of each minimum, and the parities
+of the sets' parts, which differ in no more places than the sets do in shingles), then confirmed on the full sets; confirmed links are joined into components by alternating large-star and small-star.
 
 With 4 rows and 32 bands, two sets of similarity 0.8 meet in no band with probability 5e-8, and the signature check, at more
 than seven standard deviations, adds nothing to that.
@@ -10,8 +10,9 @@ than seven standard deviations, adds nothing to that.
 No bucket is expanded into pairs of rows. Documents with equal sets are one class with one representative. The members of a
 bucket go with its smallest member, the center; all members of a center's buckets are a group. The center is compared with
 its group, the links found are joined into components, and then only members outside the group's largest component are
-compared with the rest of the group. Pairs inside one component need no comparing, so no link that would change a component
-is lost. Comparing is done in blocks of bounded size, twice: first sizes and signature bits only, then the full sets of those
+compared with the rest of the group: first with the few whose signatures are nearest, which joins most of them to the others,
+and only those still outside with all. Pairs inside one component need no comparing, so no link that would change a component
+is lost. Comparing is done in blocks of bounded size, twice: first sizes, signature bits and parities only, then the full sets of those
 documents that have a partner left, in bins by bytes. Of the links that a bin finds only a spanning forest leaves it.
 """
 
@@ -92,29 +93,41 @@ class Family:
         return (one.reshape(len(one), -1, 64) * self.places).sum(axis=2, dtype=np.uint64)
 
 
+#: A set's shingles are dealt to so many parts by hash; whether their number in each is odd is one bit.
+PARTS = 1024
+
+
+def parities(x: np.ndarray) -> bytes:
+    """One bit for each part of the set. The parities of two sets differ in at most as many bits as one set only has shingles."""
+    return np.packbits(np.bincount((x % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) & 1).tobytes()
+
+
 def signatures(df: DataFrame, size: int, family: Family) -> DataFrame:
-    """id, n int, high long, low long (a 128-bit hash of the set), keys array<long>, bits binary."""
+    """id, n int, high long, low long (a 128-bit hash of the set), keys array<long>, bits binary, parity binary."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             minima = np.empty((len(batch), family.bands * family.rows), dtype=np.uint64)
-            sizes, digests = [], []
+            sizes, digests, odd = [], [], []
             for k, text in enumerate(batch["text"]):
                 x = shingles(text, size)
                 minima[k] = family.minima(x)
                 sizes.append(len(x))
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
+                odd.append(parities(x))
             halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             bits = [x.tobytes() for x in family.bits(minima)]
-            yield pd.DataFrame({"id": batch["id"], "n": np.array(sizes, np.int32), "high": halves[:, 0], "low": halves[:, 1], "keys": list(family.keys(minima)), "bits": bits})
+            yield pd.DataFrame({"id": batch["id"], "n": np.array(sizes, np.int32), "high": halves[:, 0], "low": halves[:, 1], "keys": list(family.keys(minima)), "bits": bits, "parity": odd})
 
-    return df.mapInPandas(sign, "id long, n int, high long, low long, keys array<long>, bits binary")
+    return df.mapInPandas(sign, "id long, n int, high long, low long, keys array<long>, bits binary, parity binary")
 
 
 #: Documents of one side in a block.
 BLOCK = 512
 #: About so many rows of small blocks go to one call that compares bits; so many pairs, and bytes of sets, to one that compares sets.
 BIN, BIN_PAIRS, BIN_BYTES = 2000, 1000, 1 << 20
+#: Members outside the largest component of a group are compared with so many of each block, nearest first; in the last round with all.
+NEAREST = (4, None)
 
 
 class Signed(NamedTuple):
@@ -124,14 +137,15 @@ class Signed(NamedTuple):
     component: np.ndarray
     n: np.ndarray
     bits: np.ndarray
+    parity: np.ndarray
 
     @staticmethod
     def blocks(pdf: pd.DataFrame) -> dict[tuple, Signed]:
         """The sides of each block (g, x, y) in a bin."""
         if not len(pdf):
             return {}
-        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
-        columns = (*(pdf[c].to_numpy(np.int64) for c in ("id", "component", "n")), bits)
+        words = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint64).reshape(len(pdf), -1) for c in ("bits", "parity"))
+        columns = (*(pdf[c].to_numpy(np.int64) for c in ("id", "component", "n")), *words)
         return {key: Signed(*(c[at] for c in columns)) for key, at in pdf.groupby(["g", "x", "y"]).indices.items()}
 
 
@@ -144,13 +158,20 @@ class Compared:
         k, p = family.bands * family.rows, (1 + percent / 100) / 2
         self.most_differ = k - int(k * p - 8 * (k * p * (1 - p)) ** 0.5)
 
-    def chances(self, asked: Signed, members: Signed) -> list[tuple[int, int]]:
-        """Pairs (asked, member) of ids that may be linked, of different components."""
+    def chances(self, asked: Signed, members: Signed, nearest: int | None = None) -> list[tuple[int, int]]:
+        """Pairs (asked, member) of ids that may be linked, of different components; of each asked, all or the nearest by signature."""
         out = []
-        for i, c, m, own in zip(asked.id.tolist(), asked.component.tolist(), asked.n.tolist(), asked.bits, strict=True):
+        for i, c, m, own, odd in zip(asked.id.tolist(), asked.component.tolist(), asked.n.tolist(), asked.bits, asked.parity, strict=True):
             sizes = 100 * np.minimum(members.n, m) >= self.percent * np.maximum(members.n, m)
             differ = np.bitwise_count(members.bits ^ own).sum(axis=1)
-            out += [(i, j) for j in members.id[sizes & (members.component != c) & (members.id != i) & (differ <= self.most_differ)].tolist()]
+            at = np.flatnonzero(sizes & (members.component != c) & (members.id != i) & (differ <= self.most_differ))
+            # linked sets of n and m shingles have at most (100 - percent) / (100 + percent) of n + m in one only
+            apart = np.bitwise_count(members.parity[at] ^ odd).sum(axis=1, dtype=np.int64)
+            near = (100 + self.percent) * apart <= (100 - self.percent) * (members.n[at] + m)
+            at, apart = at[near], apart[near]
+            if nearest is not None and len(at) > nearest:
+                at = at[np.argpartition(differ[at] + apart, nearest - 1)[:nearest]]
+            out += [(i, j) for j in members.id[at].tolist()]
         return out
 
     def alike(self, p: np.ndarray, q: np.ndarray) -> bool:
@@ -185,10 +206,10 @@ class Compared:
         return np.array(kept, dtype=np.int64).reshape(-1, 2)
 
 
-def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: DataFrame, compared: Compared, scratch: Scratch, name: str) -> DataFrame:
-    """The links (a, b) between documents asked for and members of their group; both are (g, id, component). Those asked for
+def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: DataFrame, compared: Compared, scratch: Scratch, name: str, nearest: int | None = None) -> DataFrame:
+    """The links (a, b) between documents asked for and members of their group (nearest: the so many nearest of each block only); both are (g, id, component). Those asked for
     and the members of a group are dealt to blocks by a hash; each pair of blocks is compared by itself, several small ones in a
-    call. Blocks carry 32 bytes a document; texts go only where a partner is left."""
+    call. Blocks carry 32 bytes and the parities of a document; texts go only where a partner is left."""
     count = lambda df, c: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(c))
     blocks = scratch.write(count(asked, "x").join(count(members, "y"), "g"), f"{name}-blocks")
     total = blocks.join(asked.unionByName(members).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g").agg(F.sum(F.col("c") * F.greatest("x", "y"))).first()[0]
@@ -197,7 +218,7 @@ def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: Data
     def dealt(df: DataFrame, own_blocks: str, other: str) -> DataFrame:
         hashed = F.pmod(F.xxhash64(F.lit(13), "id"), F.col(own_blocks)).cast("int").alias(own_blocks)
         all_of = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
-        sent = df.join(marks, "id").join(blocks, "g").select("g", "id", "component", "n", "bits", hashed, all_of)
+        sent = df.join(marks, "id").join(blocks, "g").select("g", "id", "component", "n", "bits", "parity", hashed, all_of)
         sent = sent.withColumn("bin", F.pmod(F.xxhash64("g", "x", "y"), F.lit(bins)))
         return sent.toDF(*sent.columns)  # columns of its own: both sides come from the same tables
 
@@ -205,7 +226,7 @@ def _confirm(asked: DataFrame, members: DataFrame, marks: DataFrame, texts: Data
         others, found = Signed.blocks(m), []
         for key, side in Signed.blocks(a).items():
             if key in others:
-                found += compared.chances(side, others[key])
+                found += compared.chances(side, others[key], nearest)
         pairs = np.unique(np.sort(np.array(found, dtype=np.int64).reshape(-1, 2), axis=1), axis=0)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
@@ -263,7 +284,7 @@ def near_dedup(
     narrow = df.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     texts = narrow.where("id is not null and text is not null")
     signed = scratch.write(signatures(texts, size, family), "signed")
-    classes = signed.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")])
+    classes = signed.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "parity")])
     classes = scratch.write(classes, "classes")
 
     in_bands = classes.select("id", F.explode("keys").alias("key"))
@@ -271,7 +292,7 @@ def near_dedup(
     grouped = in_bands.join(scratch.write(buckets, "buckets"), "key").select(F.col("center").alias("g"), "id").distinct()
     groups = scratch.write(grouped, "groups")
     rows = groups.count()
-    marks, compared = classes.select("id", "n", "bits"), Compared(family, size, percent)
+    marks, compared = classes.select("id", "n", "bits", "parity"), Compared(family, size, percent)
 
     centers = groups.where("g = id").select("g", "id", F.col("id").alias("component"))
     others = groups.where("g != id").select("g", "id", F.col("id").alias("component"))
@@ -282,16 +303,21 @@ def near_dedup(
         links = links.unionByName(shared.join(classes.select("high", "low", F.col("id").alias("b")), ["high", "low"]).select(F.col("id").alias("a"), "b"))
     found = components(links, scratch, "first")
 
-    placed = groups.where("g != id").join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
-    placed = scratch.write(placed, "placed", rows)
-    per = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("g").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    top = scratch.write(top.select("g", F.col("top.component").alias("top")), "top", rows)
-    members = scratch.write(placed.join(top, "g"), "members", rows)
-    more = _confirm(members.where("component != top").drop("top"), members.drop("top"), marks, texts, compared, scratch, "rest")
-    if not more.isEmpty():
-        # the components found so far are stars themselves
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "second")
+    for k, nearest in enumerate(NEAREST):
+        placed = groups.where("g != id").join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
+        placed = scratch.write(placed, f"placed-{k}", rows)
+        per = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c"))
+        top = per.groupBy("g").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        top = scratch.write(top.select("g", F.col("top.component").alias("top")), f"top-{k}", rows)
+        if top.isEmpty():
+            break
+        members = scratch.write(placed.join(top, "g"), f"members-{k}", rows)
+        asked = members.where("component != top").drop("top")
+        more = _confirm(asked, members.drop("top"), marks, texts, compared, scratch, f"rest-{k}", nearest)
+        scratch.drop(f"placed-{k}", f"top-{k}", f"members-{k}")
+        if not more.isEmpty():
+            # the components found so far are stars themselves
+            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, f"more-{k}")
 
     reps = classes.select("high", "low", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
     reps = scratch.write(reps.select("high", "low", F.coalesce("component", "rep").alias("rep_component")), "reps")

@@ -271,6 +271,33 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) == 2
 
 
+def test_near_dedup_takes_few_pairs_from_a_large_group(spark, monkeypatch):
+    """Copies of one text, some altered so far that they are linked with few or none, and the center of a group with few: the pairs
+    whose sets are compared grow with the group, not with its square, and no link is lost."""
+    taken = []
+    linked = minhash._linked
+    monkeypatch.setattr(minhash, "_linked", lambda chances, *a: (taken.append(chances.count()), linked(chances, *a))[1])
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        words = [f"w{k}" for k in range(100)]
+        for k in rng.choice(100, 6 if i == 0 else (1, 2, 8)[i % 3], replace=False):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    want = brute_near(rows, 2, 80)
+    assert got == want and 50 < len({c for _, c in want.values()}) < 350
+    assert sum(taken) < 5 * len(rows)
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(6)
+    both = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    for k in (0, 1, 40, 900, 4000):
+        a, b = minhash.parities(both), minhash.parities(both[: len(both) - k])
+        assert len(a) == minhash.PARTS // 8 and sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= k
+
+
 # ---- 5
 
 
