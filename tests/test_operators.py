@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,30 @@ def test_ingest(spark):
     assert counters.first().asDict() == {"docs": 2, "chunks": 2, "extracted_objects": 3, "extracted_links": 2, "merged": 1, "dropped": 2}
 
 
+def test_similar_rows_meet_without_all_blocks(spark):
+    """Rows go to the blocks in reach only, and no pair is lost: codes far apart, clusters, bags, and vectors without clusters."""
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=(20, 8))[rng.integers(0, 20, 300)] + rng.normal(scale=0.15, size=(300, 8))
+    codes = np.array([[1.0 if k >> j & 1 else -1.0 for j in range(12)] for k in range(2048)])
+    for x, most in ((codes, 2048), (near, 300 * 19), ((rng.random((200, 30)) < 0.3) * 1.0, 200 * 13), (rng.normal(size=(200, 2)), 200 * 13)):
+        df = spark.createDataFrame([("A", i, v.tolist()) for i, v in enumerate(x)], "object_type string, ord long, vec array<double>").repartition(3)
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.92, 1)), strict=True)}
+        assert {(r["a"], r["b"]) for r in resolve.similar_pairs(df, 0.92, block_rows=16).collect()} == want
+        assert resolve._met(df, 0.92, 16).count() <= most  # all blocks: 2048 * 128 for the codes
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    seen = []
+    pairs = resolve.similar_pairs
+    monkeypatch.setattr(resolve, "similar_pairs", lambda v, *a: (seen.append(v.count()), pairs(v, *a))[1])
+    vecs = [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]
+    df = spark.createDataFrame([("A", f"i{i}", i, vecs[i % 3]) for i in range(900)], "object_type string, id string, ord long, vec array<double>")
+    got = {r["id"]: r["survivor_id"] for r in resolve.by_embedding(df).collect()}
+    assert got == {f"i{i}": f"i{i % 3}" for i in range(3, 900) if i % 3 < 2}  # zero vectors are like nothing
+    assert seen == [2 + 300]
+
+
 def test_providers(spark):
     class Broken:
         def complete(self, prompt):
