@@ -1,5 +1,6 @@
 """Hand-computed cases."""
 
+import json
 import math
 
 import numpy as np
@@ -254,6 +255,26 @@ def test_ingest(spark):
     assert counters.first().asDict() == {"docs": 2, "chunks": 2, "extracted_objects": 3, "extracted_links": 2, "merged": 1, "dropped": 2}
 
 
+def test_ingest_folds_and_drops(spark):
+    """Records, provs and links of a run with folding, with all columns and with few."""
+    said = {
+        "d0": '{"objects": [{"type": "T", "id": "b", "properties": {"p": "1", "q": "1"}}, {"type": "T", "id": "a", "properties": {"p": "2"}}, {"type": "U", "id": "u"}], "links": [{"type": "l", "source_id": "a", "target_id": "u"}, {"type": "l", "source_id": "a", "target_id": "zz"}]}',
+        "d1": '{"objects": [{"type": "T", "id": "b", "properties": {"p": "3"}}, {"type": "T", "id": "c"}], "links": [{"type": "l", "source_id": "b", "target_id": "u"}, {"type": "l", "source_id": "c", "target_id": "b"}]}',
+    }
+    docs = spark.createDataFrame([(d, d) for d in said], "name string, text string")
+    replies = spark.createDataFrame(list(said.items()), "doc string, reply string")
+    provider = lambda pieces: pieces.join(replies, "doc").withColumn("warnings", F.lit(0))
+    vec = F.when(F.col("id").isin("a", "b"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    made = ingest.Run(docs, provider, ["T", "U"], ["l"], embed=lambda s: s.withColumn("vec", vec))
+    whole = {(r["object_type"], r["id"]): (r["properties"], [json.loads(p)["source_doc"] for p in r["absorbed"]], r["merged_via"]) for r in made.objects().collect()}
+    assert whole == {("T", "b"): ({"p": "2", "q": "1"}, ["d1", "d0"], "embedding"), ("T", "c"): ({}, [], ""), ("U", "u"): ({}, [], "")}
+    few = {(r["object_type"], r["id"]): (r["properties"], r["records"] - 1, r["merged_via"]) for r in made.objects(provs=False).collect()}
+    assert few == {k: (p, len(a), m) for k, (p, a, m) in whole.items()}
+    ends = lambda df: sorted((r["source_id"], r["target_id"]) for r in df.collect())
+    assert ends(made.links()) == ends(made.links(provs=False)) == [("b", "u"), ("c", "b")]
+    assert made.counters().first().asDict() == {"docs": 2, "chunks": 2, "extracted_objects": 5, "extracted_links": 4, "merged": 2, "dropped": 1}
+
+
 def test_similar_rows_meet_without_all_blocks(spark):
     """Rows go to the blocks in reach only, and no pair is lost: codes far apart, clusters, bags, and vectors without clusters."""
     rng = np.random.default_rng(7)
